@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .media import audio_features, media_digest
+from .packing import pack_documents
 from .token_counts import count_tokens
+from .token_store import digest_store, store_folder, write_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,8 +18,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(audio_features(read_table(spark, sf_dir, "documents")))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_store(write_store(read_table(spark, sf_dir, "documents"), BYTE_BPE, store_folder(spark), end_id=2))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, seq_len=2048, end_id=1)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_media_features": op2_media_features,
+    "op9_token_store": op9_token_store,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
