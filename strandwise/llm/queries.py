@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import audio_features, media_digest
-from . import mixing
+from . import line_dedup, mixing
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_store import digest_store, store_folder, write_store
@@ -23,6 +23,10 @@ def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(audio_features(read_table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,11 +42,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_features": op2_media_features,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(),
 }
