@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import audio_features, media_digest
-from . import line_dedup, mixing
+from . import line_dedup, mixing, warc
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_store import digest_store, store_folder, write_store
@@ -23,6 +23,10 @@ def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(audio_features(read_table(spark, sf_dir, "documents")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(warc.write_archive(read_table(spark, sf_dir, "pages"), warc.archive_folder(spark), min_revisit_bytes=0))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5))
 
@@ -42,6 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_features": op2_media_features,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op9_token_store": op9_token_store,
@@ -49,6 +54,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(),
 }

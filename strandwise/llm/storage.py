@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets per level of the id histogram; levels of refinement.
-HISTOGRAM, LEVELS = 4096, 4
+HISTOGRAM, LEVELS = 4096, 6
 
 
 def filesystem(uri: str):
@@ -28,9 +28,10 @@ class TemporaryFile:
 
     def __init__(self, folder: str, name: str):
         self.fs, path = filesystem(folder)
+        self.uri = f"{folder}/{name}"
         self.fs.create_dir(path, recursive=True)
         self.final, self.temporary = f"{path}/{name}", f"{path}/_temporary-{name}-{uuid.uuid4().hex}"
-        self.out, self.written = self.fs.open_output_stream(self.temporary), 0
+        self.out, self.written = self.fs.open_output_stream(self.temporary, compression=None), 0
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -43,7 +44,7 @@ class TemporaryFile:
         if self.fs.get_file_info(self.final).type != fs.FileType.NotFound:
             self.fs.delete_file(self.final)
         self.fs.move(self.temporary, self.final)
-        return self.final
+        return self.uri
 
 
 def split_points(df: DataFrame, key: str, parts: int) -> list[int]:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from strandwise.llm import encoding, media, packing, queries, token_counts, token_store
+from strandwise.llm import encoding, media, packing, queries, storage, token_counts, token_store
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -124,9 +124,10 @@ def test_store(make_docs, odd_texts, library, spark, monkeypatch):
 
 def test_damage_is_found(make_docs, spark):
     path = token_store.write_store(make_docs([(1, "some words here")]), PATH, token_store.store_folder(spark)).first().path
-    data = bytearray(open(path, "rb").read())
+    local = storage.filesystem(path)[1]
+    data = bytearray(open(local, "rb").read())
     data[-9 - 4] ^= 1  # the checksum of the only frame
-    open(path, "wb").write(data)
+    open(local, "wb").write(data)
     with pytest.raises(ValueError, match="checksum"):
         token_store.read_documents(path, {1})
 
