@@ -204,7 +204,7 @@ def archive_folder(spark) -> str:
 
 def oracle_sql(min_revisit_bytes: int = 0) -> str:
     """DuckDB; for ids that are not null and not repeated. Base 32 takes five bits at a time of the SHA-1's hex."""
-    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex || '00', 1 + (5 * i) // 4, 3))::INTEGER >> (7 - (5 * i) % 4)) & 31, 1)"
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex || '00', 1 + (5 * i) // 4, 3))::INTEGER >> (7 - (5 * i) % 4)) & 31), 1)"
     return f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS target FROM p)
