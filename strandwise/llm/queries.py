@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import audio_features, media_digest
-from . import line_dedup, mixing, warc
+from . import line_dedup, mixing, quality, warc
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_store import digest_store, store_folder, write_store
@@ -35,6 +35,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged_documents(read_table(spark, sf_dir, "documents"), host_col="source").drop("rk", "removed")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_store(write_store(read_table(spark, sf_dir, "documents"), BYTE_BPE, store_folder(spark), end_id=2))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
 }
@@ -57,4 +62,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(),
+    "op7_quality_rules": quality.oracle_sql(),
 }
