@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .media import audio_features, media_digest
 from . import line_dedup, mixing, quality, warc
+from .ngram_join import linked_documents
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_store import digest_store, store_folder, write_store
@@ -39,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged_documents(read_table(spark, sf_dir, "documents"), host_col="source").drop("rk", "removed")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(read_table(spark, sf_dir, "documents"), shingle=3, similarity=(9, 10)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_store(write_store(read_table(spark, sf_dir, "documents"), BYTE_BPE, store_folder(spark), end_id=2))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
 }
