@@ -10,6 +10,7 @@ from .media import audio_features, media_digest
 from . import line_dedup, mixing, quality, warc
 from .ngram_join import linked_documents
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats, repeat_digest
 from .token_counts import count_tokens
 from .token_store import digest_store, store_folder, write_store
 
@@ -24,6 +25,10 @@ def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(audio_features(read_table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(read_table(spark, sf_dir, "pages"), warc.archive_folder(spark), min_revisit_bytes=0))
 
@@ -55,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_features": op2_media_features,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
