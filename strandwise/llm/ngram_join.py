@@ -275,10 +275,11 @@ def _cross(batches, num: int, den: int, forest: bool):
 
 def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Candidates across labels, within buckets that still hold more than one label. Large buckets are met in pairs of blocks."""
-    named = members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    named = stage(members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "named")
     open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = named.join(open_.select(F.col("sig").alias("open_sig"), blocks.alias("blocks")), F.col("sig") == F.col("open_sig"))
+    open_ = stage(open_.select(F.col("sig").alias("open_sig"), blocks.alias("blocks")), "open")
+    rows = named.join(open_, F.col("sig") == F.col("open_sig"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
@@ -318,7 +319,8 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
         seed += 1
     shared = docs.sparkSession.sparkContext.broadcast(token_levels(features))
     signed = stage(rows.select("text").mapInArrow(partial(_sign, size=shingle, num=num, den=den, shared=shared, seed=seed), "sig long, node long"), "signatures")
-    buckets = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("sig").alias("of"), "lo")
+    # staged, so that Spark can split the other side of the join where a signature is hot
+    buckets = stage(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("sig").alias("of"), "lo"), "buckets")
     members = stage(signed.join(buckets, F.col("sig") == F.col("of")).select("sig", "node", "lo").distinct(), "members")
 
     wanted = members.select("node").distinct().join(nodes.select(F.col("node").alias("of"), F.col("rk").alias("of_rk")), F.col("node") == F.col("of")).select("node", "of_rk")
@@ -342,7 +344,7 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
 
     named = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id")).withColumnRenamed("label", "of")
-    classes = named.join(smallest, F.col("label") == F.col("of")).select(F.col("node").alias("of"), "component_id")
+    classes = stage(named.join(smallest, F.col("label") == F.col("of")).select(F.col("node").alias("of"), "component_id"), "classes")
     out = features.where("n >= 0").join(classes, F.col("node") == F.col("of"), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "rk", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") == 0, F.xxhash64("rk", F.lit(1))).otherwise(F.col("node")).alias("node"))

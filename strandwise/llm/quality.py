@@ -98,7 +98,8 @@ def judged_documents(docs: DataFrame, *, min_documents: int = MIN_DOCUMENTS, sha
     hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("host", "of")
     counts = once.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
     frequent = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("documents") * F.lit(share))
-    frequent = frequent.select(F.col("host").alias("of"), F.col("hash").alias("line"))
+    # staged, so that Spark can split the other side of the join where a line is hot
+    frequent = stage(frequent.select(F.col("host").alias("of"), F.col("hash").alias("line")), "frequent")
     held = measured.select("doc_id", "rk", "host", F.explode("lines").alias("l")).select("doc_id", "rk", "host", "l.hash", "l.words")
     removed = held.join(frequent, (F.col("hash") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
     # repeated rows share a row key, so a line's words are counted once by max

@@ -357,7 +357,8 @@ def _windows(batches):
 
 def _repeated(df: DataFrame) -> DataFrame:
     """Rows whose key occurs twice: counts are summed before the shuffle, and the join's large side can be split."""
-    twice = df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"))
+    df = stage(df, "keys")
+    twice = stage(df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of")), "twice")
     return df.join(twice, F.col("key") == F.col("of")).drop("of")
 
 
@@ -437,6 +438,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = stage(texts.mapInArrow(_find, _ANCHORS), "anchors")
     each = found.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "pos")).alias("at"))
     groups = each.groupBy(F.col("anchor").alias("of")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 1")
+    groups = stage(groups, "groups")  # so that Spark can split the other side of the join where an anchor is hot
     each = stage(each.join(groups, F.col("anchor") == F.col("of")).drop("of", "total"), "repeated")
     equal = each.where("n > 1").select(F.col("context").alias("of"))
     spans = found.join(equal, F.col("context") == F.col("of")).select("rk", F.greatest(F.lit(0), F.col("pos") - LEFT).alias("lo"), F.least("size", F.col("last") + RIGHT).alias("hi"))
