@@ -1,6 +1,305 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+References are the documents and reads the benchmark texts, in upper case without other letters
+than A, C, G and T. Suffix arrays and what follows from them are per benchmark text.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandwise.functions import sequence
+from strandwise.operators import bwt, matching, reporting, schemes
+
+GRAM = 3
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ref_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("seq_idx"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), sequence.keep_acgt(F.col("text")).alias("seq"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("read_id"), sequence.keep_acgt(F.col("text")).alias("seq"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), sequence.keep_acgt(F.col("text")).alias("text"))
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("long") if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def _normalize_refs(spark, sf):
+    s = ref_seqs(spark, sf)
+    return s.withColumn("len", F.length("seq").cast("long"))
+
+
+def _masked_reads(spark, sf):
+    return _table(spark, sf, "benchmark").select("item_id", sequence.mask_ambiguous(F.col("text")).alias("seq"), sequence.contains_ambiguous(sequence.ascii_upper(F.col("text"))).alias("ambiguous"))
+
+
+def _revcomp_reads(spark, sf):
+    return reads(spark, sf).select("read_id", sequence.revcomp(F.col("seq")).alias("rc"))
+
+
+def _char_histogram(spark, sf):
+    letters = matching.kmers(matching.tiles(ref_seqs(spark, sf), 0), [1])
+    n = letters.groupBy(F.col("kmer").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("smaller", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _kmer_table(spark, sf):
+    found = matching.kmers(matching.tiles(ref_seqs(spark, sf), 10), [10]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq_idx", "pos")).alias("first"))
+    return found.select(sequence.pack_kmer(F.col("kmer")).alias("kmer"), "n", F.col("first.seq_idx").alias("seq_idx"), F.col("first.pos").alias("pos"))
+
+
+def _kmer_lookup(spark, sf):
+    seeds = reads(spark, sf).where(F.length("seq") >= 10).select("read_id", F.substring("seq", 1, 10).alias("kmer"))
+    found = matching.kmers(matching.tiles(ref_seqs(spark, sf), 10), [10])
+    return seeds.join(found, "kmer").select("read_id", "kmer", "seq_idx", "pos")
+
+
+def _seq_offsets(spark, sf):
+    s = ref_seqs(spark, sf).select("seq_idx", F.length("seq").cast("long").alias("len"))
+    return s.withColumn("start_pos", F.coalesce(F.sum("len").over(Window.orderBy("seq_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _locate(spark, sf):
+    """Global positions of exact hits back to sequences: the last start at or before each, by a window over the union."""
+    starts = _seq_offsets(spark, sf)
+    hits = _exact_both(spark, sf).join(starts, "seq_idx").select((F.col("begin") + F.col("start_pos")).alias("global_pos")).distinct()
+    both = starts.where("len > 0").select(F.col("start_pos").alias("global_pos"), F.col("seq_idx").alias("idx"), F.col("start_pos").alias("start"), F.lit(0).alias("kind")).union(hits.select("global_pos", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1)))
+    last = Window.orderBy("global_pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("seq_idx", F.last("idx", True).over(last)).withColumn("start", F.last("start", True).over(last))
+    return found.where("kind = 1").select("global_pos", "seq_idx", (F.col("global_pos") - F.col("start")).alias("begin"))
+
+
+def _exact_both(spark, sf):
+    return matching.exact_match(reads(spark, sf), ref_seqs(spark, sf))
+
+
+def _exact_forward(spark, sf):
+    return _exact_both(spark, sf).where("strand = 'FW'")
+
+
+def _hamming(k):
+    return lambda spark, sf: matching.hamming_match(reads(spark, sf), ref_seqs(spark, sf), k)
+
+
+def _edit_starts(spark, sf):
+    return matching.edit_starts(reads(spark, sf), ref_seqs(spark, sf), 1)
+
+
+def _edit(k):
+    return lambda spark, sf: matching.edit_match(reads(spark, sf), ref_seqs(spark, sf), k)
+
+
+def _best(beyond):
+    return lambda spark, sf: reporting.best_strata(_hamming(2)(spark, sf), beyond)
+
+
+def _ranked(spark, sf):
+    r = reporting.ranked(_hamming(1)(spark, sf))
+    return r.select("read_id", "seq_idx", "begin", "strand", "distance", "rank", "n_best", "mapq", sequence.sam_flag(F.col("strand"), F.col("rank") == 1).alias("flag"))
+
+
+def _report(f, **options):
+    def query(spark, sf):
+        own, refs = reads(spark, sf), ref_seqs(spark, sf)
+        return f(matching.hamming_match(own, refs, 1), own, refs, **options)
+
+    return query
+
+
+def _parts(k):
+    return lambda spark, sf: _long(matching.uniform_parts(reads(spark, sf).withColumnRenamed("seq", "pattern"), k + 1).drop("pattern"))
+
+
+STATIC_BEGINS = [0.25, 0.5, 0.8]
+
+
+def _static_parts(spark, sf):
+    return _long(matching.static_parts(reads(spark, sf).withColumnRenamed("seq", "pattern"), STATIC_BEGINS).drop("pattern"))
+
+
+def _of_sa(f):
+    return lambda spark, sf: f(bwt.suffix_array(texts(spark, sf)))
+
+
+def _backward(spark, sf):
+    own = texts(spark, sf)
+    patterns = matching.kmers(matching.tiles(own.select(F.col("text_id").alias("seq_idx"), F.col("text").alias("seq")), GRAM), [GRAM])
+    return bwt.backward_search(bwt.bwt(bwt.suffix_array(own)), patterns.select(F.col("seq_idx").alias("text_id"), F.col("kmer").alias("pattern")).distinct(), GRAM)
+
+
+QUERIES = {
+    "normalize_refs": _normalize_refs,
+    "masked_reads": _masked_reads,
+    "revcomp_reads": _revcomp_reads,
+    "char_histogram": _char_histogram,
+    "kmer_table": _kmer_table,
+    "kmer_lookup": _kmer_lookup,
+    "seq_offsets": _seq_offsets,
+    "locate_asof": _locate,
+    "exact_match": _exact_forward,
+    "exact_both_strands": _exact_both,
+    "hamming_k1": _hamming(1),
+    "hamming_k2": _hamming(2),
+    "edit_starts_k1": _edit_starts,
+    "edit_k1": _edit(1),
+    "edit_k2": _edit(2),
+    "best_stratum": _best(0),
+    "best_plus_x": _best(1),
+    "mapq_flags": _ranked,
+    "sam_records": _report(reporting.sam_records),
+    "xa_records": _report(reporting.xa_records),
+    "rhs_records": _report(reporting.rhs_records),
+    "unmapped_reads": lambda spark, sf: reads(spark, sf).join(_hamming(1)(spark, sf).select("read_id").distinct(), "read_id", "left_anti"),
+    "mapping_stats": lambda spark, sf: reporting.mapping_stats(_hamming(1)(spark, sf), reads(spark, sf)),
+    "uniform_parts": _parts(2),
+    "static_parts": _static_parts,
+    "schemes": lambda spark, sf: schemes.scheme_table(spark).select("scheme", "k", "search_idx", *(F.concat_ws(",", c).alias(c) for c in ("pi", "lower", "upper"))),
+    "scheme_coverage": lambda spark, sf: schemes.scheme_coverage(schemes.scheme_table(spark)),
+    "scheme_critical_part": lambda spark, sf: schemes.critical_parts(schemes.scheme_table(spark)),
+    "suffix_array": _of_sa(lambda sa: sa),
+    "bwt": _of_sa(lambda sa: bwt.bwt(sa).select("text_id", "i", "b")),
+    "bwt_runs": _of_sa(lambda sa: bwt.runs(bwt.bwt(sa)).select("text_id", "run", "b", "begin", "length")),
+    "lf_mapping": _of_sa(lambda sa: bwt.lf_mapping(bwt.bwt(sa))),
+    "sa_samples": _of_sa(lambda sa: bwt.runs(bwt.bwt(sa)).select("text_id", "run", "first_sa", "last_sa")),
+    "phi": _of_sa(bwt.phi),
+    "plcp": lambda spark, sf: bwt.plcp(texts(spark, sf), bwt.suffix_array(texts(spark, sf))),
+    "backward_search": _backward,
+}
+
+# SQL ------------------------------------------------------------------------------------------
+
+_SEQS = """
+refs AS (SELECT doc_id AS seq_idx, 'doc' || doc_id AS name, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', '', 'g') AS seq FROM documents),
+reads AS (SELECT 'r' || item_id AS read_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', '', 'g') AS seq FROM benchmark),
+pats AS (SELECT read_id, 'FW' AS strand, seq AS p FROM reads WHERE seq <> '' UNION ALL SELECT read_id, 'RC', reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads WHERE seq <> '')"""
+
+
+def _windows(n: int) -> str:
+    return f"w AS (SELECT seq_idx, seq, unnest(range(length(seq) - {n} + 1))::BIGINT AS pos FROM refs WHERE length(seq) >= {n}), km AS (SELECT *, substr(seq, pos + 1, {n}) AS kmer FROM w)"
+
+
+def _cand(k: int, n: int) -> str:
+    """Where the first n letters of a part stand; n is no more than any part's length."""
+    return f"""{_windows(n)},
+seeds AS (SELECT read_id, strand, p, b, substr(p, b + 1, {n}) AS kmer FROM (SELECT *, unnest([{", ".join(f"(length(p) * {i}) // {k + 1}" for i in range(k + 1))}]) AS b FROM pats)),
+cand AS (SELECT DISTINCT read_id, strand, p, seq_idx, seq, pos - b AS begin FROM seeds JOIN km USING (kmer))"""
+
+
+def _hits(k: int) -> str:
+    """Hamming hits; seeds of 15 // (k + 1) letters, as no read has fewer than 15."""
+    return f"""{_SEQS}, {_cand(k, 15 // (k + 1))},
+hits AS (SELECT read_id, min(strand) AS strand, seq_idx, begin, begin + length(p) AS "end", d AS distance FROM
+  (SELECT *, hamming(p, substr(seq, begin + 1, length(p)))::BIGINT AS d FROM cand WHERE begin >= 0 AND begin + length(p) <= length(seq)) WHERE d <= {k} GROUP BY ALL)""".replace(
+        "GROUP BY ALL", "GROUP BY read_id, seq_idx, begin, length(p), d"
+    )
+
+
+_EXACT = f"""{_SEQS}, {_cand(0, 15)},
+exact AS (SELECT read_id, strand, seq_idx, begin, begin + length(p) AS "end", 0::BIGINT AS distance FROM cand WHERE substr(seq, begin + 1, length(p)) = p)"""
+
+_HIT = 'read_id, strand, seq_idx, begin, "end", distance'
+
+
+def _edit_sql(k: int) -> str:
+    widths = ", ".join(f"({w})" for w in range(-k, k + 1))
+    return f"""{_SEQS}, {_cand(k, 15 // (k + 1))},
+near AS (SELECT DISTINCT read_id, strand, p, seq_idx, seq, begin + s AS begin FROM cand, (VALUES {widths}) AS v(s) WHERE begin + s BETWEEN 0 AND length(seq) - 1),
+each AS (SELECT read_id, strand, seq_idx, begin, length(p) + x AS width, levenshtein(p, substr(seq, begin + 1, (length(p) + x)::BIGINT))::BIGINT AS d
+  FROM near, (VALUES {widths}) AS v(x) WHERE length(p) + x > 0 AND begin + length(p) + x <= length(seq)),
+starts AS (SELECT read_id, strand, seq_idx, begin, begin + (min(struct_pack(d := d, width := width))).width AS "end", min(d) AS distance FROM each WHERE d <= {k} GROUP BY read_id, strand, seq_idx, begin)"""
+
+
+def _thinned(k: int) -> str:
+    """The greedy filter as a fold over each read's sorted list: the last kept hit and those before it."""
+    return f"""{_edit_sql(k)},
+lists AS (SELECT read_id, seq_idx, list(struct_pack(b := begin, d := distance, w := "end" - begin, s := strand) ORDER BY begin, distance, "end" - begin, strand) AS l FROM starts GROUP BY read_id, seq_idx),
+folded AS (SELECT read_id, seq_idx, list_reduce(list_transform(l, lambda x: [x]), lambda a, x:
+    CASE WHEN x[1].b - a[-1].b > {2 * k} THEN list_concat(a, x)
+         WHEN x[1].b = a[-1].b OR x[1].d > a[-1].d OR (x[1].d = a[-1].d AND x[1].w >= a[-1].w) THEN a
+         ELSE list_concat(a[:-2], x) END) AS l FROM lists),
+hits AS (SELECT read_id, h.s AS strand, seq_idx, h.b AS begin, h.b + h.w AS "end", h.d AS distance FROM (SELECT read_id, seq_idx, unnest(l) AS h FROM folded))"""
+
+
+_RANKED = f"""{_hits(1)},
+r1 AS (SELECT *, distance = min(distance) OVER (PARTITION BY read_id) AS is_best, row_number() OVER (PARTITION BY read_id ORDER BY distance, seq_idx, begin, "end", strand) AS rank FROM hits),
+r2 AS (SELECT *, (sum(is_best::INT) OVER (PARTITION BY read_id))::BIGINT AS n_best FROM r1),
+ranked AS (SELECT *, (CASE WHEN NOT is_best THEN 0 WHEN n_best = 1 THEN 60 ELSE round(-10 * log10(1 - 1 / n_best)) END)::BIGINT AS mapq,
+  ((CASE WHEN strand = 'RC' THEN 16 ELSE 0 END) + (CASE WHEN rank = 1 THEN 0 ELSE 256 END))::BIGINT AS flag FROM r2)"""
+
+_SUFFIXES = """
+t AS (SELECT item_id AS text_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', '', 'g') || '$' AS text FROM benchmark),
+s AS (SELECT text_id, text, length(text)::BIGINT AS n, unnest(range(length(text)))::BIGINT AS sa FROM t),
+sa AS (SELECT text_id, text, n, sa, substr(text, sa + 1, 1) AS c, row_number() OVER (PARTITION BY text_id ORDER BY substr(text, sa + 1)) - 1 AS i FROM s),
+bwt AS (SELECT *, substr(text, CASE WHEN sa = 0 THEN n ELSE sa END, 1) AS b FROM sa),
+ch AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY text_id ORDER BY i) THEN 0 ELSE 1 END AS x FROM bwt),
+runs AS (SELECT *, (sum(x) OVER (PARTITION BY text_id ORDER BY i) - 1)::BIGINT AS run FROM ch)"""
+
+
+def _scheme_values() -> str:
+    rows = ", ".join(f"('{s}', {k}, {n}, {a}, {b}, {c})" for s, k, n, a, b, c in schemes.scheme_rows())
+    return f"sch(scheme, k, search_idx, pi, lower, upper) AS (VALUES {rows})"
+
+
+ORACLES = {
+    "normalize_refs": f"WITH {_SEQS} SELECT *, length(seq)::BIGINT AS len FROM refs",
+    "masked_reads": "SELECT item_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', 'N', 'g') AS seq, regexp_matches(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]') AS ambiguous FROM benchmark",
+    "revcomp_reads": f"WITH {_SEQS} SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads",
+    "char_histogram": f"WITH {_SEQS}, n AS (SELECT c, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(seq, '')) AS c FROM refs) WHERE c <> '' GROUP BY c) SELECT c, n, (sum(n) OVER (ORDER BY c) - n)::BIGINT AS smaller FROM n",
+    "kmer_table": f"WITH {_SEQS}, {_windows(10)}, g AS (SELECT kmer, count(*)::BIGINT AS n, min(struct_pack(s := seq_idx, p := pos)) AS f FROM km GROUP BY kmer) "
+    "SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda x: x::BIGINT)), lambda a, x: 4 * a + x) AS kmer, n, f.s AS seq_idx, f.p AS pos FROM g",
+    "kmer_lookup": f"WITH {_SEQS}, {_windows(10)} SELECT read_id, kmer, seq_idx, pos FROM (SELECT read_id, substr(seq, 1, 10) AS kmer FROM reads WHERE length(seq) >= 10) JOIN km USING (kmer)",
+    "seq_offsets": f"WITH {_SEQS} SELECT seq_idx, length(seq)::BIGINT AS len, (sum(length(seq)) OVER (ORDER BY seq_idx) - length(seq))::BIGINT AS start_pos FROM refs",
+    "locate_asof": f"WITH {_EXACT}, o AS (SELECT seq_idx, length(seq) AS len, (sum(length(seq)) OVER (ORDER BY seq_idx) - length(seq))::BIGINT AS start_pos FROM refs), a AS (SELECT DISTINCT begin + start_pos AS global_pos FROM exact JOIN o USING (seq_idx)) SELECT global_pos, seq_idx, global_pos - start_pos AS begin FROM a JOIN o ON global_pos >= start_pos AND global_pos < start_pos + len",
+    "exact_match": f"WITH {_EXACT} SELECT {_HIT} FROM exact WHERE strand = 'FW'",
+    "exact_both_strands": f"WITH {_EXACT} SELECT {_HIT} FROM exact",
+    "hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
+    "hamming_k2": f"WITH {_hits(2)} SELECT {_HIT} FROM hits",
+    "edit_starts_k1": f"WITH {_edit_sql(1)} SELECT {_HIT} FROM starts",
+    "edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
+    "edit_k2": f"WITH {_thinned(2)} SELECT {_HIT} FROM hits",
+    "best_stratum": f"WITH {_hits(2)} SELECT {_HIT} FROM hits QUALIFY distance = min(distance) OVER (PARTITION BY read_id)",
+    "best_plus_x": f"WITH {_hits(2)} SELECT {_HIT} FROM hits QUALIFY distance <= min(distance) OVER (PARTITION BY read_id) + 1",
+    "mapq_flags": f"WITH {_RANKED} SELECT read_id, seq_idx, begin, strand, distance, rank, n_best, mapq, flag FROM ranked",
+    "sam_records": f"""WITH {_RANKED} SELECT read_id AS qname, flag, name AS rname, begin + 1 AS pos, mapq, '*' AS cigar, '*' AS rnext, 0::BIGINT AS pnext, 0::BIGINT AS tlen,
+  CASE WHEN rank > 1 THEN '*' WHEN strand = 'RC' THEN reverse(translate(reads.seq, 'ACGT', 'TGCA')) ELSE reads.seq END AS seq, '*' AS qual, distance AS as_i, distance AS nm_i
+  FROM ranked JOIN refs USING (seq_idx) JOIN reads USING (read_id)
+  UNION ALL SELECT read_id, 4, '*', 0, 0, '*', '*', 0, 0, CASE WHEN seq = '' THEN '*' ELSE seq END, '*', NULL, NULL FROM reads WHERE read_id NOT IN (SELECT read_id FROM hits)""",
+    "xa_records": f"""WITH {_RANKED}, e AS (SELECT *, name || ',' || (CASE WHEN strand = 'RC' THEN '-' ELSE '+' END) || (begin + 1) || ',*,' || distance || ';' AS e FROM ranked JOIN refs USING (seq_idx)),
+  a AS (SELECT read_id, max(n_best) AS n_best, count(*) AS n, coalesce(string_agg(e, '' ORDER BY rank) FILTER (rank > 1), '') AS xa FROM e GROUP BY read_id)
+  SELECT read_id AS qname, name AS rname, begin + 1 AS pos, strand, distance AS nm_i, mapq, a.n_best - 1 AS x0, a.n - a.n_best AS x1, xa FROM e JOIN a USING (read_id) WHERE rank = 1""",
+    "rhs_records": f"""WITH {_hits(1)}, p AS (SELECT DISTINCT read_id, seq_idx, name, distance FROM hits JOIN refs USING (seq_idx)),
+  l AS (SELECT read_id, string_agg('(' || name || ',' || distance || ')', ';' ORDER BY distance, seq_idx) AS l FROM p GROUP BY read_id) SELECT read_id, read_id || chr(9) || coalesce(l, '*') AS line FROM reads LEFT JOIN l USING (read_id)""",
+    "unmapped_reads": f"WITH {_hits(1)} SELECT read_id, seq FROM reads WHERE read_id NOT IN (SELECT read_id FROM hits)",
+    "mapping_stats": f"""WITH {_hits(1)}, n AS (SELECT read_id, count(hits.begin) AS n FROM reads LEFT JOIN hits USING (read_id) GROUP BY read_id)
+  SELECT count(*) AS n_reads, count(*) FILTER (n > 0) AS n_mapped, sum(n)::BIGINT AS n_hits, sum(n) / count(*) AS hits_per_read, (count(*) FILTER (n > 0)) * 100 / count(*) AS mapped_percent FROM n""",
+    "uniform_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, (part * length(seq)) // 3 AS begin, ((part + 1) * length(seq)) // 3 AS \"end\" FROM reads, (VALUES (0), (1), (2)) AS v(part)",
+    "static_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, floor(a * length(seq))::BIGINT AS begin, floor(b * length(seq))::BIGINT AS \"end\" FROM reads, (VALUES (0, 0::DOUBLE, 0.25::DOUBLE), (1, 0.25, 0.5), (2, 0.5, 0.8), (3, 0.8, 1)) AS v(part, a, b)",
+    "schemes": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(pi, ',') AS pi, array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM sch",
+    "scheme_coverage": f"""WITH {_scheme_values()}, p AS (SELECT DISTINCT scheme, k, len(pi) AS p FROM sch),
+  c AS (SELECT scheme, k, p, unnest(range(((k + 1) ** p)::BIGINT)) AS code FROM p),
+  d AS (SELECT scheme, k, code, list_transform(range(p), lambda i: (code // ((k + 1) ** i)::BIGINT) % (k + 1)) AS d FROM c),
+  m AS (SELECT scheme, k, code, list_bool_and(list_transform(range(1, len(pi) + 1), lambda n: list_sum(list_transform(pi[1:n], lambda x: d[x + 1])) BETWEEN lower[n] AND upper[n])) AS good
+    FROM d JOIN sch USING (scheme, k) WHERE list_sum(d) <= k)
+  SELECT scheme, k::BIGINT AS k, count(DISTINCT code) AS n_distributions, count(DISTINCT code) FILTER (good) AS n_covered FROM m GROUP BY scheme, k""",
+    "scheme_critical_part": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, (arg_min(pi[1], struct_pack(u := list_transform(upper, lambda x: -x), l := lower, i := search_idx)))::BIGINT AS critical_part FROM sch GROUP BY scheme, k",
+    "suffix_array": f"WITH {_SUFFIXES} SELECT text_id, i, sa, c, n FROM sa",
+    "bwt": f"WITH {_SUFFIXES} SELECT text_id, i, b FROM bwt",
+    "bwt_runs": f"WITH {_SUFFIXES} SELECT text_id, run, any_value(b) AS b, min(i) AS begin, count(*) AS length FROM runs GROUP BY text_id, run",
+    "lf_mapping": f"WITH {_SUFFIXES} SELECT text_id, i, b, row_number() OVER (PARTITION BY text_id ORDER BY b, i) - 1 AS lf FROM bwt",
+    "sa_samples": f"WITH {_SUFFIXES} SELECT text_id, run, arg_min(sa, i) AS first_sa, arg_max(sa, i) AS last_sa FROM runs GROUP BY text_id, run",
+    "phi": f"WITH {_SUFFIXES} SELECT a.text_id, a.sa, b.sa AS phi, c.sa AS phi_inverse FROM sa a JOIN sa b ON a.text_id = b.text_id AND b.i = (a.i + a.n - 1) % a.n JOIN sa c ON a.text_id = c.text_id AND c.i = (a.i + 1) % a.n",
+    "plcp": f"WITH {_SUFFIXES} SELECT a.text_id, a.sa AS pos, (SELECT coalesce(max(l), 0)::BIGINT FROM unnest(range(1, a.n - greatest(a.sa, b.sa))) AS u(l) WHERE substr(a.text, a.sa + 1, l) = substr(a.text, b.sa + 1, l)) AS plcp FROM sa a LEFT JOIN sa b ON a.text_id = b.text_id AND b.i = a.i - 1",
+    "backward_search": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, min(i) AS begin, max(i) + 1 AS \"end\" FROM sa WHERE sa + {GRAM} < n GROUP BY text_id, pattern",
+}
