@@ -22,18 +22,17 @@ from .common import row_key, stage
 #: Bits per counted key, hash functions, bits of a segment, and the most bits of one filter (16 MB).
 KEY_BITS, PROBES, SEGMENT, MOST_BITS = 12, 4, 1 << 19, 1 << 27
 STRIP = " \t\n\x0b\x0c\r"
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def line_key(line: str, min_chars: int) -> str | None:
-    """The line without ASCII white space at its ends and with A-Z lower-cased; None if that is too short to count."""
+def line_key(line: str, min_chars: int) -> bytes | None:
+    """The line in UTF-8 without ASCII white space at its ends and with A-Z lower-cased; None if that is too short to count."""
     key = line.strip(STRIP)
-    return key.translate(LOWER) if len(key) >= min_chars else None
+    return key.encode().lower() if len(key) >= min_chars else None
 
 
-def key_hash(key: str) -> bytes:
+def key_hash(key: bytes) -> bytes:
     """128 bits that stand for the key in filters and shuffles."""
-    return hashlib.blake2b(key.encode(), digest_size=16).digest()
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -51,7 +50,7 @@ def filter_bits(keys: int) -> int:
     return bits
 
 
-def _document_keys(text: str, min_chars: int) -> set[str]:
+def _document_keys(text: str, min_chars: int) -> set[bytes]:
     return {k for line in text.split("\n") if (k := line_key(line, min_chars)) is not None}
 
 
@@ -62,11 +61,6 @@ def _texts(batches):
                 yield text
 
 
-def _count(batches, min_chars: int):
-    n = sum(len(_document_keys(t, min_chars)) for t in _texts(batches))
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-
 def _pack(segment: int, once: np.ndarray, twice: np.ndarray) -> tuple:
     import zstandard
 
@@ -132,8 +126,9 @@ def _merge(batches):
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
     """The packed bits of the merged second filter: at most MOST_BITS / 8 bytes reach the driver, however large docs is."""
     texts = docs.select(F.col(text_col).alias("text"))
-    n = texts.mapInArrow(partial(_count, min_chars=min_chars), "n long").agg(F.sum("n")).first()[0] or 0
-    bits = filter_bits(n)
+    # no more keys than lines, and no more than fit into the characters
+    lines, chars = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1), F.sum(F.length("text"))).first()
+    bits = filter_bits(min(lines or 0, (chars or 0) // max(1, min_chars)))
     marks = texts.mapInArrow(partial(_mark, min_chars=min_chars, bits=bits), _SEGMENTS)
     merged = marks.repartition(max(1, min(64, bits // SEGMENT)), "segment").sortWithinPartitions("segment").mapInArrow(_merge, _SEGMENTS)
     out = np.zeros(bits // 8, np.uint8)
@@ -199,7 +194,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     found = rows.select("doc_id", "rk", "text").mapInArrow(partial(_suspects, min_chars=min_chars, shared=shared), "doc_id long, rk long, hash binary")
     suspects = stage(found, "suspects")
     verdicts = suspects.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-    lost = suspects.join(verdicts.select("hash", "keeper"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    verdicts = stage(verdicts.select("hash", "keeper"), "verdicts")  # so that Spark can split the suspects of a hot key
+    lost = suspects.join(verdicts, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # the lines of one document: no more than its text holds
     lost = lost.groupBy("doc_id", "rk").agg(F.collect_set("hash").alias("dropped"))
     lost = lost.withColumnRenamed("doc_id", "lost_id").withColumnRenamed("rk", "lost_rk")

@@ -9,16 +9,19 @@ import numpy as np
 from strandwise.llm import line_dedup, queries
 
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def brute(rows, min_chars=40, min_docs=5):
     holders = defaultdict(list)
     for n, (i, text, *_) in enumerate(rows):
-        for key in {k for line in (text or "").split("\n") if len(k := line.strip(" \t\n\x0b\x0c\r").translate(line_dedup.LOWER)) >= min_chars}:
+        for key in {k for line in (text or "").split("\n") if len(k := line.strip(" \t\n\x0b\x0c\r").translate(LOWER)) >= min_chars}:
             holders[key].append(i)
     out = []
     for i, text, *_ in rows:
         lines, kept = (text or "").split("\n"), []
         for line in lines:
-            has = holders.get(line.strip(" \t\n\x0b\x0c\r").translate(line_dedup.LOWER), [])
+            has = holders.get(line.strip(" \t\n\x0b\x0c\r").translate(LOWER), [])
             ids = [x for x in has if x is not None]
             if len(has) < min_docs or not ids or i == max(ids):
                 kept.append(line)
