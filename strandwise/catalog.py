@@ -139,6 +139,14 @@ def _backward(spark, sf):
     return bwt.backward_search(bwt.bwt(bwt.suffix_array(own)), patterns.select(F.col("seq_idx").alias("text_id"), F.col("kmer").alias("pattern")).distinct(), GRAM)
 
 
+def _selective_seeds(spark, sf):
+    return matching.selective_seeds(matching.strands(reads(spark, sf)), matching.tiles(ref_seqs(spark, sf), 8), 1, 6)
+
+
+def _locate_patterns(spark, sf):
+    return bwt.locate(_backward(spark, sf), bwt.suffix_array(texts(spark, sf)))
+
+
 QUERIES = {
     "normalize_refs": _normalize_refs,
     "masked_reads": _masked_reads,
@@ -153,6 +161,8 @@ QUERIES = {
     "hamming_k1": _hamming(1),
     "hamming_k2": _hamming(2),
     "edit_starts_k1": _edit_starts,
+    "cluster_centres": lambda spark, sf: matching.cluster_centres(_edit_starts(spark, sf)),
+    "selective_seeds": _selective_seeds,
     "edit_k1": _edit(1),
     "edit_k2": _edit(2),
     "best_stratum": _best(0),
@@ -176,6 +186,10 @@ QUERIES = {
     "phi": _of_sa(bwt.phi),
     "plcp": lambda spark, sf: bwt.plcp(texts(spark, sf), bwt.suffix_array(texts(spark, sf))),
     "backward_search": _backward,
+    "locate_patterns": _locate_patterns,
+    "run_outputs": _of_sa(lambda sa: bwt.run_outputs(bwt.bwt(sa))),
+    "sample_before": _of_sa(lambda sa: bwt.sample_before(bwt.bwt(sa))),
+    "sa_permutation": _of_sa(bwt.is_permutation),
 }
 
 # SQL ------------------------------------------------------------------------------------------
@@ -267,6 +281,16 @@ ORACLES = {
     "hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
     "hamming_k2": f"WITH {_hits(2)} SELECT {_HIT} FROM hits",
     "edit_starts_k1": f"WITH {_edit_sql(1)} SELECT {_HIT} FROM starts",
+    "cluster_centres": f"""WITH {_edit_sql(1)}, n AS (SELECT s.*, l.distance AS l, r.distance AS r FROM starts s
+  LEFT JOIN starts l ON (l.read_id, l.strand, l.seq_idx, l.begin) = (s.read_id, s.strand, s.seq_idx, s.begin - 1)
+  LEFT JOIN starts r ON (r.read_id, r.strand, r.seq_idx, r.begin) = (s.read_id, s.strand, s.seq_idx, s.begin + 1))
+  SELECT {_HIT} FROM n WHERE coalesce(l, distance) >= distance AND coalesce(r, distance) >= distance""",
+    "selective_seeds": f"""WITH {_SEQS}, {_windows(6)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer),
+  p AS (SELECT read_id, strand, p, part::BIGINT AS part, (part * length(p)) // 2 AS b, ((part + 1) * length(p)) // 2 AS e FROM pats, (VALUES (0), (1)) AS v(part)),
+  a AS (SELECT *, unnest(range(b, e - 5)) AS at_ FROM p),
+  k AS (SELECT *, substr(p, at_ + 1, 6) AS kmer FROM a),
+  m AS (SELECT read_id, strand, part, min(struct_pack(n := coalesce(n, 0), at_ := at_, kmer := kmer)) AS m FROM k LEFT JOIN c USING (kmer) GROUP BY read_id, strand, part)
+  SELECT read_id, strand, part, m.at_ AS begin, m.kmer AS kmer, m.n AS occurrences FROM m""",
     "edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
     "edit_k2": f"WITH {_thinned(2)} SELECT {_HIT} FROM hits",
     "best_stratum": f"WITH {_hits(2)} SELECT {_HIT} FROM hits QUALIFY distance = min(distance) OVER (PARTITION BY read_id)",
@@ -302,4 +326,11 @@ ORACLES = {
     "phi": f"WITH {_SUFFIXES} SELECT a.text_id, a.sa, b.sa AS phi, c.sa AS phi_inverse FROM sa a JOIN sa b ON a.text_id = b.text_id AND b.i = (a.i + a.n - 1) % a.n JOIN sa c ON a.text_id = c.text_id AND c.i = (a.i + 1) % a.n",
     "plcp": f"WITH {_SUFFIXES} SELECT a.text_id, a.sa AS pos, (SELECT coalesce(max(l), 0)::BIGINT FROM unnest(range(1, a.n - greatest(a.sa, b.sa))) AS u(l) WHERE substr(a.text, a.sa + 1, l) = substr(a.text, b.sa + 1, l)) AS plcp FROM sa a LEFT JOIN sa b ON a.text_id = b.text_id AND b.i = a.i - 1",
     "backward_search": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, min(i) AS begin, max(i) + 1 AS \"end\" FROM sa WHERE sa + {GRAM} < n GROUP BY text_id, pattern",
+    "locate_patterns": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, sa AS pos FROM sa WHERE sa + {GRAM} < n",
+    "run_outputs": f"""WITH {_SUFFIXES}, lf AS (SELECT text_id, i, row_number() OVER (PARTITION BY text_id ORDER BY b, i) - 1 AS lf FROM bwt),
+  e AS (SELECT text_id, run, min(i) AS begin, max(i) AS last FROM runs GROUP BY text_id, run)
+  SELECT e.text_id, e.run, lf AS output, o.run AS output_run FROM e JOIN lf ON lf.text_id = e.text_id AND lf.i = e.begin JOIN e o ON o.text_id = e.text_id AND lf BETWEEN o.begin AND o.last""",
+    "sample_before": f"""WITH {_SUFFIXES}, f AS (SELECT text_id, arg_min(sa, i) AS s FROM runs GROUP BY text_id, run)
+  SELECT text_id, sa AS pos, coalesce((SELECT max(s) FROM f WHERE f.text_id = sa.text_id AND s <= sa.sa), (SELECT max(s) FROM f WHERE f.text_id = sa.text_id)) AS sample FROM sa""",
+    "sa_permutation": f"WITH {_SUFFIXES} SELECT text_id, min(sa) = 0 AND max(sa) = count(*) - 1 AND count(DISTINCT sa) = count(*) AS good FROM sa GROUP BY text_id",
 }

@@ -90,3 +90,38 @@ def backward_search(transformed: DataFrame, patterns: DataFrame, length: int) ->
         step = state.join(lf, (F.col(_BY) == F.col("t")) & (F.col("b") == c) & (F.col("i") >= F.col("begin")) & (F.col("i") < F.col("end")))
         state = step.groupBy(_BY, "pattern").agg(F.min("lf").alias("begin"), (F.max("lf") + 1).alias("end"))
     return state
+
+
+def locate(ranges: DataFrame, sa: DataFrame) -> DataFrame:
+    """(text_id, pattern, pos): text positions of the rows of each range."""
+    rows = sa.select(F.col(_BY).alias("t"), "i", "sa")
+    found = ranges.join(rows, (F.col(_BY) == F.col("t")) & (F.col("i") >= F.col("begin")) & (F.col("i") < F.col("end")))
+    return found.select(_BY, "pattern", F.col("sa").alias("pos"))
+
+
+def run_outputs(transformed: DataFrame) -> DataFrame:
+    """(text_id, run, output, output_run): where the mapping leads the first row of each run, and the run that lies in.
+
+    An as-of search of outputs among run starts, by a window over both.
+    """
+    starts = runs(transformed).select(_BY, "run", F.col("begin").alias("i"))
+    leads = starts.join(lf_mapping(transformed), [_BY, "i"]).select(_BY, "run", F.col("lf").alias("output"))
+    none = F.lit(None).cast("long")
+    both = starts.select(_BY, F.col("i").alias("at"), F.col("run").alias("start"), none.alias("run"), F.lit(0).alias("kind")).union(leads.select(_BY, F.col("output").alias("at"), none.alias("start"), F.col("run"), F.lit(1).alias("kind")))
+    last = F.last("start", True).over(Window.partitionBy(_BY).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("output_run", last).where("kind = 1").select(_BY, "run", F.col("at").alias("output"), "output_run")
+
+
+def sample_before(transformed: DataFrame) -> DataFrame:
+    """(text_id, pos, sample): the first sample of a run at or before each text position, circularly the greatest of all."""
+    samples = runs(transformed).select(_BY, F.col("first_sa").alias("pos"), F.col("first_sa").alias("s"))
+    joined = transformed.select(_BY, F.col("sa").alias("pos")).join(samples, [_BY, "pos"], "left")
+    before = F.last("s", True).over(Window.partitionBy(_BY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    greatest = F.max("s").over(Window.partitionBy(_BY))
+    return joined.select(_BY, "pos", F.coalesce(before, greatest).alias("sample"))
+
+
+def is_permutation(sa: DataFrame) -> DataFrame:
+    """(text_id, good): whether positions are 0 to n - 1, each once."""
+    n = F.count(F.lit(1))
+    return sa.groupBy(_BY).agg(((F.min("sa") == 0) & (F.max("sa") == n - 1) & (F.count_distinct("sa") == n)).alias("good"))

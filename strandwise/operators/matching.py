@@ -13,7 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import revcomp
@@ -220,3 +220,26 @@ def _thin(batches, reach: int):
 def edit_match(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """Non-redundant hits with at most k substitutions, insertions and deletions. With k = 0, exact hits."""
     return exact_match(reads, refs) if k == 0 else nonredundant(edit_starts(reads, refs, k), k)
+
+
+def cluster_centres(starts: DataFrame) -> DataFrame:
+    """Starts whose distance is no more than that at the starts next to them, of one read, strand and sequence."""
+    line = Window.partitionBy("read_id", "strand", "seq_idx").orderBy("begin")
+    near = lambda f, step: F.when(f("begin").over(line) == F.col("begin") + step, f("distance").over(line))
+    left, right = near(F.lag, -1), near(F.lead, 1)
+    flagged = starts.withColumn("_centre", (F.coalesce(left, F.col("distance")) >= F.col("distance")) & (F.coalesce(right, F.col("distance")) >= F.col("distance")))
+    return flagged.where("_centre").drop("_centre")
+
+
+def selective_seeds(patterns: DataFrame, tiled: DataFrame, k: int, length: int) -> DataFrame:
+    """For each part of each pattern the k-mer within it that the references hold least often, the leftmost of equals.
+
+    (read_id, strand, part, begin, kmer, occurrences). Any of them finds what the part's first does;
+    the rarest brings the fewest candidates. Parts shorter than length have none.
+    """
+    counts = kmers(tiled, [length]).groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences"))
+    parts = uniform_parts(patterns, k + 1).where(F.col("end") - F.col("begin") >= length)
+    each = parts.withColumn("at", F.explode(F.expr(f"sequence(begin, end - {length})"))).withColumn("kmer", F.expr(f"substring(pattern, cast(at AS int) + 1, {length})"))
+    known = each.join(counts, "kmer", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
+    best = known.groupBy("read_id", "strand", "part").agg(F.min(F.struct("occurrences", "at", "kmer")).alias("b"))
+    return best.select("read_id", "strand", F.col("part").cast("long").alias("part"), F.col("b.at").alias("begin"), F.col("b.kmer").alias("kmer"), F.col("b.occurrences").alias("occurrences"))
