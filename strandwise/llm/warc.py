@@ -64,21 +64,23 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     Null ids rank below all and come first; if only null ids hold a payload, all are responses.
     A null payload is empty; a null url is about:blank. An empty table gives an empty manifest.
 
-    Only digests and ids are shuffled to find responses: sums per digest first, then a join whose
-    stream side Spark can split. Payloads are shuffled once, to their range.
+    Only digests and ids are shuffled to find responses: largest ids per digest, taken before the
+    shuffle, then a join whose stream side Spark can split. Payloads are shuffled once, to their range.
     """
     spark = pages.sparkSession
     parts = shuffle_partitions(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     points = split_points(rows, "page_id", 4 * parts)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    large = F.octet_length(payload) >= min_revisit_bytes
-    digest = F.sha2(payload, 256)
-    rows = rows.withColumn("same", F.when(large, digest))
-    best = rows.where(F.col("same").isNotNull() & F.col("page_id").isNotNull()).groupBy("same").agg(F.max("page_id").alias("target")).withColumnRenamed("same", "of")
-    ids = rows.join(best, F.col("same") == F.col("of"), "left").select("page_id", "url", "html", "target")
-    ranged = ids.mapInArrow(partial(_range, points=points), "shard long, page_id long, url string, html string, target long")
-    ordered = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "html", "url")
+    sha = F.unhex(F.sha2(payload, 256))
+    # a row of its own carries each target to the shard of its page, where it sorts before the page
+    large = rows.where(F.octet_length(payload) >= min_revisit_bytes).select("page_id", sha.alias("sha"))
+    best = large.groupBy("sha").agg(F.max("page_id").alias("target")).where("target is not null").withColumnRenamed("sha", "of")
+    best = stage(best, "warc-targets")  # so that Spark can split the pages of a hot payload
+    targets = large.join(best, F.col("sha") == F.col("of")).select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "target").distinct()
+    payloads = rows.select("page_id", sha.alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("target"))
+    ranged = payloads.union(targets).mapInArrow(partial(_range, points=points), "shard long, page_id long, sha binary, kind int, url string, html string, target long")
+    ordered = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "sha", "kind", "url")
     written = ordered.mapInArrow(partial(_write, folder=folder, roll_bytes=roll_bytes, date=date), "shard long, part long, path string, n_records long, n_bytes long, sha256 string")
     return stage(written, "warc-manifest")
 
@@ -108,18 +110,22 @@ class _File:
 def _write(batches, folder: str, roll_bytes: int, date: str):
     names = ["shard", "part", "path", "n_records", "n_bytes", "sha256"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-    out, last = None, None
+    out, last, known = None, None, None
 
     def row(values):
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     for batch in batches:
-        for shard, page_id, url, html, target in zip(*(c.to_pylist() for c in batch.columns)):
+        for shard, page_id, sha, kind, url, html, target in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                known = page_id, sha, target
+                continue
             data = (html or "").encode()
             digest = base32_sha1(data)
+            target = known[2] if known and known[:2] == (page_id, sha) else None
             # equal ids and payloads stand together: the first of them is the response
-            revisit = target is not None and (page_id != target or last == (page_id, digest))
-            last = page_id, digest
+            revisit = target is not None and (page_id != target or last == (page_id, sha))
+            last = page_id, sha
             if out is not None and (out.shard != shard or out.file.written >= roll_bytes):
                 part = out.part + 1 if out.shard == shard else 0
                 yield row(out.close())
