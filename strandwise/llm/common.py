@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where tables are staged if the cluster names no folder (single-machine tests).
 FALLBACK_DIR = "/tmp/checkpoints/strandwise"
+#: The most row keys that are broadcast (16 MB) to read only those rows' texts; with more, all texts are joined.
+MOST_KEYS = 1 << 21
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +36,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandwise-{tag}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are cut by bytes and rows, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,3 +72,23 @@ def by_bytes(items: Iterable[tuple], size, limit: int) -> Iterator[list]:
         total += n
     if held:
         yield held
+
+
+def _pick(batches, keys, inside: bool):
+    for batch in batches:
+        rk = batch.column("rk").to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(keys.value, rk), max(0, len(keys.value) - 1))
+        hit = keys.value[at] == rk if len(keys.value) else np.zeros(len(rk), bool)
+        yield batch.filter(pa.array(hit == inside))
+
+
+def rows_with(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key rk is among wanted.rk, all others); with more than MOST_KEYS keys (rows, None), so callers join in any case."""
+    keys = wanted.select("rk").distinct()
+    n = keys.count()
+    if n > MOST_KEYS:
+        return rows, None
+    found = keys.toArrow().column(0).to_numpy() if n else np.zeros(0, np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(found))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return tuple(rows.mapInArrow(partial(_pick, keys=shared, inside=x), schema) for x in (True, False))

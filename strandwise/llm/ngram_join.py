@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, stage
+from .common import by_bytes, row_key, rows_with, stage
 from .components import connected_components
 
 #: Bits of a token that select its counter (2**20 counters, 1 MB for all workers); counters of a segment.
@@ -31,7 +31,7 @@ SINGLES = 48
 BITMAP_BITS = 1024
 #: Members of a bucket that are compared at a time.
 BLOCK = 1024
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -56,12 +56,12 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text: A-Z lower-cased, words split at ASCII white space.
 
     With fewer words than size, the whole sequence is one shingle; without words there is none.
     """
-    words = (text or "").encode().lower().split()
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = _hashes(words)
@@ -145,7 +145,7 @@ def _features(batches, size: int, seed: int):
     for batch in batches:
         out = []
         for i, rk, text in zip(*(c.to_pylist() for c in batch.columns)):
-            tokens = shingle_set(text, size)
+            tokens = shingle_set((text or "").encode(), size)
             node = proof = None
             if len(tokens):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
@@ -199,7 +199,7 @@ def _sign(batches, size: int, num: int, den: int, shared, seed: int):
     for batch in batches:
         nodes, found = [], []
         for text in batch.column(0).to_pylist():
-            tokens = shingle_set(text, size)
+            tokens = shingle_set((text or "").encode(), size)
             if len(tokens):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
                 own = signatures(tokens, levels, num, den)
@@ -209,15 +209,26 @@ def _sign(batches, size: int, num: int, den: int, shared, seed: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
 
+def _zip(batches):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["rk", "text"])
+
+
 def _verify(batches, size: int, num: int, den: int):
-    """Pairs arrive sorted by a, so the set of a is made once for its run."""
+    """Pairs arrive sorted by a, so the set of a is made once for its run. Texts are compressed."""
+    import zstandard
+
+    inflate = zstandard.ZstdDecompressor().decompress
     last, own = None, None
     for batch in batches:
         linked = []
         for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
             if a != last:
-                last, own = a, shingle_set(text_a, size)
-            other = shingle_set(text_b, size)
+                last, own = a, shingle_set(inflate(text_a), size)
+            other = shingle_set(inflate(text_b), size)
             common = len(np.intersect1d(own, other, assume_unique=True))
             linked.append(den * common >= num * (len(own) + len(other) - common))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -273,19 +284,22 @@ def _cross(batches, num: int, den: int, forest: bool):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Candidates across labels, within buckets that still hold more than one label. Large buckets are met in pairs of blocks."""
+def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """(candidates across labels within buckets that still hold more than one label, the members of such buckets).
+
+    Large buckets are met in pairs of blocks. A bucket that holds one label will never hold more.
+    """
     named = stage(members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "named")
     open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     open_ = stage(open_.select(F.col("sig").alias("open_sig"), blocks.alias("blocks")), "open")
-    rows = named.join(open_, F.col("sig") == F.col("open_sig"))
+    rows = stage(named.join(open_, F.col("sig") == F.col("open_sig")).drop("open_sig"), "open-members")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
-    rows = rows.join(sets.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).drop("of")
-    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
-    return dealt.mapInArrow(partial(_cross, num=num, den=den, forest=forest), "a long, b long").distinct()
+    pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = pairs.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
+    pairs = pairs.join(sets.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).drop("of")
+    dealt = pairs.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
+    return dealt.mapInArrow(partial(_cross, num=num, den=den, forest=forest), "a long, b long").distinct(), rows.select("sig", "node")
 
 
 def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,22 +338,25 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
     members = stage(signed.join(buckets, F.col("sig") == F.col("of")).select("sig", "node", "lo").distinct(), "members")
 
     wanted = members.select("node").distinct().join(nodes.select(F.col("node").alias("of"), F.col("rk").alias("of_rk")), F.col("node") == F.col("of")).select("node", "of_rk")
-    texts = rows.select("rk", "text").join(wanted, F.col("rk") == F.col("of_rk")).select("node", "text")
+    wanted = stage(wanted, "wanted")
+    some, _ = rows_with(rows.select("rk", "text"), wanted.select(F.col("of_rk").alias("rk")))
     # rows that repeat share a row key: one text stays for each node
-    texts = stage(texts.dropDuplicates(["node"]), "texts")
+    texts = some.mapInArrow(_zip, "rk long, text binary").join(wanted, F.col("rk") == F.col("of_rk")).dropDuplicates(["rk"]).select("node", "text")
+    texts = stage(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("node_a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("node_b"), F.col("text").alias("text_b"))
-        both = pairs.join(a, F.col("a") == F.col("node_a")).select("a", "b", "text_a").join(b, F.col("b") == F.col("node_b")).select("a", "b", "text_a", "text_b")
+        both = pairs.join(b, F.col("b") == F.col("node_b")).select("a", "b", "text_b").join(a, F.col("a") == F.col("node_a")).select("a", "b", "text_a", "text_b")
         return stage(both.sortWithinPartitions("a").mapInArrow(partial(_verify, size=shingle, num=num, den=den), "a long, b long, linked boolean"), "verified").where("linked").select("a", "b")
 
     first = members.where("node <> lo").groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a"))
     edges = verified(first.select("a", "b"))
     labels = connected_components(edges)
+    members = members.select("sig", "node")
     for forest in (True, False):
-        more = verified(_cross_pairs(members.select("sig", "node"), labels, nodes, num, den, forest))
-        edges = edges.union(more)
+        pairs, members = _cross_pairs(members, labels, nodes, num, den, forest)
+        edges = edges.union(verified(pairs))
         labels = connected_components(edges)
 
     named = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
