@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 from .common import by_bytes, row_key, rows_with, stage
 from .components import connected_components
 
-#: Bits of a token that select its counter (2**20 counters, 1 MB for all workers); counters of a segment.
-SKETCH_BITS, SEGMENT = 20, 1 << 15
-#: Levels of a counter are 4 * log2(1 + count / mean); from these levels on, tokens count as frequent and very frequent.
-PAIRS, TRIPLES = 10, 24
+#: A counter for about so many tokens, so that counters tell frequent tokens from chance at any size; the fewest and
+#: the most bits of a token that select its counter (a byte for each goes to all workers: 16 MB); counters of a segment.
+TOKENS, LEAST_BITS, MOST_BITS, SEGMENT = 32, 16, 24, 1 << 15
+#: Levels of a counter are 12 * log2(1 + count / mean); from these levels on, tokens count as frequent and very frequent.
+PAIRS, TRIPLES = 30, 72
 #: Sets up to this size use single tokens only.
 SINGLES = 48
 #: Bits of the parity bitmap that bounds the symmetric difference of two sets.
 BITMAP_BITS = 1024
 #: Members of a bucket that are compared at a time.
 BLOCK = 1024
-KEPT_WORDS = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -42,18 +42,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[bytes, int] = {}
+#: Bytes hashed at a time; longer words than LONG_WORD are hashed one by one.
+PIECE, LONG_WORD = 1 << 20, 256
+_BASE = 0xD6E8FEB86659FD93
+_rng = np.random.default_rng(20240301)
+_VALUE = _rng.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def _powers(base: int) -> np.ndarray:
+    out = np.full(PIECE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in lower case, split at ASCII white space.
+
+    A word's hash is the difference of two prefix polynomial hashes modulo 2**64, shifted to the
+    word's start; words too long for that to tell apart well are hashed one by one.
+    """
     import xxhash
 
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    out, at = [], 0
+    while at < len(text):
+        piece = text[at : at + PIECE]
+        if at + PIECE < len(text) and not _IS_SPACE[text[at + PIECE]]:
+            spaces = np.flatnonzero(_IS_SPACE[np.frombuffer(piece, np.uint8)])
+            if not len(spaces):  # one word fills the piece
+                word = text[at:].split(None, 1)[0]
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+                at += len(word)
+                continue
+            piece = piece[: spaces[-1] + 1]
+        at += len(piece)
+        b = np.frombuffer(piece, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[b], [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_VALUE[b] * _UP[: len(b)], out=sums[1:])
+        h = mix((sums[ends] - sums[starts]) * _DOWN[np.minimum(starts, PIECE - 1)] + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(piece[starts[k] : ends[k]])
+        out.append(h)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -61,10 +96,9 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 
     With fewer words than size, the whole sequence is one shingle; without words there is none.
     """
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _hashes(words)
+    h = word_hashes(text.lower())
+    if not len(h):
+        return h
     n = min(size, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64) + np.uint64(n)
     with np.errstate(over="ignore"):
@@ -89,7 +123,7 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
 def signatures(tokens: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of one set; linked sets share at least one."""
     n = len(tokens)
-    level = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = levels[(tokens >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
     order = np.lexsort((tokens, level))
     budget = n - needed(n, num, den) + 1
     first = order[:budget]
@@ -132,12 +166,18 @@ def bitmap(tokens: np.ndarray) -> bytes:
 _FEATURES = "doc_id long, rk long, node long, proof long, n int, bits binary, segment int, counts binary"
 
 
-def _features(batches, size: int, seed: int):
+def sketch_bits(docs: DataFrame) -> int:
+    """About TOKENS tokens a counter, at six characters a word; beyond MOST_BITS only the order of tokens gets coarser."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, round(np.log2(1 + chars / 6 / TOKENS))))
+
+
+def _features(batches, size: int, seed: int, bits: int):
     import zstandard
 
     names = ["doc_id", "rk", "node", "proof", "n", "bits", "segment", "counts"]
     kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << bits, np.uint32)
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -150,7 +190,7 @@ def _features(batches, size: int, seed: int):
             if len(tokens):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
                 node, proof = np.frombuffer(digest, "<i8").tolist()
-                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
             out.append((i, rk, node, proof, len(tokens), bitmap(tokens), None, None))
         if out:
             yield table(out)
@@ -183,15 +223,15 @@ def _add(batches):
         yield row()
 
 
-def token_levels(features: DataFrame) -> np.ndarray:
-    """One byte per counter: how frequent its tokens are, relative to the mean counter. 1 MB, however many documents there are."""
+def token_levels(features: DataFrame, bits: int) -> np.ndarray:
+    """One byte per counter: how frequent its tokens are, relative to the mean counter."""
     import zstandard
 
-    parts = features.where("n < 0").select("segment", "counts").repartition((1 << SKETCH_BITS) // SEGMENT, "segment").sortWithinPartitions("segment")
-    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
+    parts = features.where("n < 0").select("segment", "counts").repartition(min(64, (1 << bits) // SEGMENT), "segment").sortWithinPartitions("segment")
+    counts = np.zeros(1 << bits, np.float32)
     for segment, data in parts.mapInArrow(_add, "segment int, counts binary").toLocalIterator():
         counts[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * SEGMENT), np.uint64)
-    return np.minimum(255, 4 * np.log2(1 + counts / (counts.mean() + 1))).astype(np.uint8)
+    return np.minimum(255, 12 * np.log2(1 + counts / (counts.mean() + 1))).astype(np.uint8)
 
 
 def _sign(batches, size: int, num: int, den: int, shared, seed: int):
@@ -320,9 +360,9 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
-    seed = 0
+    seed, bits = 0, sketch_bits(rows)
     while True:
-        features = stage(rows.select("doc_id", "rk", "text").mapInArrow(partial(_features, size=shingle, seed=seed), _FEATURES), "features")
+        features = stage(rows.select("doc_id", "rk", "text").mapInArrow(partial(_features, size=shingle, seed=seed, bits=bits), _FEATURES), "features")
         present = features.where("node is not null")
         nodes = stage(
             present.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rk").alias("rk"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.first("n").alias("n"), F.first("bits").alias("bits")),
@@ -331,7 +371,7 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
         if not nodes.where("lo <> hi").limit(1).count():
             break
         seed += 1
-    shared = docs.sparkSession.sparkContext.broadcast(token_levels(features))
+    shared = docs.sparkSession.sparkContext.broadcast(token_levels(features, bits))
     signed = stage(rows.select("text").mapInArrow(partial(_sign, size=shingle, num=num, den=den, shared=shared, seed=seed), "sig long, node long"), "signatures")
     # staged, so that Spark can split the other side of the join where a signature is hot
     buckets = stage(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("sig").alias("of"), "lo"), "buckets")

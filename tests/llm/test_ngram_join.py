@@ -67,7 +67,7 @@ def test_against_brute_force(make_docs, odd_texts, monkeypatch, size, num, den):
 @pytest.mark.parametrize("levels", ["rare", "frequent", "mixed"])
 def test_linked_sets_share_a_signature_and_bitmaps_bound_them(levels):
     rng = np.random.default_rng(5)
-    table = {"rare": np.zeros(1 << 20, np.uint8), "frequent": np.full(1 << 20, 30, np.uint8), "mixed": rng.integers(0, 60, 1 << 20).astype(np.uint8)}[levels]
+    table = {"rare": np.zeros(1 << 20, np.uint8), "frequent": np.full(1 << 20, 90, np.uint8), "mixed": rng.integers(0, 120, 1 << 20).astype(np.uint8)}[levels]
     for num, den in ((9, 10), (8, 10)):
         for _ in range(150):
             n = int(rng.choice([2, 5, 20, 47, 50, 53, 60, 130, 400, 1500]))
@@ -86,10 +86,10 @@ def test_names_of_sets_are_proved(make_docs, monkeypatch):
     calls = []
     real = nj._features
 
-    def few_names(batches, size, seed):
+    def few_names(batches, size, seed, bits):
         import pyarrow as pa
 
-        for batch in real(batches, size, seed):
+        for batch in real(batches, size, seed, bits):
             i = batch.schema.get_field_index("node")
             yield batch if seed else batch.set_column(i, "node", pa.array([None if v is None else v % 3 for v in batch.column(i).to_pylist()], pa.int64()))
 
@@ -98,6 +98,18 @@ def test_names_of_sets_are_proved(make_docs, monkeypatch):
     assert Counter(map(tuple, got.collect())) == components(rows, 3, 9, 10) and not calls
 
 
+@pytest.mark.parametrize("piece", [16, 300, 1 << 20])
+def test_word_hashes_name_words(monkeypatch, sf_docs, piece):
+    monkeypatch.setattr(nj, "PIECE", piece)
+    name, word = {}, {}
+    for text in [d["text"] for d in sf_docs[:60 if piece < 1000 else 200]] + ["", " ", "a", "x" * 1000 + " y " + "x" * 1000, "\t a\x0bb\x0c", "q" * 299 + " " + "q" * 299, "é\u2003é \x1c"]:
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.encode()) if w]
+        hashes = nj.word_hashes(text.encode()).tolist()
+        assert len(hashes) == len(words)
+        for w, h in zip(words, hashes):
+            assert name.setdefault(w, h) == h and word.setdefault(h, w) == w
+
+
 def test_empty(make_docs):
     assert nj.linked_documents(make_docs([])).count() == 0
     assert nj.one_of_each(make_docs([])).count() == 0
