@@ -9,7 +9,6 @@ read. A second pass shuffles only keys whose bits are all there; exact counts of
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import partial
 
 import numpy as np

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
