@@ -12,7 +12,7 @@ from .common import row_key, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What str.split() takes for white space besides \x20 and \x09-\x0D.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SYMBOLS = "#*$%&|<>"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)} | {c: "0" for c in range(ord("1"), ord("9") + 1)}
 #: A line is frequent on a host beyond both: so many distinct documents, such a share of the host's distinct documents.
