@@ -12,14 +12,13 @@ byte by byte before they count.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, stage
+from .common import by_bytes, row_key, rows_with, stage
 
 LENGTH, GRAM = 400, 64
 #: Bytes before and after an anchor's start that strings with the anchor can reach.
@@ -29,10 +28,8 @@ PLACES = 1 << 20
 BLOCK = PLACES - LENGTH
 #: Contexts of one anchor that are sorted in memory; of a larger group, parts of this many string starts are met by hashes first.
 GROUP, PART = 2048, 85
-#: Contexts that a task sorts at a time.
-SORTED = 2048
-#: The most row keys that are broadcast (8 MB) to read only those rows' texts; with more, all texts are joined.
-MOST_KEYS = 1 << 20
+#: Contexts that a task sorts at a time, and pairs that it compares byte by byte at a time.
+SORTED = 1024
 
 _rng = np.random.default_rng(20240229)
 #: A byte's random value, and powers of an odd base and of its inverse modulo 2**64.
@@ -159,9 +156,12 @@ class Contexts:
         return out
 
     def bytes_equal(self, i, j, start, length) -> np.ndarray:
-        column = np.arange(self.data.shape[1])
-        outside = (column < start[:, None]) | (column >= (start + length)[:, None])
-        return ((self.data[i] == self.data[j]) | outside).all(1)
+        column, out = np.arange(self.data.shape[1]), np.empty(len(i), bool)
+        for at in range(0, len(i), SORTED):
+            k = slice(at, at + SORTED)
+            outside = (column < start[k, None]) | (column >= (start[k] + length[k])[:, None])
+            out[k] = ((self.data[i[k]] == self.data[j[k]]) | outside).all(1)
+        return out
 
 
 def sort_suffixes(contexts: Contexts, which: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -231,9 +231,11 @@ def repeated_starts(contexts: Contexts, group: np.ndarray, done: np.ndarray) ->
     occurs once, none of them is repeated; where the union of the part's strings occurs twice, all
     are, and one of the contexts stands for the others from there on.
     """
-    found = []
-    which, u, v = np.arange(len(group)), np.zeros(len(group), np.int64), np.full(len(group), LEFT)
-    done = done.copy()
+    found, n, half = [], len(group), LEFT // 2
+    # all share the anchor's bytes and no two are equal, so the first halving needs no look
+    which, done = np.tile(np.arange(n), 2), np.tile(done, 2)
+    group = np.concatenate([group, group + group.max(initial=0) + 1])
+    u, v = np.repeat([0, half + 1], n), np.repeat([half, LEFT], n)
     while len(which):
         # the middle: from u before the anchor, LENGTH - v after it
         has = (contexts.left[which] >= u) & (contexts.right[which] >= LENGTH - v)
@@ -370,25 +372,6 @@ def _resolve_large(contexts: DataFrame) -> DataFrame:
     return _repeated(open_.mapInArrow(_windows, "rk long, lo long, key binary")).select("rk", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
-def _pick(batches, keys, inside: bool):
-    for batch in batches:
-        rk = batch.column("rk").to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(keys.value, rk), max(0, len(keys.value) - 1))
-        hit = keys.value[at] == rk if len(keys.value) else np.zeros(len(rk), bool)
-        yield batch.filter(pa.array(hit == inside))
-
-
-def rows_with(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows that may have a key in wanted.rk, all others). With more than MOST_KEYS keys, or none known to be fewer: (rows, None)."""
-    keys = wanted.select("rk").distinct()
-    found = np.array([r.rk for r in keys.limit(MOST_KEYS + 1).toLocalIterator()], np.int64)
-    if len(found) > MOST_KEYS:
-        return rows, None
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(found))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return tuple(rows.mapInArrow(partial(_pick, keys=shared, inside=x), schema) for x in (True, False))
-
-
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strandwise.llm import queries
+from strandwise.llm import common, queries
 from strandwise.llm import suffix_dedup as sd
 
 
@@ -54,7 +54,7 @@ def test_against_brute_force(make_docs, odd_texts, monkeypatch, large):
     rows = [(i, t) for i, t in odd_texts if not t or len(t) < 10_000] + passages(1)
     if large:
         monkeypatch.setattr(sd, "GROUP", 1)  # every group's strings meet by digest
-        monkeypatch.setattr(sd, "MOST_KEYS", 3)  # and all texts are joined
+        monkeypatch.setattr(common, "MOST_KEYS", 3)  # and all texts are joined
     got = sd.repeat_digest(sd.remove_repeats(make_docs(rows))).collect()
     assert Counter(map(tuple, got)) == brute(rows)
 
