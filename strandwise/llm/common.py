@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "/tmp/checkpoints/strandwise"
 #: The most row keys that are broadcast (16 MB) to read only those rows' texts; with more, all texts are joined.
 MOST_KEYS = 1 << 21
+#: Rows of a file of a staged table whose size is known, and the fewest files.
+FILE_ROWS, LEAST_FILES = 1 << 16, 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fallback where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local master gets a folder of its own; any other is refused, as executors
+    would write to disks that the others can't read.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         os.makedirs(FALLBACK_DIR, exist_ok=True)
         found = f"file://{FALLBACK_DIR}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,19 +47,43 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandwise-{tag}-{uuid.uuid4().hex}"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session are cut by bytes and rows, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Meanwhile Arrow batches are cut by bytes and rows, so that long texts don't add up in a worker."""
+    bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
+def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors.
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors."""
+    rows, where it is known, bounds the files: one for about FILE_ROWS rows, so that a small table
+    is not dealt over as many files as there are shuffle partitions.
+    """
     spark = df.sparkSession
-    bound_batches(spark)
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+    with bounded_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables whose consumers are all written."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,6 +95,17 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def slices(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, without a copy, whose strings in the column sum to about limit bytes; a longer one stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def by_bytes(items: Iterable[tuple], size, limit: int) -> Iterator[list]:
     """Lists of consecutive items whose sizes sum to about limit; an item above it stands alone."""
     held, total = [], 0

@@ -2,13 +2,14 @@
 
 Byte-level BPE never joins characters across the start of a run of white space that
 follows a non-space character, so a text may be cut there: the pieces' tokens are
-the text's. Pieces repeat (words with the space before them), so each worker keeps
-a bounded table from piece to tokens and the library encodes only what is new, in
-batches of about equal bytes.
+the text's. Pieces repeat (words with the space before them), so each task keeps a
+bounded table from piece to tokens, of which an idle worker holds on to a small part,
+and the library encodes only what is new, in batches of about equal bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -16,8 +17,8 @@ from array import array
 
 from .common import by_bytes
 
-#: Bytes of pieces per library call, pieces kept per worker, longest piece kept.
-CALL_BYTES, KEPT_PIECES, KEPT_CHARS = 1 << 19, 700_000, 64
+#: Bytes of pieces per library call, pieces that a task keeps (some 60 MB), pieces left to the worker's next task, longest piece kept.
+CALL_BYTES, KEPT_PIECES, IDLE_PIECES, KEPT_CHARS = 1 << 19, 300_000, 60_000, 64
 #: Texts longer than this are cut before they are split into pieces.
 SLICE_CHARS = 1 << 18
 
@@ -29,6 +30,10 @@ _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _COMMA, _STOP = re.compile(r",(?<=[^\W\d_],)(?= )"), re.compile(r"\.(?<=[^\W\d_]\.)(?=[ \n])")
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class Encoder:
     """Encodes texts with a .json (tokenizers) or .model (sentencepiece) file.
 
@@ -74,14 +79,14 @@ class Encoder:
     def _encode(self, texts, value, join):
         if not self.sliced:
             out = []
-            for group in by_bytes(texts, len, CALL_BYTES):
+            for group in by_bytes(texts, utf8_size, CALL_BYTES):
                 out += [join([value(x)]) for x in self._ids(group)]
             return out
         pieces = [list(_pieces(t)) for t in texts]
         added = []
         for table, unit, at in ((self._after, _unit, 1), (self._whole, str, 0)):
             new = list({p for text in pieces for x in text for p in x[at] if p not in table})
-            for group in by_bytes(new, len, CALL_BYTES):
+            for group in by_bytes(new, utf8_size, CALL_BYTES):
                 table.update(zip(group, map(value, self._ids([unit(p) for p in group]))))
             added.append((table, new))
         after, whole = self._after.__getitem__, self._whole.__getitem__
@@ -94,6 +99,15 @@ class Encoder:
         return out
 
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        """A task ends: its worker may idle for long, so it keeps only the pieces that came first, which are the frequent ones."""
+        for name in ("_after", "_whole"):
+            setattr(self, name, dict(itertools.islice(getattr(self, name).items(), IDLE_PIECES)))
+
+
 def _unit(piece: str) -> str:
     return "," if piece == "\x01" else "." if piece == "\x02" else piece if piece[0] == "\n" else " " + piece
 

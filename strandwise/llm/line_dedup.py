@@ -61,16 +61,17 @@ def _texts(batches):
 
 
 def _pack(segment: int, once: np.ndarray, twice: np.ndarray) -> tuple:
+    """Bits are packed by eight, the first of them highest."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    return segment, z.compress(np.packbits(once).tobytes()), z.compress(np.packbits(twice).tobytes())
+    return segment, z.compress(once.tobytes()), z.compress(twice.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=SEGMENT // 8), np.uint8)).astype(bool)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=SEGMENT // 8), np.uint8).copy()
 
 
 _SEGMENTS = "segment int, once binary, twice binary"
@@ -82,16 +83,28 @@ def _rows(rows):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["segment", "once", "twice"])
 
 
+def _set(filter_: np.ndarray, at: np.ndarray) -> None:
+    """Sets the bits at ascending places."""
+    if len(at):
+        byte, bit = at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        filter_[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+
+
+def _are_set(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (filter_[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & np.uint8(128)) > 0
+
+
 def _mark(batches, min_chars: int, bits: int):
-    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     held: list[bytes] = []
 
     def flush():
         if held:
-            at = np.unique(probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), bits).ravel(), return_counts=True)
+            at, n = np.unique(probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), bits).ravel(), return_counts=True)
             # two keys of one document may share a bit: that marks a bit too many, never one too few
-            twice[at[0][(at[1] > 1) | once[at[0]]]] = True
-            once[at[0]] = True
+            _set(twice, at[(n > 1) | _are_set(once, at)])
+            _set(once, at)
             held.clear()
 
     for text in _texts(batches):
@@ -100,9 +113,9 @@ def _mark(batches, min_chars: int, bits: int):
             flush()
     flush()
     for s in range(0, bits, SEGMENT):
-        part = once[s : s + SEGMENT]
-        if part.any():
-            yield from _rows([_pack(s // SEGMENT, part, twice[s : s + SEGMENT])])
+        part = slice(s // 8, (s + SEGMENT) // 8)
+        if once[part].any():
+            yield from _rows([_pack(s // SEGMENT, once[part], twice[part])])
 
 
 def _merge(batches):
@@ -133,7 +146,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
     out = np.zeros(bits // 8, np.uint8)
     for segment, packed in merged.select("segment", "twice").toLocalIterator():
         lo = segment * SEGMENT // 8
-        out[lo : lo + SEGMENT // 8] = np.packbits(_unpack(packed))
+        out[lo : lo + SEGMENT // 8] = _unpack(packed)
     return out
 
 
@@ -149,8 +162,7 @@ def _suspects(batches, min_chars: int, shared):
         if not rows:
             continue
         at = probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), int(n) + 1)
-        seen = ((bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(1)
-        keep = np.flatnonzero(seen).tolist()
+        keep = np.flatnonzero(_are_set(bits, at).all(1)).tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([rows[k][1] for k in keep], pa.int64()), pa.array([held[k] for k in keep], pa.binary())],
             names=["doc_id", "rk", "hash"],
@@ -160,17 +172,17 @@ def _suspects(batches, min_chars: int, shared):
 def _drop(batches, min_chars: int):
     for batch in batches:
         out = []
-        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
+        for text, dropped in zip(batch.column("_text").to_pylist(), batch.column("_dropped").to_pylist()):
             lines = (text or "").split("\n")
             gone = set(dropped or ())
             kept = [x for x in lines if not gone or (k := line_key(x, min_chars)) is None or key_hash(k) not in gone]
             # a document that loses nothing keeps its text as it is, null included
             out.append((text if len(kept) == len(lines) else "\n".join(kept), len(lines), len(lines) - len(kept)))
         texts, n, m = zip(*out) if out else ((), (), ())
-        others = [c for c in batch.schema.names if c not in ("text", "dropped")]
+        others = [c for c in batch.schema.names if c not in ("_text", "_dropped")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in others] + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())],
-            names=[*others, "text", "n_lines", "n_dropped"],
+            names=[*others, "_text", "_lines", "_lost"],
         )
 
 
@@ -180,28 +192,33 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     A key of at least min_chars code points in at least min_docs rows loses its lines everywhere
     but in the rows with the largest id that hold it. Null and empty texts are one empty line and
     come back as they are. A null id ranks below all; if only null ids hold a key, all keep it.
-    Repeated rows are separate documents with one id, so they keep or lose a line together. Names
-    in keep must not be doc_id, text, n_lines or n_dropped.
+    Repeated rows are separate documents with one id, so they keep or lose a line together. An empty
+    table gives an empty result. A text of any length is split whole, a row at a time. Names in keep
+    must not be those of the result's own columns; any other may be there, kept or not.
 
     Shuffled are 16-byte hashes of suspected keys, and texts once, to meet their verdicts; hot keys
     are summed before the shuffle, and their rows only meet a one-row verdict per key, in a join
     whose skewed partitions Spark splits.
     """
+    own = ("doc_id", "text", "n_lines", "n_dropped")
+    if clash := set(keep) & set(own):
+        raise ValueError(f"keep names columns of the result: {', '.join(sorted(clash))}")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).withColumn("rk", row_key("doc_id", "text"))
+    kept = [F.col(f"`{c}`").alias(f"_keep_{n}") for n, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *kept).withColumn("_rk", row_key("_id", "_text"))
     shared = spark.sparkContext.broadcast(twice_seen(docs, text_col, min_chars))
-    found = rows.select("doc_id", "rk", "text").mapInArrow(partial(_suspects, min_chars=min_chars, shared=shared), "doc_id long, rk long, hash binary")
+    found = rows.select("_id", "_rk", "_text").mapInArrow(partial(_suspects, min_chars=min_chars, shared=shared), "doc_id long, rk long, hash binary")
     suspects = stage(found, "suspects")
     verdicts = suspects.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
     verdicts = stage(verdicts.select("hash", "keeper"), "verdicts")  # so that Spark can split the suspects of a hot key
     lost = suspects.join(verdicts, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # the lines of one document: no more than its text holds
-    lost = lost.groupBy("doc_id", "rk").agg(F.collect_set("hash").alias("dropped"))
-    lost = lost.withColumnRenamed("doc_id", "lost_id").withColumnRenamed("rk", "lost_rk")
-    joined = rows.join(lost, (F.col("rk") == F.col("lost_rk")) & F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", *keep, "text", "dropped")
+    lost = lost.groupBy("doc_id", "rk").agg(F.collect_set("hash").alias("_dropped"))
+    joined = rows.join(lost, (F.col("_rk") == F.col("rk")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("_rk", "rk", "doc_id")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *keep, "text"))
-    return joined.mapInArrow(partial(_drop, min_chars=min_chars), f"{schema}, n_lines long, n_dropped long")
+    schema = ", ".join(f"{c} {types[c]}" for c in ("_id", *(f"_keep_{n}" for n in range(len(keep))), "_text"))
+    out = joined.mapInArrow(partial(_drop, min_chars=min_chars), f"{schema}, _lines long, _lost long")
+    return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_keep_{n}").alias(c) for n, c in enumerate(keep)), F.col("_text").alias("text"), F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_dropped"))
 
 
 def line_digest(kept: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import slices
 
 RATE, TARGET, UP, DOWN = 24_000, 16_000, 2, 3
 WINDOW, HOP, FFT, MELS, BLOCK = 400, 160, 512, 40, 16
@@ -80,10 +80,10 @@ _PHASES, _MEL, _HANN = _phases(), _mel_filters(), np.hanning(WINDOW)
 
 
 def resample(x: np.ndarray, first: int, n: int) -> np.ndarray:
-    """Output samples [first, first + n) of the whole signal x; first must be a multiple of UP. Silence surrounds x."""
+    """Output samples [first, first + n) of the unsigned 8-bit signal x; first must be a multiple of UP. Silence surrounds x."""
     lo = first // UP * DOWN - HALF + 1
     hi = lo + -(-n // UP) * DOWN + 2 * HALF
-    part = x[max(0, lo) : max(0, hi)]
+    part = (x[max(0, lo) : max(0, hi)].astype(np.float64) - 128) / 128
     part = np.pad(part, (max(0, -lo), max(0, hi - lo - len(part) - max(0, -lo))))
     out = np.empty(-(-n // UP) * UP)
     for p, (whole, taps) in enumerate(_PHASES):
@@ -98,7 +98,7 @@ def n_resampled(n: int) -> int:
 
 def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(log-mel energies [frames, MELS], frame energies in dB) of unsigned 8-bit samples; frames overlap by WINDOW - HOP."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    x = np.frombuffer(samples, np.uint8)
     total = n_resampled(len(x))
     frames = -(-max(0, total - WINDOW) // HOP) + 1
     mels, energy = [], []
@@ -168,26 +168,28 @@ def audio_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     The payload is the text in UTF-8 with spaces appended to a positive multiple of 192 bytes.
     A null text is empty (192 spaces); null ids stay null; repeated rows give equal results; an
-    empty table gives an empty result. A map without a shuffle; signals are handled in blocks.
+    empty table gives an empty result; other columns of docs, whatever their names, are not read. A map
+    without a shuffle. A signal of any length is resampled and transformed in blocks of CHUNK_FRAMES
+    frames; what grows with it is its row: the file and 40 numbers of 4 bytes for each 240 bytes of text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_features, "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_s double, end_s double>>")
 
 
 def _features(batches):
-    for batch in batches:
-        rows = ((i, (t or "").encode()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for group in by_bytes(rows, lambda r: len(r[1]), BATCH_BYTES):
-            media, tensors, spans = [], [], []
-            for _, data in group:
-                media.append(encode_wav(data + PAD_BYTE * (-len(data) % PAD_TO if data else PAD_TO)))
-                mels, energy = log_mel(decode_wav(media[-1])[1])
-                tensors.append(tensor_stream(mels))
-                spans.append([dict(zip(("start_s", "end_s"), _seconds(*s))) for s in segments(energy)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in group], pa.int64()), pa.array([len(d) for _, d in group], pa.int64()), pa.array(media, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, _SPANS)],
-                names=["doc_id", "n_bytes", "media", "tensors", "spans"],
-            )
+    for part in slices(batches, 1, BATCH_BYTES):
+        sizes, media, tensors, spans = [], [], [], []
+        for text in part.column(1).to_pylist():
+            data = (text or "").encode()
+            sizes.append(len(data))
+            media.append(encode_wav(data + PAD_BYTE * (-len(data) % PAD_TO if data else PAD_TO)))
+            mels, energy = log_mel(decode_wav(media[-1])[1])
+            tensors.append(tensor_stream(mels))
+            spans.append([dict(zip(("start_s", "end_s"), _seconds(*s))) for s in segments(energy)])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, _SPANS)],
+            names=["doc_id", "n_bytes", "media", "tensors", "spans"],
+        )
 
 
 def media_digest(features: DataFrame) -> DataFrame:

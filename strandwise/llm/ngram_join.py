@@ -329,11 +329,12 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: in
 
     Large buckets are met in pairs of blocks. A bucket that holds one label will never hold more.
     """
-    named = stage(members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "named")
+    n = members.count()  # bounds the tables that follow
+    named = stage(members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "named", n)
     open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    open_ = stage(open_.select(F.col("sig").alias("open_sig"), blocks.alias("blocks")), "open")
-    rows = stage(named.join(open_, F.col("sig") == F.col("open_sig")).drop("open_sig"), "open-members")
+    open_ = stage(open_.select(F.col("sig").alias("open_sig"), blocks.alias("blocks")), "open", n)
+    rows = stage(named.join(open_, F.col("sig") == F.col("open_sig")).drop("open_sig"), "open-members", n)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")

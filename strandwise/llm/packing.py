@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, shuffle_partitions
+from .common import by_bytes, row_key, shuffle_partitions, slices
 from .encoding import encoder
 
 BATCH_BYTES = 1 << 22
@@ -27,7 +27,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
     their own. The remaining piece of each document goes to a group at random (by a hash of the
     row, so reruns agree), and each group is packed by first-fit decreasing. Sequence ids hold the
     partition in their high bits and are unique, not dense. A null text is empty (its end id alone);
-    null ids stay null; repeated rows are all packed; an empty table gives an empty result. Only
+    null ids stay null; repeated rows are all packed; an empty table gives an empty result; texts of
+    any length are encoded whole; other columns of docs, whatever their names, are not read. Only
     piece lengths and checksums are shuffled (and the ids, with_ids), never texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
@@ -40,12 +41,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
 
 
 def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool):
-    use, end, step = encoder(tokenizer, "ids"), struct.pack("<I", end_id), 4 * seq_len
-    for batch in batches:
-        rows = ((i, t or "", k) for i, t, k in zip(*(c.to_pylist() for c in batch.columns)))
-        for group in by_bytes(rows, lambda r: len(r[1]), BATCH_BYTES):
+    end, step = struct.pack("<I", end_id), 4 * seq_len
+    with encoder(tokenizer, "ids") as use:
+        for part in slices(batches, 1, BATCH_BYTES):
             out = []
-            for (i, _, key), ids in zip(group, use.ids([t for _, t, _ in group])):
+            doc_ids, texts, keys = (c.to_pylist() for c in part.columns)
+            for i, key, ids in zip(doc_ids, keys, use.ids([t or "" for t in texts])):
                 ids += end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]

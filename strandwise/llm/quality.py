@@ -75,14 +75,15 @@ def _measure(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def judged_documents(docs: DataFrame, *, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, least_left: float = LEAST_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judged_documents(docs: DataFrame, *, count_copies: bool = False, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, least_left: float = LEAST_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, rk (row key), the base features, base_failed, left_words, removed (line hashes), kept.
 
     A host's documents are its distinct texts, so copies of one document don't make its lines
-    frequent. A line that more than min_documents of them hold, and more than share of them, is
+    frequent; with count_copies they are its rows. A line that more than min_documents of them hold, and more than share of them, is
     removed from all; a document that keeps less than least_left of its words is rejected, as is
     one that fails the base rules. A null text has no words and fails; a null host is a host;
-    repeated rows get equal results; an empty table gives an empty result.
+    repeated rows get equal results; an empty table gives an empty result; other columns of docs,
+    whatever their names, are not read; a text of any length is measured whole, a row at a time.
 
     Texts are read once and not shuffled: what moves is the 64-bit hash of each distinct line of a
     document, summed by host and hash before the shuffle. Frequent lines meet documents in a join
@@ -93,7 +94,7 @@ def judged_documents(docs: DataFrame, *, min_documents: int = MIN_DOCUMENTS, sha
     base = ", ".join(f"{c} long" for c in _BASE)
     measured = rows.mapInArrow(_measure, f"doc_id long, rk long, host string, same long, {base}, lines array<struct<hash: long, words: long>>")
     measured = stage(measured, "features")
-    once = measured.groupBy("host", "same").agg(F.first("lines").alias("lines"))
+    once = measured if count_copies else measured.groupBy("host", "same").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("host", "of")
     counts = once.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
     frequent = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("documents") * F.lit(share))
@@ -115,22 +116,30 @@ def judged_documents(docs: DataFrame, *, min_documents: int = MIN_DOCUMENTS, sha
 def _clean(batches):
     for batch in batches:
         texts = []
-        for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
+        for text, removed in zip(batch.column("_text").to_pylist(), batch.column("removed").to_pylist()):
             gone = set(removed or ())
             texts.append("\n".join(x for x in text.split("\n") if not (n := normal_line(x)) or line_hash(n) not in gone) if gone else text)
-        names = [n for n in batch.schema.names if n not in ("text", "removed")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        names = [n for n in batch.schema.names if n not in ("_text", "removed")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "_text"])
 
 
 def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **rules) -> DataFrame:
-    """The rows that judged_documents keeps, without their frequent lines: doc_id, the columns in keep, text."""
+    """The rows that judged_documents keeps, without their frequent lines: doc_id, the columns in keep, text.
+
+    Names in keep must not be doc_id or text; any other may be there, kept or not.
+    """
+    if clash := set(keep) & {"doc_id", "text"}:
+        raise ValueError(f"keep names columns of the result: {', '.join(sorted(clash))}")
     judged = judged_documents(docs, id_col=id_col, text_col=text_col, **rules).where("kept")
     # repeated rows share a key and a verdict
     judged = judged.groupBy(F.col("doc_id").alias("of"), F.col("rk").alias("of_rk")).agg(F.first("removed").alias("removed"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
-    joined = rows.join(judged, (F.col("rk") == F.col("of_rk")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", *keep, "text", "removed")
+    kept = [F.col(f"`{c}`").alias(f"_keep_{n}") for n, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *kept, F.col(text_col).alias("_text")).withColumn("_rk", row_key("_id", "_text"))
+    joined = rows.join(judged, (F.col("_rk") == F.col("of_rk")) & F.col("_id").eqNullSafe(F.col("of"))).drop("_rk", "of", "of_rk")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return joined.mapInArrow(_clean, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *keep, "text")))
+    names = ["_id", *(f"_keep_{n}" for n in range(len(keep)))]
+    out = joined.select(*names, "_text", "removed").mapInArrow(_clean, ", ".join(f"{c} {types[c]}" for c in (*names, "_text")))
+    return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_keep_{n}").alias(c) for n, c in enumerate(keep)), F.col("_text").alias("text"))
 
 
 def oracle_sql(min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> str:

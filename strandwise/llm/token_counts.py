@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
-from .encoding import encoder
+from .common import slices
+from .encoding import encoder, utf8_size
 
 #: Bytes of text handled at a time in one task.
 BATCH_BYTES = 1 << 22
@@ -21,24 +21,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: s
     A map without a shuffle: a task reads its rows in batches balanced by bytes, long texts are
     cut at safe boundaries, and only lengths leave the Arrow function. A null text counts as
     empty (0 bytes, 0 tokens); a null id stays null; repeated rows give repeated results; an
-    empty table gives an empty result. Other columns of docs are not read.
+    empty table gives an empty result. Other columns of docs, whatever their names, are not read.
+    A text of any length is encoded whole, in slices cut at white space.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_count, tokenizer=tokenizer, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _count(batches, tokenizer: str, limit: int):
-    use = encoder(tokenizer, "lengths")
-    for batch in batches:
-        rows = ((i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for group in by_bytes(rows, lambda r: len(r[1]), BATCH_BYTES):
-            n = use.lengths([t for _, t in group])
+    with encoder(tokenizer, "lengths") as use:
+        for part in slices(batches, 1, BATCH_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            n = use.lengths(texts)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i for i, _ in group], pa.int64()),
-                    pa.array([len(t.encode()) for _, t in group], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array([x > limit for x in n], pa.bool_()),
-                ],
+                [part.column(0), pa.array(map(utf8_size, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )

@@ -12,7 +12,7 @@ def make_docs(spark):
         full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1])) for r in rows]
         df = spark.createDataFrame(full, DOCUMENTS).repartition(3)
         if extra:
-            for name in ("n_bytes", "key", "shard", "size", "kept", "text_hash", "n"):
+            for name in ("n_bytes", "key", "shard", "size", "kept", "text_hash", "n", "rk", "of", "of_rk", "hash", "lost_id", "lost_rk", "dropped", "removed", "keeper", "lines", "same", "node", "sig", "lo", "hi", "found", "anchor", "target", "_rk", "_text", "_id"):
                 df = df.selectExpr("*", f"'clash' as {name}")
         return df
 

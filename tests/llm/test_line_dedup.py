@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
-from strandwise.llm import line_dedup, queries
+from strandwise.llm import line_dedup, quality, queries
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -70,3 +71,13 @@ def test_sql_agrees(spark, sf_docs):
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     got = Counter(map(tuple, queries.op5_line_dedup(spark, "/root/testdata/sf0.001").collect()))
     assert got == Counter(con.sql(line_dedup.oracle_sql()).fetchall()) == brute([(d["doc_id"], d["text"]) for d in sf_docs])
+
+
+def test_kept_columns_may_have_internal_names(make_docs):
+    rows = [(i, "A line of at least forty characters that five documents hold") for i in range(6)]
+    names = ("rk", "hash", "lost_id", "lost_rk", "dropped", "keeper", "of", "of_rk", "removed", "_rk", "_text", "_id")
+    for out in (line_dedup.drop_repeated_lines(make_docs(rows), keep=names), quality.cleaned_documents(make_docs([(i, "word " * 30 + f"other{i} text " * 20) for i in range(3)]), keep=names)):
+        assert all(r[n] == "clash" for r in out.collect() for n in names)
+    for f in (line_dedup.drop_repeated_lines, quality.cleaned_documents):
+        with pytest.raises(ValueError, match="text"):
+            f(make_docs(rows), keep=("text",))
