@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +58,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
     "op2_media_features": op2_media_features,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -73,7 +71,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op4_warc": warc.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(),
