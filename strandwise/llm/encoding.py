@@ -18,7 +18,7 @@ from array import array
 from .common import by_bytes
 
 #: Bytes of pieces per library call, pieces that a task keeps (some 60 MB), pieces left to the worker's next task, longest piece kept.
-CALL_BYTES, KEPT_PIECES, IDLE_PIECES, KEPT_CHARS = 1 << 19, 300_000, 60_000, 64
+CALL_BYTES, KEPT_PIECES, IDLE_PIECES, KEPT_CHARS = 1 << 17, 250_000, 50_000, 64
 #: Texts longer than this are cut before they are split into pieces.
 SLICE_CHARS = 1 << 18
 

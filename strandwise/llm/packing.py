@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, row_key, shuffle_partitions, slices
 from .encoding import encoder
 
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 #: Pieces that are packed together. A group is what one tree holds in memory.
 GROUP = 1 << 14
 

@@ -6,19 +6,22 @@ only among suffixes that start near equal anchors: their contexts (all strings o
 contain the anchor) are sorted as suffixes by mergesort, which compares two of them by the length
 of their common extension. That length comes from prefix polynomial hashes by binary search, so a
 comparison takes a logarithmic number of steps. Strings that the hashes call equal are compared
-byte by byte before they count.
+byte by byte before they count. A group that is too large for one sort is split first, as quicksort
+does it: each context is compared with a pivot of its group, byte by byte, and goes on with those
+that leave the pivot where it does. Whole contexts that recur are told by a 128-bit BLAKE2 digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, rows_with, stage
+from .common import by_bytes, row_key, rows_with, stage, unstage
 
 LENGTH, GRAM = 400, 64
 #: Bytes before and after an anchor's start that strings with the anchor can reach.
@@ -26,8 +29,8 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH
 #: Places that a block's keys can name, and bytes of a text that are hashed at a time.
 PLACES = 1 << 20
 BLOCK = PLACES - LENGTH
-#: Contexts of one anchor that are sorted in memory; of a larger group, parts of this many string starts are met by hashes first.
-GROUP, PART = 2048, 85
+#: Contexts of one group that are sorted in memory; larger groups are split by pivots.
+GROUP = 2048
 #: Contexts that a task sorts at a time, and pairs that it compares byte by byte at a time.
 SORTED = 1024
 
@@ -223,19 +226,24 @@ def classes(contexts: Contexts, which: np.ndarray, group: np.ndarray, start: np.
     return np.unique(out, return_inverse=True)[1].ravel()
 
 
-def repeated_starts(contexts: Contexts, group: np.ndarray, done: np.ndarray) -> list[tuple[int, int, int]]:
+def repeated_starts(contexts: Contexts, group: np.ndarray, done: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(context, u, v): all strings of the context that start u to v bytes before its anchor are repeated in its group.
 
-    group is ascending. A context that is done needs no answer, but the others may repeat it. The
-    starts 0..LEFT are halved again and again: strings of a part share their middle, and where it
-    occurs once, none of them is repeated; where the union of the part's strings occurs twice, all
-    are, and one of the contexts stands for the others from there on.
+    group is ascending; of each group only starts first to last (all, if they are not given) are
+    asked for. A context that is done needs no answer, but the others may repeat it. The starts are
+    halved again and again: strings of a part share their middle, and where it occurs once, none of
+    them is repeated; where the union of the part's strings occurs twice, all are, and one of the
+    contexts stands for the others from there on.
     """
-    found, n, half = [], len(group), LEFT // 2
-    # all share the anchor's bytes and no two are equal, so the first halving needs no look
-    which, done = np.tile(np.arange(n), 2), np.tile(done, 2)
-    group = np.concatenate([group, group + group.max(initial=0) + 1])
-    u, v = np.repeat([0, half + 1], n), np.repeat([half, LEFT], n)
+    found, n = [], len(group)
+    if first is None:
+        # all share the anchor's bytes and no two are equal, so the first halving needs no look
+        half = LEFT // 2
+        which, done = np.tile(np.arange(n), 2), np.tile(done, 2)
+        group = np.concatenate([group, group + group.max(initial=0) + 1])
+        u, v = np.repeat([0, half + 1], n), np.repeat([half, LEFT], n)
+    else:
+        which, u, v = np.arange(n), first, last
     while len(which):
         # the middle: from u before the anchor, LENGTH - v after it
         has = (contexts.left[which] >= u) & (contexts.right[which] >= LENGTH - v)
@@ -258,9 +266,9 @@ def repeated_starts(contexts: Contexts, group: np.ndarray, done: np.ndarray) ->
             twice = np.bincount(union)[union] > 1
             hit = k[twice & ~done[k]]
             found += zip(which[hit].tolist(), u[hit].tolist(), v[hit].tolist())
-            _, first = np.unique(union, return_index=True)
+            _, stand = np.unique(union, return_index=True)
             stands = np.zeros(len(k), bool)
-            stands[first] = True
+            stands[stand] = True
             keep[k[twice & ~stands]] = False
             done[k[twice]] = True
         keep &= u < v
@@ -274,12 +282,12 @@ def repeated_starts(contexts: Contexts, group: np.ndarray, done: np.ndarray) ->
     return found
 
 
-_CONTEXTS = "anchor long, many boolean, rk long, pos long, done boolean, before int, bytes binary"
+_CONTEXTS = "many boolean, group binary, first int, last int, rk long, pos long, done boolean, before int, bytes binary"
 
 
 def _fetch(batches):
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-    names = ["anchor", "many", "rk", "pos", "done", "before", "bytes"]
+    kinds = [pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    names = ["many", "group", "first", "last", "rk", "pos", "done", "before", "bytes"]
 
     def rows():
         for batch in batches:
@@ -288,7 +296,7 @@ def _fetch(batches):
                 for x in wanted:
                     pos = x["pos"]
                     lo = max(0, pos - LEFT)
-                    yield x["anchor"], x["many"], rk, pos, x["done"], pos - lo, raw[lo : pos + RIGHT]
+                    yield x["many"], x["anchor"].to_bytes(8, "little", signed=True), 0, LEFT, rk, pos, x["done"], pos - lo, raw[lo : pos + RIGHT]
 
     for group in by_bytes(rows(), lambda _: 1, 1 << 12):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*group), kinds)], names=names)
@@ -303,11 +311,11 @@ def _spans(rows):
 
 
 def _resolve(batches):
-    """Contexts arrive sorted by anchor; whole groups are gathered up to about SORTED contexts."""
+    """Contexts arrive sorted by group; whole groups are gathered up to about SORTED contexts."""
     def groups():
         at, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "rk", "pos", "done", "before", "bytes"))):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("group", "first", "last", "rk", "pos", "done", "before", "bytes"))):
                 if row[0] != at:
                     if held:
                         yield held
@@ -319,57 +327,100 @@ def _resolve(batches):
     def rows():
         for part in by_bytes(groups(), len, SORTED):
             flat = [r for g in part for r in g]
-            contexts = Contexts([(r[4], r[5]) for r in flat])
+            contexts = Contexts([(r[6], r[7]) for r in flat])
             group = np.repeat(np.arange(len(part)), [len(g) for g in part])
-            for i, u, v in repeated_starts(contexts, group, np.array([r[3] for r in flat])):
-                yield flat[i][1], flat[i][2] - v, flat[i][2] - u + LENGTH
+            whole = all(r[1] == 0 and r[2] == LEFT for r in flat)
+            ranges = () if whole else (np.array([r[1] for r in flat], np.int64), np.array([r[2] for r in flat], np.int64))
+            for i, u, v in repeated_starts(contexts, group, np.array([r[5] for r in flat]), *ranges):
+                yield flat[i][3], flat[i][4] - v, flat[i][4] - u + LENGTH
 
     return _spans(rows())
 
 
-def _digest(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+def _common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
-def _middles(batches):
-    """Of each context of a large group and each part of the starts: the digest of the part's middle."""
-    for batch in batches:
-        out = []
-        for anchor, rk, pos, before, raw in zip(*(batch.column(n).to_pylist() for n in ("anchor", "rk", "pos", "before", "bytes"))):
-            for u in range(0, LEFT + 1, PART):
-                v = min(LEFT, u + PART - 1)
-                if before >= u and len(raw) - before >= LENGTH - v:
-                    out.append((rk, pos, u, _digest(b"%d.%d." % (anchor, u) + raw[before - u : before + LENGTH - v])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["rk", "pos", "u", "key"])
-
-
-def _windows(batches):
-    """The digest of each string of the parts whose middle is repeated, with its anchor: a string lies in the contexts of several."""
-    for batch in batches:
-        out = []
-        for anchor, rk, pos, before, raw, parts in zip(*(batch.column(n).to_pylist() for n in ("anchor", "rk", "pos", "before", "bytes", "parts"))):
-            for u in parts:
-                for o in range(u, min(LEFT, u + PART - 1) + 1):
-                    if before >= o and len(raw) - before >= LENGTH - o:
-                        out.append((rk, pos - o, _digest(b"%d.%d." % (anchor, o) + raw[before - o : before - o + LENGTH])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["rk", "lo", "key"])
+_ITEM = "group binary, first int, last int, rk long, pos long, done boolean, before int, bytes binary"
+_ITEMS = pa.schema([("group", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("rk", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_()), ("before", pa.int32()), ("bytes", pa.binary())])
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    """Rows whose key occurs twice: counts are summed before the shuffle, and the join's large side can be split."""
-    df = stage(df, "keys")
-    twice = stage(df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of")), "twice")
-    return df.join(twice, F.col("key") == F.col("of")).drop("of")
+def _split(batches):
+    """Compares each context of a large group with its pivot. Rows: spans that it shares with the pivot, and itself in smaller groups.
 
+    Let it agree with the pivot on a bytes before the anchor and on b from it on. All of its strings
+    within those are repeated, by the pivot. Another string of its reaches beyond them on one side at
+    least; a context that repeats that string leaves the pivot there with the same byte, and shares all
+    that the strings of that side have in common. So it goes on, once for each side, to the group of
+    what they have in common, with the starts of that side. The pivot itself leaves nowhere: it is done
+    where another context shares its strings, and to learn where, each context yields the pivot's spans.
+    """
+    item, spans = [], set()
+
+    def tables():
+        if item:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*item), _ITEMS)] + [pa.nulls(len(item), pa.int64())] * 2, names=[*_ITEMS.names, "lo", "hi"])
+        if spans:
+            rk, lo, hi = zip(*spans)
+            empty = [pa.nulls(len(spans), f.type) for f in _ITEMS]
+            empty[_ITEMS.get_field_index("rk")] = pa.array(rk, pa.int64())
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=[*_ITEMS.names, "lo", "hi"])
+        item.clear()
+        spans.clear()
 
-def _resolve_large(contexts: DataFrame) -> DataFrame:
-    """Groups of any size, by 128-bit digests: middles first, then the single strings of parts whose middle is repeated."""
-    contexts = stage(contexts, "contexts")
-    parts = _repeated(contexts.mapInArrow(_middles, "rk long, pos long, u int, key binary")).groupBy(F.col("rk").alias("of"), F.col("pos").alias("of_pos")).agg(F.collect_set("u").alias("parts"))
-    open_ = contexts.join(parts, (F.col("rk") == F.col("of")) & (F.col("pos") == F.col("of_pos"))).select("anchor", "rk", "pos", "before", "bytes", "parts")
-    return _repeated(open_.mapInArrow(_windows, "rk long, lo long, key binary")).select("rk", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("group", "first", "last", "rk", "pos", "done", "before", "bytes", "pivot"))
+        for group, first, last, rk, pos, done, before, raw, pivot in zip(*columns):
+            if (rk, pos) == (pivot["rk"], pivot["pos"]):
+                continue
+            left = _common(raw[:before][::-1], pivot["bytes"][: pivot["before"]][::-1])
+            right = _common(raw[before:], pivot["bytes"][pivot["before"] :])
+            # starts o with o <= left and LENGTH - o <= right
+            lo, hi = max(first, LENGTH - right), min(last, left)
+            if lo <= hi:
+                if not done:
+                    spans.add((rk, pos - hi, pos - lo + LENGTH))
+                if not pivot["done"]:
+                    spans.add((pivot["rk"], pivot["pos"] - hi, pivot["pos"] - lo + LENGTH))
+            for side, u, v in ((b"<", max(first, left + 1), last), (b">", first, min(last, LENGTH - right - 1))):
+                if u <= v and before >= u and len(raw) - before >= LENGTH - v:
+                    key = hashlib.blake2b(raw[before - u : before + LENGTH - v], digest_size=16, key=group, salt=b"%b%d.%d" % (side, u, v)).digest()
+                    lo, hi = max(0, before - v), before - u + LENGTH  # what strings of these starts can reach
+                    item.append((key, u, v, rk, pos, done, before - lo, raw[lo:hi]))
+            if len(item) + len(spans) >= 1 << 12:
+                yield from tables()
+    yield from tables()
+
+
+def _split_groups(items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(items of groups of at most GROUP, spans that pivots have shown, the staged tables that hold them): groups of any size, without gathering one.
+
+    Members meet their group's pivot in a join of one row a group, whose skewed partitions Spark
+    splits. In each round an item goes to two groups at most, and alone in its group it goes no
+    further; its starts get fewer each time, so rounds end. Items of all rounds that fit are resolved
+    together.
+    """
+    small, spans, held, items = [], [], [], stage(items, "items")
+    while True:
+        groups = items.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "done", "before", "bytes")).alias("pivot")).where("n > 1")
+        groups = stage(groups.select(F.col("group").alias("of"), "n", F.when(F.col("n") > GROUP, F.col("pivot")).alias("pivot")), "pivots")
+        met = stage(items.join(groups, F.col("group") == F.col("of")).drop("of", "n"), "met")
+        unstage(items, groups)
+        held.append(met)
+        small.append(met.where("pivot is null").drop("pivot"))
+        large = met.where("pivot is not null")
+        if not large.limit(1).count():
+            break
+        split = stage(large.mapInArrow(_split, f"{_ITEM}, lo long, hi long"), "split")
+        held.append(split)
+        spans.append(split.where("lo is not null").select("rk", "lo", "hi"))
+        items = stage(split.where("lo is null").drop("lo", "hi"), "items")
+    union = lambda tables: reduce(DataFrame.union, tables)
+    return union(small), union(spans) if spans else items.sparkSession.createDataFrame([], _SPAN), held
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -409,12 +460,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in this or
     another row; strings don't cross rows. Null, empty and short texts keep all; null ids stay null;
     repeated rows repeat each other, so those of LENGTH bytes or more lose everything; an empty
-    table gives an empty result. kept is binary, as a cut can split a character.
+    table gives an empty result; a text of any length is searched whole, in blocks that overlap;
+    other columns of docs, whatever their names, are not read. kept is binary, as a cut can split a
+    character.
 
     Shuffled are anchors (a row for about 130 bytes), the texts of rows with contexts that must be
     sorted or with bytes to remove, and those contexts. Equal contexts are counted before the
-    shuffle and decide each other without a sort. Contexts of an anchor that more than GROUP
-    different ones share are not gathered: their strings meet by digest, in ever smaller parts.
+    shuffle and decide each other without a sort. A group of more than GROUP different contexts is
+    not gathered: pivots split it until its parts can be sorted.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
     texts = rows.select("rk", "text")
@@ -432,12 +485,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # repeated rows share a key, and all but one may go
     fetched = some.join(wanted.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of")).select("rk", "text", "wanted").mapInArrow(_fetch, _CONTEXTS)
     fetched = stage(fetched, "contexts")
-    small = fetched.where("not many").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.union(small.mapInArrow(_resolve, _SPAN))
-    large = fetched.where("many")
+    small, large = fetched.where("not many").drop("many"), fetched.where("many").drop("many")
+    held = []
     if large.limit(1).count():
-        spans = spans.union(_resolve_large(large))
-    spans = stage(spans.groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "spans")
+        split, shown, held = _split_groups(large)
+        small, spans = small.union(split), spans.union(shown)
+    spans = spans.union(small.repartition("group").sortWithinPartitions("group").mapInArrow(_resolve, _SPAN))
+    spans = stage(spans.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "spans")
+    unstage(found, groups, each, wanted, fetched, *held)
 
     some, rest = rows_with(rows, spans)
     cut = some.join(spans.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of"), "left").select("doc_id", "text", "found").mapInArrow(_cut, _KEPT)
@@ -445,5 +500,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def repeat_digest(removed: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes) and text: what is kept, with U+FFFD for characters that a cut split."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), text.alias("text"))

@@ -12,7 +12,7 @@ from .common import slices
 from .encoding import encoder, utf8_size
 
 #: Bytes of text handled at a time in one task.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
