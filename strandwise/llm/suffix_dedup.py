@@ -7,8 +7,9 @@ contain the anchor) are sorted as suffixes by mergesort, which compares two of t
 of their common extension. That length comes from prefix polynomial hashes by binary search, so a
 comparison takes a logarithmic number of steps. Strings that the hashes call equal are compared
 byte by byte before they count. A group that is too large for one sort is split first, as quicksort
-does it: each context is compared with a pivot of its group, byte by byte, and goes on with those
-that leave the pivot where it does. Whole contexts that recur are told by a 128-bit BLAKE2 digest.
+does it: each context is compared with a few pivots of its group, byte by byte, and with the strings
+that no pivot has it goes on to groups of contexts that share more. Whole contexts that recur are
+told by a 128-bit BLAKE2 digest.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH
 #: Places that a block's keys can name, and bytes of a text that are hashed at a time.
 PLACES = 1 << 20
 BLOCK = PLACES - LENGTH
-#: Contexts of one group that are sorted in memory; larger groups are split by pivots.
-GROUP = 2048
+#: Contexts of one group that are sorted in memory; larger groups are split by so many pivots, and their starts into so many parts.
+GROUP, PIVOTS, PARTS = 2048, 8, 4
 #: Contexts that a task sorts at a time, and pairs that it compares byte by byte at a time.
 SORTED = 1024
 
@@ -350,48 +351,53 @@ _ITEMS = pa.schema([("group", pa.binary()), ("first", pa.int32()), ("last", pa.i
 
 
 def _split(batches):
-    """Compares each context of a large group with its pivot. Rows: spans that it shares with the pivot, and itself in smaller groups.
-
-    Let it agree with the pivot on a bytes before the anchor and on b from it on. All of its strings
-    within those are repeated, by the pivot. Another string of its reaches beyond them on one side at
-    least; a context that repeats that string leaves the pivot there with the same byte, and shares all
-    that the strings of that side have in common. So it goes on, once for each side, to the group of
-    what they have in common, with the starts of that side. The pivot itself leaves nowhere: it is done
-    where another context shares its strings, and to learn where, each context yields the pivot's spans.
+    """Compares each context of a large group with its pivots. Rows: spans that they share, and items of smaller groups.
+
+    Two contexts that share a string share it with the same pivots. So a string that a pivot has is
+    settled for all who hold it, the pivot included. The starts are cut into PARTS, and with a part
+    that holds any other string a context goes on to those that have its part's middle in common.
     """
-    item, spans = [], set()
+    items, spans = [], set()
 
     def tables():
-        if item:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*item), _ITEMS)] + [pa.nulls(len(item), pa.int64())] * 2, names=[*_ITEMS.names, "lo", "hi"])
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*items), _ITEMS)] + [pa.nulls(len(items), pa.int64())] * 2, names=[*_ITEMS.names, "lo", "hi"])
         if spans:
             rk, lo, hi = zip(*spans)
             empty = [pa.nulls(len(spans), f.type) for f in _ITEMS]
             empty[_ITEMS.get_field_index("rk")] = pa.array(rk, pa.int64())
             yield pa.RecordBatch.from_arrays([*empty, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=[*_ITEMS.names, "lo", "hi"])
-        item.clear()
+        items.clear()
         spans.clear()
 
     for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("group", "first", "last", "rk", "pos", "done", "before", "bytes", "pivot"))
-        for group, first, last, rk, pos, done, before, raw, pivot in zip(*columns):
-            if (rk, pos) == (pivot["rk"], pivot["pos"]):
-                continue
-            left = _common(raw[:before][::-1], pivot["bytes"][: pivot["before"]][::-1])
-            right = _common(raw[before:], pivot["bytes"][pivot["before"] :])
-            # starts o with o <= left and LENGTH - o <= right
-            lo, hi = max(first, LENGTH - right), min(last, left)
-            if lo <= hi:
-                if not done:
-                    spans.add((rk, pos - hi, pos - lo + LENGTH))
-                if not pivot["done"]:
-                    spans.add((pivot["rk"], pivot["pos"] - hi, pivot["pos"] - lo + LENGTH))
-            for side, u, v in ((b"<", max(first, left + 1), last), (b">", first, min(last, LENGTH - right - 1))):
-                if u <= v and before >= u and len(raw) - before >= LENGTH - v:
-                    key = hashlib.blake2b(raw[before - u : before + LENGTH - v], digest_size=16, key=group, salt=b"%b%d.%d" % (side, u, v)).digest()
-                    lo, hi = max(0, before - v), before - u + LENGTH  # what strings of these starts can reach
-                    item.append((key, u, v, rk, pos, done, before - lo, raw[lo:hi]))
-            if len(item) + len(spans) >= 1 << 12:
+        columns = (batch.column(n).to_pylist() for n in ("group", "first", "last", "rk", "pos", "done", "before", "bytes", "pivots"))
+        for group, first, last, rk, pos, done, before, raw, pivots in zip(*columns):
+            back, ahead, shared, own = raw[:before][::-1], raw[before:], [], False
+            for p in pivots:
+                if (rk, pos) == (p["rk"], p["pos"]):
+                    own = True
+                    continue
+                # starts o that lie within what is common on the left, and LENGTH - o on the right
+                hi = min(last, _common(back, p["bytes"][: p["before"]][::-1]))
+                lo = max(first, LENGTH - _common(ahead, p["bytes"][p["before"] :]))
+                if lo <= hi:
+                    shared.append((lo, hi + 1))
+                    if not p["done"]:
+                        spans.add((p["rk"], p["pos"] - hi, p["pos"] - lo + LENGTH))
+            shared = merge_spans(shared)
+            if not done:
+                spans.update((rk, pos - hi + 1, pos - lo + LENGTH) for lo, hi in shared)
+            step = -(-(last - first + 1) // PARTS)
+            for u in range(first, last + 1, step):
+                v = min(last, u + step - 1)
+                lo, hi = max(u, LENGTH - len(ahead)), min(v, before)  # starts that the context has
+                if own or lo > hi or any(a <= lo and hi < b for a, b in shared):
+                    continue
+                key = hashlib.blake2b(raw[before - u : before + LENGTH - v], digest_size=16, key=group, salt=b"%d" % u).digest()
+                lo = max(0, before - v)  # what strings of the part can reach
+                items.append((key, u, v, rk, pos, done, before - lo, raw[lo : before - u + LENGTH]))
+            if len(items) + len(spans) >= 1 << 12:
                 yield from tables()
     yield from tables()
 
@@ -399,26 +405,25 @@ def _split(batches):
 def _split_groups(items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(items of groups of at most GROUP, spans that pivots have shown, the staged tables that hold them): groups of any size, without gathering one.
 
-    Members meet their group's pivot in a join of one row a group, whose skewed partitions Spark
-    splits. In each round an item goes to two groups at most, and alone in its group it goes no
-    further; its starts get fewer each time, so rounds end. Items of all rounds that fit are resolved
-    together.
+    Members meet their group's pivots in a join of one row a group, whose skewed partitions Spark
+    splits. An item alone in its group goes no further. With every round the starts of a group get
+    PARTS times fewer; when one is left, pivots settle it, so there are at most six rounds.
     """
-    small, spans, held, items = [], [], [], stage(items, "items")
+    small, spans, held = [], [], []
     while True:
-        groups = items.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "done", "before", "bytes")).alias("pivot")).where("n > 1")
-        groups = stage(groups.select(F.col("group").alias("of"), "n", F.when(F.col("n") > GROUP, F.col("pivot")).alias("pivot")), "pivots")
-        met = stage(items.join(groups, F.col("group") == F.col("of")).drop("of", "n"), "met")
-        unstage(items, groups)
-        held.append(met)
-        small.append(met.where("pivot is null").drop("pivot"))
-        large = met.where("pivot is not null")
-        if not large.limit(1).count():
+        pivot = F.min(F.struct("rk", "pos", "done", "before", "bytes")).alias("pivot")
+        slots = items.groupBy("group", F.pmod(F.xxhash64("rk", "pos"), F.lit(PIVOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n"), pivot)
+        groups = slots.groupBy(F.col("group").alias("of")).agg(F.sum("n").alias("n"), F.collect_list("pivot").alias("pivots")).where("n > 1")
+        groups = stage(groups.select("of", F.when(F.col("n") > GROUP, F.col("pivots")).alias("pivots")), "pivots")
+        held.append(groups)
+        met = items.join(groups, F.col("group") == F.col("of")).drop("of")
+        small.append(met.where("pivots is null").drop("pivots"))
+        if not groups.where("pivots is not null").limit(1).count():
             break
-        split = stage(large.mapInArrow(_split, f"{_ITEM}, lo long, hi long"), "split")
+        split = stage(met.where("pivots is not null").mapInArrow(_split, f"{_ITEM}, lo long, hi long"), "split")
         held.append(split)
         spans.append(split.where("lo is not null").select("rk", "lo", "hi"))
-        items = stage(split.where("lo is null").drop("lo", "hi"), "items")
+        items = split.where("lo is null").drop("lo", "hi")
     union = lambda tables: reduce(DataFrame.union, tables)
     return union(small), union(spans) if spans else items.sparkSession.createDataFrame([], _SPAN), held
 
