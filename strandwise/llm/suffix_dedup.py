@@ -30,8 +30,8 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH
 #: Places that a block's keys can name, and bytes of a text that are hashed at a time.
 PLACES = 1 << 20
 BLOCK = PLACES - LENGTH
-#: Contexts of one group that are sorted in memory; larger groups are split by so many pivots, and their starts into so many parts.
-GROUP, PIVOTS, PARTS = 2048, 8, 4
+#: Contexts of one group that are sorted in memory (28 MB); larger groups are split by so many pivots, and into so many parts of their starts.
+GROUP, PIVOTS, PARTS = 4096, 8, 3
 #: Contexts that a task sorts at a time, and pairs that it compares byte by byte at a time.
 SORTED = 1024
 
@@ -354,17 +354,18 @@ def _split(batches):
     """Compares each context of a large group with its pivots. Rows: spans that they share, and items of smaller groups.
 
     Two contexts that share a string share it with the same pivots. So a string that a pivot has is
-    settled for all who hold it, the pivot included. The starts are cut into PARTS, and with a part
-    that holds any other string a context goes on to those that have its part's middle in common.
+    settled for all who hold it, the pivot included. The group's starts are cut into PARTS, and with a
+    part that holds any other string a context goes on to those that have its part's middle in common.
     """
-    items, spans = [], set()
+    items, spans = [], {}
 
     def tables():
         if items:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*items), _ITEMS)] + [pa.nulls(len(items), pa.int64())] * 2, names=[*_ITEMS.names, "lo", "hi"])
         if spans:
-            rk, lo, hi = zip(*spans)
-            empty = [pa.nulls(len(spans), f.type) for f in _ITEMS]
+            # what overlaps is one span
+            rk, lo, hi = zip(*((rk, lo, hi) for rk, found in spans.items() for lo, hi in merge_spans(found)))
+            empty = [pa.nulls(len(rk), f.type) for f in _ITEMS]
             empty[_ITEMS.get_field_index("rk")] = pa.array(rk, pa.int64())
             yield pa.RecordBatch.from_arrays([*empty, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=[*_ITEMS.names, "lo", "hi"])
         items.clear()
@@ -384,10 +385,10 @@ def _split(batches):
                 if lo <= hi:
                     shared.append((lo, hi + 1))
                     if not p["done"]:
-                        spans.add((p["rk"], p["pos"] - hi, p["pos"] - lo + LENGTH))
+                        spans.setdefault(p["rk"], set()).add((p["pos"] - hi, p["pos"] - lo + LENGTH))
             shared = merge_spans(shared)
-            if not done:
-                spans.update((rk, pos - hi + 1, pos - lo + LENGTH) for lo, hi in shared)
+            if shared and not done:
+                spans.setdefault(rk, set()).update((pos - hi + 1, pos - lo + LENGTH) for lo, hi in shared)
             step = -(-(last - first + 1) // PARTS)
             for u in range(first, last + 1, step):
                 v = min(last, u + step - 1)
@@ -397,7 +398,7 @@ def _split(batches):
                 key = hashlib.blake2b(raw[before - u : before + LENGTH - v], digest_size=16, key=group, salt=b"%d" % u).digest()
                 lo = max(0, before - v)  # what strings of the part can reach
                 items.append((key, u, v, rk, pos, done, before - lo, raw[lo : before - u + LENGTH]))
-            if len(items) + len(spans) >= 1 << 12:
+            if len(items) + len(spans) >= 1 << 14:
                 yield from tables()
     yield from tables()
 
@@ -406,8 +407,8 @@ def _split_groups(items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFram
     """(items of groups of at most GROUP, spans that pivots have shown, the staged tables that hold them): groups of any size, without gathering one.
 
     Members meet their group's pivots in a join of one row a group, whose skewed partitions Spark
-    splits. An item alone in its group goes no further. With every round the starts of a group get
-    PARTS times fewer; when one is left, pivots settle it, so there are at most six rounds.
+    splits. An item alone in its group goes no further. Every round leaves a
+    PARTS-th of a group's starts; when one is left, pivots settle it, so there are at most seven.
     """
     small, spans, held = [], [], []
     while True:

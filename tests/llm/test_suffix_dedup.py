@@ -55,7 +55,7 @@ def digests(removed):
     return Counter(r[:5] for r in rows)
 
 
-@pytest.mark.parametrize("group", [2048, 30])
+@pytest.mark.parametrize("group", [4096, 30])
 def test_against_brute_force(make_docs, odd_texts, monkeypatch, group):
     rows = [(i, t) for i, t in odd_texts if not t or len(t) < 10_000] + passages(1)
     monkeypatch.setattr(sd, "GROUP", group)  # pivots split some groups, or all
