@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence
-from strandwise.operators import bwt, matching, reporting, schemes
+from strandwise.operators import bwt, matching, reporting, scan, schemes
 
 GRAM = 3
 
@@ -56,8 +56,7 @@ def _char_histogram(spark, sf):
 
 
 def _kmer_table(spark, sf):
-    found = matching.kmers(matching.tiles(ref_seqs(spark, sf), 10), [10]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq_idx", "pos")).alias("first"))
-    return found.select(sequence.pack_kmer(F.col("kmer")).alias("kmer"), "n", F.col("first.seq_idx").alias("seq_idx"), F.col("first.pos").alias("pos"))
+    return scan.kmer_counts(ref_seqs(spark, sf), 10)
 
 
 def _kmer_lookup(spark, sf):

@@ -13,10 +13,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import revcomp
+from strandwise.operators import scan
 
 #: Positions of a tile, and the seed lengths that k-mers are made of.
 TILE, SEED_LENGTHS = 256, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 15)
@@ -24,7 +26,7 @@ TILE, SEED_LENGTHS = 256, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 15)
 
 def tiles(refs: DataFrame, flank: int) -> DataFrame:
     """(seq_idx, tile, size, body): TILE letters from TILE * tile on and up to flank more; size is the sequence's length."""
-    return refs.select("seq_idx", "seq").mapInArrow(partial(_tile, flank=flank), "seq_idx long, tile long, size long, body string")
+    return refs.select("seq_idx", "seq").mapInArrow(partial(_tile, flank=flank), "seq_idx long, tile long, size long, body string").repartition("seq_idx", "tile")
 
 
 def _tile(batches, flank: int):
@@ -104,19 +106,30 @@ def longest(reads: DataFrame) -> int:
     return reads.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
+def _few(reads: DataFrame) -> tuple[bool, int]:
+    """(whether the reads are few enough to be broadcast, their greatest length), counted first."""
+    letters, most = reads.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first()
+    return (letters or 0) <= scan.MOST_LETTERS, most or 0
+
+
 def hamming_match(reads: DataFrame, refs: DataFrame, k: int, *, distinct: bool = True) -> DataFrame:
     """Hits (read_id, strand, seq_idx, begin, end, distance) with at most k substitutions, within one sequence.
 
     With distinct, a locus that both strands have at one distance is one hit, on the forward strand.
+    Few reads are broadcast and found in one pass over the references; many are joined by their seeds.
     """
-    tiled = tiles(refs, longest(reads))
+    few, most = _few(reads)
+    hits = scan.scan(reads, refs, k, "hamming", most) if few else hamming_join(reads, refs, k, most)
+    return _one_strand(hits) if distinct else hits
+
+
+def hamming_join(reads: DataFrame, refs: DataFrame, k: int, most: int) -> DataFrame:
+    tiled = tiles(refs, most)
     found = _at_tile(candidates(strands(reads), tiled, k), tiled).where(F.col("begin") + F.length("pattern") <= F.col("size"))
     window = F.expr(f"substring(body, begin - tile * {TILE} + 1, length(pattern))")
     if k == 0:
-        hits = found.where(window == F.col("pattern")).select("read_id", "strand", "seq_idx", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("distance"))
-    else:
-        hits = found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).mapInArrow(partial(_hamming, k=k), _HIT)
-    return _one_strand(hits) if distinct else hits
+        return found.where(window == F.col("pattern")).select("read_id", "strand", "seq_idx", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("distance"))
+    return found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).mapInArrow(partial(_hamming, k=k), _HIT)
 
 
 def _one_strand(hits: DataFrame) -> DataFrame:
@@ -129,56 +142,52 @@ def _rows(batch, keep, begin, end, distance):
     return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (begin, end, distance))], names=["read_id", "strand", "seq_idx", "begin", "end", "distance"])
 
 
+def _lengths(column) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _hamming(batches, k: int):
+    """Letters of all rows side by side; ends of rows cut the sum of differences."""
     for batch in batches:
-        begin, keep, distance, end = batch.column("begin").to_pylist(), [], [], []
-        for n, (p, w) in enumerate(zip(batch.column("pattern").to_pylist(), batch.column("window").to_pylist())):
-            d = sum(map(str.__ne__, p, w))
-            if d <= k:
-                keep.append(n)
-                distance.append(d)
-                end.append(begin[n] + len(p))
-        yield _rows(batch, np.array(keep, np.int64), [begin[n] for n in keep], end, distance)
+        sizes = _lengths(batch.column("pattern"))
+        letters = [np.frombuffer("".join(batch.column(c).to_pylist()).encode("ascii", "replace"), np.uint8) for c in ("pattern", "window")]
+        total = np.concatenate([[0], np.cumsum(letters[0] != letters[1])])
+        ends = np.cumsum(sizes)
+        d = total[ends] - total[ends - sizes]
+        keep = np.flatnonzero(d <= k)
+        begin = batch.column("begin").to_numpy()[keep]
+        yield _rows(batch, keep, begin, begin + sizes[keep], d[keep])
 
 
 def edit_starts(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """For every start within one sequence: the least edit distance of the read to a string from there, if at most k, and the shortest such string."""
-    tiled = tiles(refs, longest(reads) + k)
+    few, most = _few(reads)
+    return scan.scan(reads, refs, k, "edit", most) if few else edit_join(reads, refs, k, most)
+
+
+def edit_join(reads: DataFrame, refs: DataFrame, k: int, most: int) -> DataFrame:
+    tiled = tiles(refs, most + k)
     near = candidates(strands(reads), tiled, k).withColumn("begin", F.explode(F.expr(f"sequence(begin - {k}, begin + {k})"))).distinct()
     found = _at_tile(near, tiled)
     window = F.expr(f"substring(body, begin - tile * {TILE} + 1, length(pattern) + {k})")
     return found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).where(F.length("window") > 0).mapInArrow(partial(_edit, k=k), _HIT)
 
 
-def prefix_distances(pattern: str, window: str, k: int) -> tuple[int, int]:
-    """(least edit distance of pattern to a prefix of window of at least one letter, the shortest such prefix); k + 1 stands for more than k."""
-    far, n = k + 1, len(window)
-    above = [j if j <= k else far for j in range(n + 1)]
-    for i, p in enumerate(pattern, 1):
-        lo, hi = max(0, i - k), min(n, i + k)
-        if lo > n:
-            return far, 0
-        row = [far] * (n + 1)
-        if lo == 0:
-            row[0] = min(i, far)
-        for j in range(max(1, lo), hi + 1):
-            row[j] = min(above[j - 1] + (p != window[j - 1]), above[j] + 1, row[j - 1] + 1, far)
-        if min(row[lo : hi + 1]) > k:
-            return far, 0
-        above = row
-    return min((above[j], j) for j in range(1, n + 1))
-
-
 def _edit(batches, k: int):
     for batch in batches:
-        begin, keep, distance, end = batch.column("begin").to_pylist(), [], [], []
-        for n, (p, w) in enumerate(zip(batch.column("pattern").to_pylist(), batch.column("window").to_pylist())):
-            d, width = prefix_distances(p, w, k)
-            if d <= k:
-                keep.append(n)
-                distance.append(d)
-                end.append(begin[n] + width)
-        yield _rows(batch, np.array(keep, np.int64), [begin[n] for n in keep], end, distance)
+        if not batch.num_rows:
+            continue
+        sizes, widths = _lengths(batch.column("pattern")), _lengths(batch.column("window"))
+        windows = np.frombuffer("".join(batch.column("window").to_pylist()).encode("ascii", "replace"), np.uint8)
+        patterns = batch.column("pattern").to_pylist()
+        at = np.cumsum(widths) - widths
+        for m in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == m)
+            texts = np.frombuffer("".join(patterns[i] for i in own.tolist()).encode("ascii", "replace"), np.uint8).reshape(-1, m)
+            d, width = scan.edit(windows, at[own], widths[own], texts, k)
+            keep = own[d <= k]
+            begin = batch.column("begin").to_numpy()[keep]
+            yield _rows(batch, keep, begin, begin + width[d <= k], d[d <= k])
 
 
 def nonredundant(hits: DataFrame, k: int) -> DataFrame:

@@ -4,9 +4,11 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from strandwise.operators import matching, reporting
+from strandwise.operators import matching, reporting, scan
 from strandwise.plans.mapping import MapConfig, map_reads
 
 HIT = ("read_id", "strand", "seq_idx", "begin", "end", "distance")
@@ -87,15 +89,22 @@ def random_case():
     return [*reads, ("empty", "")], refs
 
 
+@pytest.fixture(params=["scan", "join"])
+def path(request, monkeypatch):
+    """Few reads in one pass, in pieces of few letters; or as if they were many."""
+    if request.param == "join":
+        monkeypatch.setattr(scan, "MOST_LETTERS", -1)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3])
-def test_hamming_is_brute_force(spark, random_case, k):
+def test_hamming_is_brute_force(spark, random_case, k, path):
     reads, refs = frames(spark, *random_case)
     got = Counter(map(tuple, matching.hamming_match(reads, refs, k).select(*HIT).collect()))
     assert got == Counter(hamming_brute(*random_case, k))
 
 
 @pytest.mark.parametrize("k", [1, 2, 3])
-def test_edit_is_brute_force(spark, random_case, k):
+def test_edit_is_brute_force(spark, random_case, k, path):
     reads = [r for r in random_case[0] if len(r[1]) > 3]
     frames_ = frames(spark, reads, random_case[1])
     want = starts_brute(reads, random_case[1], k)
@@ -103,6 +112,36 @@ def test_edit_is_brute_force(spark, random_case, k):
     assert Counter(map(tuple, matching.edit_match(*frames_, k).select(*HIT).collect())) == thin_brute(want, k)
 
 
+@pytest.mark.parametrize("k", [1, 2, 7, 13])
+def test_packed_kmers(k):
+    rng = random.Random(k)
+    text = "".join(rng.choice("ACGTN") for _ in range(60))
+    got = scan.packed(np.frombuffer(text.encode(), np.uint8), k).tolist()
+    assert got == [sum("ACGTN".index(c) * 5**i for i, c in enumerate(text[a : a + k])) for a in range(60 - k + 1)]
+
+
+def test_pieces_join_up(random_case):
+    """A sequence cut into small pieces gives what it gives whole."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(500))
+    reads = [(f"r{n}", text[20 * n : 20 * n + 12 + n]) for n in range(20)]
+    patterns = scan.Patterns(reads, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], names=["seq_idx", "seq"])
+
+    class shared:
+        value = patterns
+
+    def hits(metric, size):
+        old, scan.PIECE = scan.PIECE, size
+        try:
+            return Counter(tuple(r.values()) for b in scan._match(scan._cut([batch], 40, 40), shared, 1, metric) for r in b.to_pylist())
+        finally:
+            scan.PIECE = old
+
+    for metric in ("hamming", "edit"):
+        assert hits(metric, 37) == hits(metric, 1 << 16) and hits(metric, 37)
+
+
 def test_palindromes_records_and_letters(spark):
     reads, refs = frames(spark, [("p", "ACGT"), ("b", "CCGG"), ("n", "ACNT")], ["TTACGTTT", "AAACC", "GGTTT"])
     assert sorted(map(tuple, matching.exact_match(reads, refs).select(*HIT).collect())) == [("p", "FW", 0, 2, 6, 0), ("p", "RC", 0, 2, 6, 0)]
