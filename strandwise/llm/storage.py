@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets per level of the id histogram; levels of refinement.
-HISTOGRAM, LEVELS = 4096, 6
+#: Buckets per level of the id histogram; bytes of a range, which one task sorts and writes.
+HISTOGRAM, RANGE_BYTES = 4096, 12 << 20
+
+
+def remove_temporary(folder: str) -> None:
+    """Deletes what attempts that failed have left; call it once all tasks have ended."""
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(folder)
+    for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.startswith("_temporary-"):
+            fs.delete_file(info.path)
 
 
 def filesystem(uri: str):
@@ -47,48 +59,88 @@ class TemporaryFile:
         return self.uri
 
 
-def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most about 2 * parts ascending long values that cut df's rows by key into ranges of about equal count.
-
-    The same rows give the same points, whatever their order or partitioning: counts come from
-    exact histograms of equal-width buckets, and only buckets that hold more than a share are
-    refined. The driver sees at most 2 * parts + HISTOGRAM rows per level, never the rows themselves.
+class Ranges:
+    """Ranges of ids in ascending order, nulls first. An id that is more than one range's share is cut by a hash of its rows."""
+
+    def __init__(self, points: list[int], heavy: dict[int, int], nulls: int):
+        """points: the first id of each range but the first; heavy: shares of single ids that are ranges of their own; nulls: shares of null ids."""
+        self.points = np.array(points, np.int64)
+        starts = [None, *points]
+        shares = np.array([nulls] + [heavy.get(s, 1) if s is not None else 1 for s in starts], np.uint64)
+        self.shares, self.first = np.maximum(shares, np.uint64(1)), np.concatenate([[0], np.cumsum(np.maximum(shares, np.uint64(1)))]).astype(np.int64)
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        """The range of each row; hashes (longs) matter for heavy ids only."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.where(null, 0, np.searchsorted(self.points, values, "right") + 1)
+        part = (hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)) * self.shares[at] >> np.uint64(32)
+        return self.first[at] + part.astype(np.int64)
+
+
+def _histogram(batches, lo, hi, width):
+    """(n, b, weight): the sum of weights in bucket b of the n-th interval; intervals ascend and don't overlap. n = -1: null ids."""
+    names = ["n", "b", "weight"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, weight = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        # unsigned distances: an interval can be wider than a long
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.searchsorted(lo, x, "right") - 1
+        inside = ~null & (n >= 0)
+        inside &= x <= hi[np.maximum(n, 0)]
+        b = ((x.view(np.uint64) - lo.view(np.uint64)[np.maximum(n, 0)]) // width[np.maximum(n, 0)]).astype(np.int64)
+        n, b = np.where(null, -1, n), np.where(null, 0, b)
+        keep = np.flatnonzero(inside | null)
+        keys, number = np.unique(np.stack([n[keep], b[keep]]), axis=1, return_inverse=True)
+        sums = np.bincount(number.ravel(), weight[keep], minlength=keys.shape[1]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(sums)], names=names)
+
+
+def split_ranges(df: DataFrame, key: str, weight: Column, share: int) -> Ranges:
+    """Ranges of df's rows by key (a long) whose weights sum to about share each.
+
+    The same rows give the same ranges, whatever their order or partitioning: sums come from exact
+    histograms of equal-width buckets, every bucket of more than a share is cut anew, and a single
+    key of more than a share is cut by hash. The driver sees sums, a few for each range, never rows.
     """
-    spans = df.select(F.min(key), F.max(key), F.count(key)).first()
-    if not spans[2]:
-        return []
-    share = -(-spans[2] // max(1, parts))
-    points: list[int] = []
-    heavy = [(spans[0], spans[1])]  # inclusive
-    for level in range(LEVELS):
-        # every heavy bucket is cut anew; at most parts of them exist, as each holds more than a share
-        each = max(2, HISTOGRAM // len(heavy))
-        found, plan = [], []
-        for lo, hi in heavy:
-            width = max(1, -(-(hi - lo + 1) // each))
-            plan.append((lo, hi, width))
-        bucket = None
-        for n, (lo, hi, width) in enumerate(plan[:256]):
-            here = F.struct(F.lit(n).alias("n"), F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("long").alias("b"))
-            inside = F.col(key).between(lo, hi)
-            bucket = F.when(inside, here) if bucket is None else bucket.when(inside, here)
-        found = df.where(F.col(key).isNotNull()).groupBy(bucket.alias("at")).count().where("at is not null").select("at.n", "at.b", "count").collect()
-        heavy = []
-        running: dict[int, int] = {}
-        for n, b, count in sorted(map(tuple, found)):
-            lo, hi, width = plan[n]
-            at, end = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-            if running.get(n, 0) + count > share:
-                points.append(at)
-                running[n] = 0
-            if count > share and end > at and level + 1 < LEVELS:
-                heavy.append((at, end))
-            running[n] = running.get(n, 0) + count
-        if not heavy:
-            break
-    return sorted(set(points))
-
-
-def range_of(points: list[int], ids: list) -> np.ndarray:
-    """The range of each id: 0 for null and for what precedes the first point."""
-    return np.searchsorted(np.array(points, np.int64), np.array([-(2**63) if i is None else i for i in ids], np.int64), "right").astype(np.int64)
+    rows = df.select(F.col(key), weight.cast("long").alias("w"))
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    nulls, points, heavy = 0, [], {}
+    open_ = [(low, high)] if low is not None else [(0, 0)]
+    while open_:
+        lo, hi = (np.array(c, np.int64) for c in zip(*open_))
+        each = max(2, HISTOGRAM // len(open_))
+        width = np.array([max(1, -(-(b - a + 1) // each)) for a, b in open_], np.uint64)
+        sums = rows.mapInArrow(partial(_histogram, lo=lo, hi=hi, width=width), "n long, b long, weight long").groupBy("n", "b").agg(F.sum("weight")).collect()
+        again, running, at_n = [], 0, None
+        for n, b, w in sorted(map(tuple, sums)):
+            if n < 0:
+                nulls = -(-w // share)
+                continue
+            if n != at_n:
+                at_n, running = n, 0
+                points.append(open_[n][0])  # what was open begins a range
+            a = open_[n][0] + b * int(width[n])
+            z = min(open_[n][1], a + int(width[n]) - 1)
+            if w > share:
+                points.append(a)
+                if z > a:
+                    again.append((a, z))
+                else:
+                    heavy[a] = -(-w // share)
+                if z < open_[n][1]:
+                    points.append(z + 1)
+                running = 0
+                continue
+            if running + w > share:
+                points.append(a)
+                running = 0
+            running += w
+        open_ = again
+    return Ranges(sorted(set(points)), heavy, nulls)

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, new_path, shuffle_partitions, stage
+from .common import by_bytes, new_path, shuffle_partitions, slices, stage
 from .encoding import encoder
-from .storage import TemporaryFile, filesystem, range_of, split_points
+from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
 
-FRAME_IDS, LEVEL, BATCH_BYTES = 1 << 16, 3, 1 << 22
+FRAME_IDS, LEVEL, BATCH_BYTES = 1 << 16, 3, 1 << 20
+#: What a row weighs besides its text when ranges are cut.
+ROW_BYTES = 32
 #: Fixed values of the zstandard format: skippable frames, seek table; ours: the index.
 SEEK_MAGIC, SEEKABLE_END, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: Bit 7 of the descriptor: entries have checksums.
@@ -35,17 +37,21 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | N
 
     Rows go in ascending id order, null ids first, equal ids by their tokens. A null text is
     empty and holds the end id alone; repeated rows are all written; an empty table gives an
-    empty manifest and no file. Ids are cut into ranges by exact counts, a task writes whole
-    ranges, and a file appears under its name only when it is whole, so a lost executor costs
-    its tasks and nothing else. The manifest is a table in the shared folder: it is the commit.
+    empty manifest and no file; a text of any length is encoded whole; other columns of docs, whatever
+    their names, are not read. Ids are cut into ranges by exact sums of bytes, ids that many rows have
+    by a hash of those rows besides (they go by that hash, then by tokens); a task writes one range,
+    and a file appears under its name only when it is whole, so a lost executor costs its tasks and
+    nothing else. The manifest is a table in the shared folder: it is the commit.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = shuffle_partitions(spark)
-    points = split_points(rows, "doc_id", 4 * parts)
-    encoded = rows.mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id, points=points), "shard long, doc_id long, ids binary")
-    ordered = encoded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    return stage(ordered.mapInArrow(partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    ranges = split_ranges(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    encoded = rows.mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
+    ordered = encoded.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    written = stage(ordered.mapInArrow(partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", len(ranges))
+    remove_temporary(folder)
+    return written
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -75,17 +81,13 @@ def read_documents(path: str, doc_ids: set[int]) -> dict[int, list[bytes]]:
         return found
 
 
-def _encode(batches, tokenizer: str, end_id: int | None, points: list[int]):
-    use = encoder(tokenizer, "ids")
+def _encode(batches, tokenizer: str, end_id: int | None, ranges):
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    for batch in batches:
-        rows = ((i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for group in by_bytes(rows, lambda r: len(r[1]), BATCH_BYTES):
-            doc_ids = [i for i, _ in group]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range_of(points, doc_ids)), pa.array(doc_ids, pa.int64()), pa.array([x + end for x in use.ids([t for _, t in group])], pa.binary())],
-                names=["shard", "doc_id", "ids"],
-            )
+    with encoder(tokenizer, "ids") as use:
+        for part in slices(batches, 1, BATCH_BYTES):
+            ids = [x + end for x in use.ids([t or "" for t in part.column(1).to_pylist()])]
+            shard = ranges.value.of(part.column(0), part.column(2)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
 
 class _Writer:

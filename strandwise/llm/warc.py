@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, new_path, shuffle_partitions, stage
-from .storage import TemporaryFile, filesystem, range_of, split_points
+from .common import by_bytes, new_path, shuffle_partitions, stage, unstage
+from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
 
 ROLL_BYTES, LEVEL, READ_BYTES, BATCH_BYTES = 64 << 20, 6, 1 << 20, 1 << 22
+#: What a row weighs besides its texts when ranges are cut.
+ROW_BYTES = 200
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,15 +64,16 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     Of rows with equal payloads of at least min_revisit_bytes, the one with the largest id is the
     response and the others revisit it; among rows that repeat that id too, one is the response.
     Null ids rank below all and come first; if only null ids hold a payload, all are responses.
-    A null payload is empty; a null url is about:blank. An empty table gives an empty manifest.
+    A null payload is empty; a null url is about:blank. An empty table gives an empty manifest. A
+    payload of any length is one record; other columns of pages, whatever their names, are not read.
+    Ranges of ids are cut by exact sums of bytes, ids that many rows have by the payload's digest besides.
 
     Only digests and ids are shuffled to find responses: largest ids per digest, taken before the
     shuffle, then a join whose stream side Spark can split. Payloads are shuffled once, to their range.
     """
     spark = pages.sparkSession
-    parts = shuffle_partitions(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    points = split_points(rows, "page_id", 4 * parts)
+    ranges = split_ranges(rows, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     sha = F.unhex(F.sha2(payload, 256))
     # a row of its own carries each target to the shard of its page, where it sorts before the page
@@ -79,16 +82,20 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     best = stage(best, "warc-targets")  # so that Spark can split the pages of a hot payload
     targets = large.join(best, F.col("sha") == F.col("of")).select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "target").distinct()
     payloads = rows.select("page_id", sha.alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("target"))
-    ranged = payloads.union(targets).mapInArrow(partial(_range, points=points), "shard long, page_id long, sha binary, kind int, url string, html string, target long")
-    ordered = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "sha", "kind", "url")
+    both = payloads.union(targets).withColumn("hash", F.xxhash64("sha"))  # a page and its target share it
+    ranged = both.mapInArrow(partial(_range, ranges=spark.sparkContext.broadcast(ranges)), "shard int, page_id long, sha binary, kind int, url string, html string, target long")
+    ordered = ranged.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "sha", "kind", "url")
     written = ordered.mapInArrow(partial(_write, folder=folder, roll_bytes=roll_bytes, date=date), "shard long, part long, path string, n_records long, n_bytes long, sha256 string")
-    return stage(written, "warc-manifest")
+    written = stage(written, "warc-manifest", len(ranges))
+    remove_temporary(folder)
+    unstage(best)
+    return written
 
 
-def _range(batches, points: list[int]):
+def _range(batches, ranges):
     for batch in batches:
-        shard = pa.array(range_of(points, batch.column("page_id").to_pylist()))
-        yield pa.RecordBatch.from_arrays([shard, *batch.columns], names=["shard", *batch.schema.names])
+        shard = pa.array(ranges.value.of(batch.column("page_id"), batch.column("hash")).astype("int32"))
+        yield pa.RecordBatch.from_arrays([shard, *batch.columns[:-1]], names=["shard", *batch.schema.names[:-1]])
 
 
 class _File:

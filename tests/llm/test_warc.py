@@ -2,10 +2,14 @@
 
 import gzip
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwise.llm import queries, storage, warc
@@ -65,13 +69,37 @@ def test_empty(spark):
     assert manifest.count() == 0 and warc.read_archive(manifest).count() == 0
 
 
-def test_split_points_are_even_and_do_not_depend_on_order(spark):
-    ids = list(range(1000)) + [10**15 + i for i in range(1000)] + [-(2**63), 2**63 - 1] + [None]
-    df = spark.createDataFrame([(i,) for i in ids], "k long")
-    points = storage.split_points(df, "k", 8)
-    assert points == storage.split_points(df.repartition(5), "k", 8)
-    sizes = Counter(storage.range_of(points, ids).tolist())
-    assert max(sizes.values()) <= 2 * len(ids) / 8
+@pytest.mark.parametrize("share", [100, 1700])
+def test_ranges_are_even_and_do_not_depend_on_order(spark, share):
+    rng = random.Random(share)
+    ids = [*range(1000), *(10**15 + i for i in range(1000)), -(2**63), 2**63 - 1, *[None] * 500, *[77] * 2000]
+    ids += [c * 10**12 + i for c in range(400) for i in range(50)]  # more clusters than a histogram has buckets for each
+    rows = [(i, rng.randrange(1, 20), rng.getrandbits(64) - 2**63) for i in ids]
+    df = spark.createDataFrame(rows, "k long, w long, h long")
+    got = storage.split_ranges(df, "k", F.col("w"), share)
+    again = storage.split_ranges(df.repartition(5), "k", F.col("w"), share)
+    k, w, h = (pa.array(c, pa.int64()) for c in zip(*rows))
+    at = got.of(k, h)
+    assert np.array_equal(at, again.of(k, h)) and at.max() < len(got)
+    sums = np.bincount(at, w.to_numpy())
+    assert sums.max() <= 2.5 * share  # a hash deals a heavy id out about evenly
+    assert len(got) <= 6 * sums.sum() / share + 8
+    order = sorted(range(len(rows)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+    plain = [at[i] for i in order if ids[i] not in (None, 77)]
+    assert plain == sorted(plain) and max(at[i] for i in order[:500]) < min(at[i] for i in order[500:])
+
+
+def test_a_hot_id_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    rows = [(1 if i % 3 else i, "u", f"page {i % 40} " * 20) for i in range(400)]
+    manifest = warc.write_archive(pages(spark, rows), warc.archive_folder(spark))
+    assert manifest.groupBy("shard").sum("n_records").agg({"sum(n_records)": "max"}).first()[0] < 100
+    got = warc.read_archive(manifest).collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    best = {}
+    for i, _, h in rows:
+        best[h] = max(best.get(h, i), i)
+    assert sum(r.record_type == "response" for r in got) == len(best)
 
 
 def test_sql_agrees(spark):
