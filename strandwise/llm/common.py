@@ -6,7 +6,6 @@ import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -47,18 +46,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandwise-{tag}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def bounded_batches(spark: SparkSession):
-    """Meanwhile Arrow batches are cut by bytes and rows, so that long texts don't add up in a worker."""
-    bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-    before = {k: spark.conf.get(k) for k in bounds}
-    try:
-        for k, v in bounds.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have these bounds at most, so that long texts don't add up in a worker.
+
+    They must hold when a result runs, which is after the operator has returned it. Smaller bounds stay.
+    """
+    sc = spark.sparkContext
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)):
+        now = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
@@ -71,8 +68,8 @@ def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, tag)
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
-    with bounded_batches(spark):
-        df.write.parquet(path)
+    bound_batches(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -2,14 +2,13 @@
 
 Byte-level BPE never joins characters across the start of a run of white space that
 follows a non-space character, so a text may be cut there: the pieces' tokens are
-the text's. Pieces repeat (words with the space before them), so each task keeps a
-bounded table from piece to tokens, of which an idle worker holds on to a small part,
-and the library encodes only what is new, in batches of about equal bytes.
+the text's. Pieces repeat (words with the space before them), so each worker keeps
+a bounded table from piece to tokens, over all its tasks, and the library encodes
+only what is new, in batches of about equal bytes.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -17,8 +16,8 @@ from array import array
 
 from .common import by_bytes
 
-#: Bytes of pieces per library call, pieces that a task keeps (some 60 MB), pieces left to the worker's next task, longest piece kept.
-CALL_BYTES, KEPT_PIECES, IDLE_PIECES, KEPT_CHARS = 1 << 17, 250_000, 50_000, 64
+#: Bytes of pieces per library call, pieces kept per worker (some 100 MB), longest piece kept.
+CALL_BYTES, KEPT_PIECES, KEPT_CHARS = 1 << 19, 700_000, 64
 #: Texts longer than this are cut before they are split into pieces.
 SLICE_CHARS = 1 << 18
 
@@ -56,15 +55,13 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self._ids = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-            with open(path, encoding="utf-8") as f:
-                spec = json.load(f)
-            pre = spec.get("pre_tokenizer") or {}
+            pre = json.loads(model.pre_tokenizer.__getstate__()) if model.pre_tokenizer else {}
             self.sliced = (
-                spec.get("normalizer") is None
+                model.normalizer is None
                 and pre.get("type") == "ByteLevel"
                 and pre.get("use_regex", True)
                 and not pre.get("add_prefix_space")
-                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+                and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in model.get_added_tokens_decoder().values())
             )
         # after: pieces that follow a single space, keyed as _unit() reads them; whole: any other piece
         self._after: dict = {}
@@ -99,15 +96,6 @@ class Encoder:
         return out
 
 
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
-        """A task ends: its worker may idle for long, so it keeps only the pieces that came first, which are the frequent ones."""
-        for name in ("_after", "_whole"):
-            setattr(self, name, dict(itertools.islice(getattr(self, name).items(), IDLE_PIECES)))
-
-
 def _unit(piece: str) -> str:
     return "," if piece == "\x01" else "." if piece == "\x02" else piece if piece[0] == "\n" else " " + piece
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 
 RATE, TARGET, UP, DOWN = 24_000, 16_000, 2, 3
 WINDOW, HOP, FFT, MELS, BLOCK = 400, 160, 512, 40, 16
@@ -173,6 +173,7 @@ def audio_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     frames; what grows with it is its row: the file and 40 numbers of 4 bytes for each 240 bytes of text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     return rows.mapInArrow(_features, "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_s double, end_s double>>")
 
 

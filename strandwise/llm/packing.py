@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, shuffle_partitions, slices
+from .common import bound_batches, by_bytes, row_key, shuffle_partitions, slices
 from .encoding import encoder
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 21
 #: Pieces that are packed together. A group is what one tree holds in memory.
 GROUP = 1 << 14
 
@@ -33,6 +33,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
     last = ", ids binary" if with_ids else ""
+    bound_batches(docs.sparkSession)
     pieces = rows.mapInArrow(partial(_cut, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids), f"{_PIECE}, key long{last}")
     parts = shuffle_partitions(docs.sparkSession)
     # full pieces of one long document are dealt out by their start
@@ -42,18 +43,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
 
 def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool):
     end, step = struct.pack("<I", end_id), 4 * seq_len
-    with encoder(tokenizer, "ids") as use:
-        for part in slices(batches, 1, BATCH_BYTES):
-            out = []
-            doc_ids, texts, keys = (c.to_pylist() for c in part.columns)
-            for i, key, ids in zip(doc_ids, keys, use.ids([t or "" for t in texts])):
-                ids += end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    out.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, key, piece))
-            columns = list(zip(*out))
-            kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "key"] + ["ids"] * with_ids)
+    use = encoder(tokenizer, "ids")
+    for part in slices(batches, 1, BATCH_BYTES):
+        out = []
+        doc_ids, texts, keys = (c.to_pylist() for c in part.columns)
+        for i, key, ids in zip(doc_ids, keys, use.ids([t or "" for t in texts])):
+            ids += end
+            for at in range(0, len(ids), step):
+                piece = ids[at : at + step]
+                out.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, key, piece))
+        columns = list(zip(*out))
+        kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "key"] + ["ids"] * with_ids)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

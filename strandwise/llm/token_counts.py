@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .encoding import encoder, utf8_size
 
 #: Bytes of text handled at a time in one task.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 21
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,15 +25,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: s
     A text of any length is encoded whole, in slices cut at white space.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     return rows.mapInArrow(partial(_count, tokenizer=tokenizer, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _count(batches, tokenizer: str, limit: int):
-    with encoder(tokenizer, "lengths") as use:
-        for part in slices(batches, 1, BATCH_BYTES):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            n = use.lengths(texts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(utf8_size, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+    use = encoder(tokenizer, "lengths")
+    for part in slices(batches, 1, BATCH_BYTES):
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        n = use.lengths(texts)
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(map(utf8_size, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        )

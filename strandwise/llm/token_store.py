@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, new_path, shuffle_partitions, slices, stage
+from .common import bound_batches, by_bytes, new_path, shuffle_partitions, slices, stage
 from .encoding import encoder
 from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
 
-FRAME_IDS, LEVEL, BATCH_BYTES = 1 << 16, 3, 1 << 20
+FRAME_IDS, LEVEL, BATCH_BYTES = 1 << 16, 3, 1 << 21
 #: What a row weighs besides its text when ranges are cut.
 ROW_BYTES = 32
 #: Fixed values of the zstandard format: skippable frames, seek table; ours: the index.
@@ -47,6 +47,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | N
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = split_ranges(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
     rows = rows.withColumn("hash", F.xxhash64("text"))
+    bound_batches(docs.sparkSession)
     encoded = rows.mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
     ordered = encoded.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     written = stage(ordered.mapInArrow(partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", len(ranges))
@@ -83,11 +84,11 @@ def read_documents(path: str, doc_ids: set[int]) -> dict[int, list[bytes]]:
 
 def _encode(batches, tokenizer: str, end_id: int | None, ranges):
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    with encoder(tokenizer, "ids") as use:
-        for part in slices(batches, 1, BATCH_BYTES):
-            ids = [x + end for x in use.ids([t or "" for t in part.column(1).to_pylist()])]
-            shard = ranges.value.of(part.column(0), part.column(2)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+    use = encoder(tokenizer, "ids")
+    for part in slices(batches, 1, BATCH_BYTES):
+        ids = [x + end for x in use.ids([t or "" for t in part.column(1).to_pylist()])]
+        shard = ranges.value.of(part.column(0), part.column(2)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
 
 class _Writer:
