@@ -40,8 +40,8 @@ class Encoder:
     No special tokens are added; special strings inside a text follow the library's default.
     """
 
-    def __init__(self, path: str):
-        self.path, self.sliced = path, False
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        self.path, self.kept, self.sliced = path, kept, False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -89,7 +89,7 @@ class Encoder:
         after, whole = self._after.__getitem__, self._whole.__getitem__
         out = [join([join(map(f, x[at])) for x in text for f, at in ((whole, 0), (after, 1))]) for text in pieces]
         for table, new in added:  # what came early is what is frequent, so a full table forgets the newest pieces
-            full = len(table) > KEPT_PIECES
+            full = len(table) > self.kept
             for p in new:
                 if full or len(p) > KEPT_CHARS:
                     del table[p]
@@ -128,11 +128,12 @@ def _pieces(text: str):
             yield ((), words) if after else (words[:1], words[1:])
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, use: str) -> Encoder:
-    """This worker's encoder for one use: piece tables of lengths and of ids are kept apart."""
-    if (path, use) not in _encoders:
-        _encoders[path, use] = Encoder(path)
-    return _encoders[path, use]
+def encoder(path: str, use: str, kept: int = KEPT_PIECES) -> Encoder:
+    """This worker's encoder for one use: piece tables of lengths and of ids are kept apart. A worker that serves other
+    stages too can be told to keep fewer pieces."""
+    if (path, use, kept) not in _encoders:
+        _encoders[path, use, kept] = Encoder(path, kept)
+    return _encoders[path, use, kept]

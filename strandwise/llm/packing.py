@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, by_bytes, row_key, shuffle_partitions, slices
-from .encoding import encoder
+from .encoding import KEPT_PIECES, encoder
 
 BATCH_BYTES = 1 << 21
 #: Pieces that are packed together. A group is what one tree holds in memory.
@@ -20,7 +20,7 @@ GROUP = 1 << 14
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False, kept_pieces: int = KEPT_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset [, ids].
 
     A document's tokens and end id are cut at multiples of seq_len; full pieces are sequences of
@@ -28,22 +28,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
     row, so reruns agree), and each group is packed by first-fit decreasing. Sequence ids hold the
     partition in their high bits and are unique, not dense. A null text is empty (its end id alone);
     null ids stay null; repeated rows are all packed; an empty table gives an empty result; texts of
-    any length are encoded whole; other columns of docs, whatever their names, are not read. Only
+    any length are encoded whole, with a table of at most kept_pieces in a worker; other columns of docs, whatever their names, are not read. Only
     piece lengths and checksums are shuffled (and the ids, with_ids), never texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
     last = ", ids binary" if with_ids else ""
     bound_batches(docs.sparkSession)
-    pieces = rows.mapInArrow(partial(_cut, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids), f"{_PIECE}, key long{last}")
+    pieces = rows.mapInArrow(partial(_cut, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids, kept=kept_pieces), f"{_PIECE}, key long{last}")
     parts = shuffle_partitions(docs.sparkSession)
     # full pieces of one long document are dealt out by their start
     dealt = pieces.repartition(parts, F.xxhash64("key", "start")).sortWithinPartitions(F.xxhash64("key", F.lit(7)), "doc_id", "start")
     return dealt.mapInArrow(partial(_pack, seq_len=seq_len, with_ids=with_ids), f"{_PIECE}, sequence_id long, offset long{last}")
 
 
-def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool):
+def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool, kept: int):
     end, step = struct.pack("<I", end_id), 4 * seq_len
-    use = encoder(tokenizer, "ids")
+    use = encoder(tokenizer, "ids", kept)
     for part in slices(batches, 1, BATCH_BYTES):
         out = []
         doc_ids, texts, keys = (c.to_pylist() for c in part.columns)
