@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, TOKENIZER, seq_len=2048, end_id=1)
+    """Pieces of documents in sequences of 2048 tokens. Workers go on to other stages, so their tables stay small."""
+    return packing.pack_documents(docs, TOKENIZER, seq_len=2048, end_id=1, kept_pieces=50_000)
 
 
 STAGES = [
