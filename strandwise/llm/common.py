@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import partial
 
 import numpy as np
@@ -117,21 +119,42 @@ def by_bytes(items: Iterable[tuple], size, limit: int) -> Iterator[list]:
         yield held
 
 
-def _pick(batches, keys, inside: bool):
-    for batch in batches:
-        rk = batch.column("rk").to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(keys.value, rk), max(0, len(keys.value) - 1))
-        hit = keys.value[at] == rk if len(keys.value) else np.zeros(len(rk), bool)
-        yield batch.filter(pa.array(hit == inside))
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with a function of batches; as the task ends its worker gives memory back, as it may idle for long."""
+    return df.mapInArrow(partial(_tidy, function=function), schema)
+
+
+def _tidy(batches, function):
+    try:
+        yield from function(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
 
+def _pick(batches, keys, inside: bool, then):
+    def picked():
+        for batch in batches:
+            rk = batch.column("rk").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(keys.value, rk), max(0, len(keys.value) - 1))
+            hit = keys.value[at] == rk if len(keys.value) else np.zeros(len(rk), bool)
+            yield batch.filter(pa.array(hit == inside))
 
-def rows_with(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows whose key rk is among wanted.rk, all others); with more than MOST_KEYS keys (rows, None), so callers join in any case."""
+    yield from then(picked()) if then else picked()
+
+
+def rows_with(rows: DataFrame, wanted: DataFrame, then=None, schema: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key rk is among wanted.rk, all others); with more than MOST_KEYS keys (rows, None), so callers join in any case.
+
+    then, with its schema, is a function of batches that the first go through in the same worker.
+    """
     keys = wanted.select("rk").distinct()
     n = keys.count()
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     if n > MOST_KEYS:
-        return rows, None
+        return rows.transform(in_arrow, then, schema) if then else rows, None
     found = keys.toArrow().column(0).to_numpy() if n else np.zeros(0, np.int64)
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(found))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return tuple(rows.mapInArrow(partial(_pick, keys=shared, inside=x), schema) for x in (True, False))
+    some = rows.transform(in_arrow, partial(_pick, keys=shared, inside=True, then=then), schema or own)
+    return some, rows.transform(in_arrow, partial(_pick, keys=shared, inside=False, then=None), own)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import in_arrow, row_key, stage
 
 #: Bits per counted key, hash functions, bits of a segment, and the most bits of one filter (16 MB).
 KEY_BITS, PROBES, SEGMENT, MOST_BITS = 12, 4, 1 << 19, 1 << 27
@@ -141,8 +141,8 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
     # no more keys than lines, and no more than fit into the characters
     lines, chars = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1), F.sum(F.length("text"))).first()
     bits = filter_bits(min(lines or 0, (chars or 0) // max(1, min_chars)))
-    marks = texts.mapInArrow(partial(_mark, min_chars=min_chars, bits=bits), _SEGMENTS)
-    merged = marks.repartition(max(1, min(64, bits // SEGMENT)), "segment").sortWithinPartitions("segment").mapInArrow(_merge, _SEGMENTS)
+    marks = texts.transform(in_arrow, partial(_mark, min_chars=min_chars, bits=bits), _SEGMENTS)
+    merged = marks.repartition(max(1, min(64, bits // SEGMENT)), "segment").sortWithinPartitions("segment").transform(in_arrow, _merge, _SEGMENTS)
     out = np.zeros(bits // 8, np.uint8)
     for segment, packed in merged.select("segment", "twice").toLocalIterator():
         lo = segment * SEGMENT // 8
@@ -207,7 +207,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     kept = [F.col(f"`{c}`").alias(f"_keep_{n}") for n, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *kept).withColumn("_rk", row_key("_id", "_text"))
     shared = spark.sparkContext.broadcast(twice_seen(docs, text_col, min_chars))
-    found = rows.select("_id", "_rk", "_text").mapInArrow(partial(_suspects, min_chars=min_chars, shared=shared), "doc_id long, rk long, hash binary")
+    found = rows.select("_id", "_rk", "_text").transform(in_arrow, partial(_suspects, min_chars=min_chars, shared=shared), "doc_id long, rk long, hash binary")
     suspects = stage(found, "suspects")
     verdicts = suspects.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
     verdicts = stage(verdicts.select("hash", "keeper"), "verdicts")  # so that Spark can split the suspects of a hot key
@@ -217,7 +217,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     joined = rows.join(lost, (F.col("_rk") == F.col("rk")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("_rk", "rk", "doc_id")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in ("_id", *(f"_keep_{n}" for n in range(len(keep))), "_text"))
-    out = joined.mapInArrow(partial(_drop, min_chars=min_chars), f"{schema}, _lines long, _lost long")
+    out = joined.transform(in_arrow, partial(_drop, min_chars=min_chars), f"{schema}, _lines long, _lost long")
     return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_keep_{n}").alias(c) for n, c in enumerate(keep)), F.col("_text").alias("text"), F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_dropped"))
 
 

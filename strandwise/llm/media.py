@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, in_arrow, slices
 
 RATE, TARGET, UP, DOWN = 24_000, 16_000, 2, 3
 WINDOW, HOP, FFT, MELS, BLOCK = 400, 160, 512, 40, 16
@@ -174,7 +174,7 @@ def audio_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bound_batches(docs.sparkSession)
-    return rows.mapInArrow(_features, "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_s double, end_s double>>")
+    return rows.transform(in_arrow, _features, "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_s double, end_s double>>")
 
 
 def _features(batches):
@@ -195,7 +195,7 @@ def _features(batches):
 
 def media_digest(features: DataFrame) -> DataFrame:
     """Reads the stored bytes back: payload and media digests, and a short string of the features."""
-    return features.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return features.transform(in_arrow, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _digest(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, rows_with, stage
+from .common import by_bytes, in_arrow, row_key, rows_with, stage
 from .components import connected_components
 
 #: A counter for about so many tokens, so that counters tell frequent tokens from chance at any size; the fewest and
@@ -229,7 +229,7 @@ def token_levels(features: DataFrame, bits: int) -> np.ndarray:
 
     parts = features.where("n < 0").select("segment", "counts").repartition(min(64, (1 << bits) // SEGMENT), "segment").sortWithinPartitions("segment")
     counts = np.zeros(1 << bits, np.float32)
-    for segment, data in parts.mapInArrow(_add, "segment int, counts binary").toLocalIterator():
+    for segment, data in parts.transform(in_arrow, _add, "segment int, counts binary").toLocalIterator():
         counts[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * SEGMENT), np.uint64)
     return np.minimum(255, 12 * np.log2(1 + counts / (counts.mean() + 1))).astype(np.uint8)
 
@@ -340,7 +340,7 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: in
     pairs = pairs.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
     pairs = pairs.join(sets.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).drop("of")
     dealt = pairs.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
-    return dealt.mapInArrow(partial(_cross, num=num, den=den, forest=forest), "a long, b long").distinct(), rows.select("sig", "node")
+    return dealt.transform(in_arrow, partial(_cross, num=num, den=den, forest=forest), "a long, b long").distinct(), rows.select("sig", "node")
 
 
 def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +363,7 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
     seed, bits = 0, sketch_bits(rows)
     while True:
-        features = stage(rows.select("doc_id", "rk", "text").mapInArrow(partial(_features, size=shingle, seed=seed, bits=bits), _FEATURES), "features")
+        features = stage(rows.select("doc_id", "rk", "text").transform(in_arrow, partial(_features, size=shingle, seed=seed, bits=bits), _FEATURES), "features")
         present = features.where("node is not null")
         nodes = stage(
             present.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rk").alias("rk"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.first("n").alias("n"), F.first("bits").alias("bits")),
@@ -373,23 +373,23 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
             break
         seed += 1
     shared = docs.sparkSession.sparkContext.broadcast(token_levels(features, bits))
-    signed = stage(rows.select("text").mapInArrow(partial(_sign, size=shingle, num=num, den=den, shared=shared, seed=seed), "sig long, node long"), "signatures")
+    signed = stage(rows.select("text").transform(in_arrow, partial(_sign, size=shingle, num=num, den=den, shared=shared, seed=seed), "sig long, node long"), "signatures")
     # staged, so that Spark can split the other side of the join where a signature is hot
     buckets = stage(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("sig").alias("of"), "lo"), "buckets")
     members = stage(signed.join(buckets, F.col("sig") == F.col("of")).select("sig", "node", "lo").distinct(), "members")
 
     wanted = members.select("node").distinct().join(nodes.select(F.col("node").alias("of"), F.col("rk").alias("of_rk")), F.col("node") == F.col("of")).select("node", "of_rk")
     wanted = stage(wanted, "wanted")
-    some, _ = rows_with(rows.select("rk", "text"), wanted.select(F.col("of_rk").alias("rk")))
+    some, _ = rows_with(rows.select("rk", "text"), wanted.select(F.col("of_rk").alias("rk")), _zip, "rk long, text binary")
     # rows that repeat share a row key: one text stays for each node
-    texts = some.mapInArrow(_zip, "rk long, text binary").join(wanted, F.col("rk") == F.col("of_rk")).dropDuplicates(["rk"]).select("node", "text")
+    texts = some.join(wanted, F.col("rk") == F.col("of_rk")).dropDuplicates(["rk"]).select("node", "text")
     texts = stage(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("node_a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("node_b"), F.col("text").alias("text_b"))
         both = pairs.join(b, F.col("b") == F.col("node_b")).select("a", "b", "text_b").join(a, F.col("a") == F.col("node_a")).select("a", "b", "text_a", "text_b")
-        return stage(both.sortWithinPartitions("a").mapInArrow(partial(_verify, size=shingle, num=num, den=den), "a long, b long, linked boolean"), "verified").where("linked").select("a", "b")
+        return stage(both.sortWithinPartitions("a").transform(in_arrow, partial(_verify, size=shingle, num=num, den=den), "a long, b long, linked boolean"), "verified").where("linked").select("a", "b")
 
     first = members.where("node <> lo").groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a"))
     edges = verified(first.select("a", "b"))

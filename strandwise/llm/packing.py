@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, row_key, shuffle_partitions, slices
+from .common import bound_batches, by_bytes, in_arrow, row_key, shuffle_partitions, slices
 from .encoding import KEPT_PIECES, encoder
 
 BATCH_BYTES = 1 << 21
@@ -34,11 +34,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
     last = ", ids binary" if with_ids else ""
     bound_batches(docs.sparkSession)
-    pieces = rows.mapInArrow(partial(_cut, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids, kept=kept_pieces), f"{_PIECE}, key long{last}")
+    pieces = rows.transform(in_arrow, partial(_cut, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids, kept=kept_pieces), f"{_PIECE}, key long{last}")
     parts = shuffle_partitions(docs.sparkSession)
     # full pieces of one long document are dealt out by their start
     dealt = pieces.repartition(parts, F.xxhash64("key", "start")).sortWithinPartitions(F.xxhash64("key", F.lit(7)), "doc_id", "start")
-    return dealt.mapInArrow(partial(_pack, seq_len=seq_len, with_ids=with_ids), f"{_PIECE}, sequence_id long, offset long{last}")
+    return dealt.transform(in_arrow, partial(_pack, seq_len=seq_len, with_ids=with_ids), f"{_PIECE}, sequence_id long, offset long{last}")
 
 
 def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool, kept: int):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import in_arrow, row_key, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What str.split() takes for white space besides \x20 and \x09-\x0D.
@@ -92,7 +92,7 @@ def judged_documents(docs: DataFrame, *, count_copies: bool = False, min_documen
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", row_key("doc_id", "text").alias("rk"), "host", "text", F.xxhash64("text").alias("same"))
     base = ", ".join(f"{c} long" for c in _BASE)
-    measured = rows.mapInArrow(_measure, f"doc_id long, rk long, host string, same long, {base}, lines array<struct<hash: long, words: long>>")
+    measured = rows.transform(in_arrow, _measure, f"doc_id long, rk long, host string, same long, {base}, lines array<struct<hash: long, words: long>>")
     measured = stage(measured, "features")
     once = measured if count_copies else measured.groupBy("host", "same").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("host", "of")
@@ -138,7 +138,7 @@ def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     joined = rows.join(judged, (F.col("_rk") == F.col("of_rk")) & F.col("_id").eqNullSafe(F.col("of"))).drop("_rk", "of", "of_rk")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = ["_id", *(f"_keep_{n}" for n in range(len(keep)))]
-    out = joined.select(*names, "_text", "removed").mapInArrow(_clean, ", ".join(f"{c} {types[c]}" for c in (*names, "_text")))
+    out = joined.select(*names, "_text", "removed").transform(in_arrow, _clean, ", ".join(f"{c} {types[c]}" for c in (*names, "_text")))
     return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_keep_{n}").alias(c) for n, c in enumerate(keep)), F.col("_text").alias("text"))
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Buckets per level of the id histogram; bytes of a range, which one task sorts and writes.
 HISTOGRAM, RANGE_BYTES = 4096, 12 << 20
 
@@ -117,7 +119,7 @@ def split_ranges(df: DataFrame, key: str, weight: Column, share: int) -> Ranges:
         lo, hi = (np.array(c, np.int64) for c in zip(*open_))
         each = max(2, HISTOGRAM // len(open_))
         width = np.array([max(1, -(-(b - a + 1) // each)) for a, b in open_], np.uint64)
-        sums = rows.mapInArrow(partial(_histogram, lo=lo, hi=hi, width=width), "n long, b long, weight long").groupBy("n", "b").agg(F.sum("weight")).collect()
+        sums = rows.transform(in_arrow, partial(_histogram, lo=lo, hi=hi, width=width), "n long, b long, weight long").groupBy("n", "b").agg(F.sum("weight")).collect()
         again, running, at_n = [], 0, None
         for n, b, w in sorted(map(tuple, sums)):
             if n < 0:

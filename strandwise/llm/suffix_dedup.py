@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_key, rows_with, stage, unstage
+from .common import by_bytes, in_arrow, row_key, rows_with, stage, unstage
 
 LENGTH, GRAM = 400, 64
 #: Bytes before and after an anchor's start that strings with the anchor can reach.
@@ -421,7 +421,7 @@ def _split_groups(items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFram
         small.append(met.where("pivots is null").drop("pivots"))
         if not groups.where("pivots is not null").limit(1).count():
             break
-        split = stage(met.where("pivots is not null").mapInArrow(_split, f"{_ITEM}, lo long, hi long"), "split")
+        split = stage(met.where("pivots is not null").transform(in_arrow, _split, f"{_ITEM}, lo long, hi long"), "split")
         held.append(split)
         spans.append(split.where("lo is not null").select("rk", "lo", "hi"))
         items = split.where("lo is null").drop("lo", "hi")
@@ -477,7 +477,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
     texts = rows.select("rk", "text")
-    found = stage(texts.mapInArrow(_find, _ANCHORS), "anchors")
+    found = stage(texts.transform(in_arrow, _find, _ANCHORS), "anchors")
     each = found.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "pos")).alias("at"))
     groups = each.groupBy(F.col("anchor").alias("of")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 1")
     groups = stage(groups, "groups")  # so that Spark can split the other side of the join where an anchor is hot
@@ -489,20 +489,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     wanted = stage(wanted.groupBy("rk").agg(F.collect_list("x").alias("wanted")), "wanted")
     some, _ = rows_with(texts, wanted)
     # repeated rows share a key, and all but one may go
-    fetched = some.join(wanted.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of")).select("rk", "text", "wanted").mapInArrow(_fetch, _CONTEXTS)
+    fetched = some.join(wanted.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of")).select("rk", "text", "wanted").transform(in_arrow, _fetch, _CONTEXTS)
     fetched = stage(fetched, "contexts")
     small, large = fetched.where("not many").drop("many"), fetched.where("many").drop("many")
     held = []
     if large.limit(1).count():
         split, shown, held = _split_groups(large)
         small, spans = small.union(split), spans.union(shown)
-    spans = spans.union(small.repartition("group").sortWithinPartitions("group").mapInArrow(_resolve, _SPAN))
+    spans = spans.union(small.repartition("group").sortWithinPartitions("group").transform(in_arrow, _resolve, _SPAN))
     spans = stage(spans.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "spans")
     unstage(found, groups, each, wanted, fetched, *held)
 
     some, rest = rows_with(rows, spans)
-    cut = some.join(spans.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of"), "left").select("doc_id", "text", "found").mapInArrow(_cut, _KEPT)
-    return cut if rest is None else cut.union(rest.select("doc_id", "text").mapInArrow(_cut, _KEPT))
+    cut = some.join(spans.withColumnRenamed("rk", "of"), F.col("rk") == F.col("of"), "left").select("doc_id", "text", "found").transform(in_arrow, _cut, _KEPT)
+    return cut if rest is None else cut.union(rest.select("doc_id", "text").transform(in_arrow, _cut, _KEPT))
 
 
 def repeat_digest(removed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, in_arrow, slices
 from .encoding import encoder, utf8_size
 
 #: Bytes of text handled at a time in one task.
@@ -26,7 +26,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bound_batches(docs.sparkSession)
-    return rows.mapInArrow(partial(_count, tokenizer=tokenizer, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.transform(in_arrow, partial(_count, tokenizer=tokenizer, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _count(batches, tokenizer: str, limit: int):

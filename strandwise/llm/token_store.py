@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, new_path, shuffle_partitions, slices, stage
+from .common import bound_batches, by_bytes, in_arrow, new_path, shuffle_partitions, slices, stage
 from .encoding import encoder
 from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
 
@@ -48,9 +48,9 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | N
     ranges = split_ranges(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
     rows = rows.withColumn("hash", F.xxhash64("text"))
     bound_batches(docs.sparkSession)
-    encoded = rows.mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
+    encoded = rows.transform(in_arrow, partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
     ordered = encoded.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    written = stage(ordered.mapInArrow(partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", len(ranges))
+    written = stage(ordered.transform(in_arrow, partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", len(ranges))
     remove_temporary(folder)
     return written
 
@@ -69,7 +69,7 @@ def _scan(manifest: DataFrame, ids: bool) -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = manifest.withColumn("first", F.coalesce(before, F.lit(0).cast("long"))).select("path", "first")  # a row for each file
     last = "ids binary" if ids else "ids_crc32 long"
-    return shards.repartition(4 * shuffle_partitions(manifest.sparkSession), "path").mapInArrow(partial(_read, ids=ids), f"doc_id long, start long, n_tokens long, {last}")
+    return shards.repartition(4 * shuffle_partitions(manifest.sparkSession), "path").transform(in_arrow, partial(_read, ids=ids), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def read_documents(path: str, doc_ids: set[int]) -> dict[int, list[bytes]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, new_path, shuffle_partitions, stage, unstage
+from .common import by_bytes, in_arrow, new_path, shuffle_partitions, stage, unstage
 from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
 
 ROLL_BYTES, LEVEL, READ_BYTES, BATCH_BYTES = 64 << 20, 6, 1 << 20, 1 << 22
@@ -83,9 +83,9 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     targets = large.join(best, F.col("sha") == F.col("of")).select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "target").distinct()
     payloads = rows.select("page_id", sha.alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("target"))
     both = payloads.union(targets).withColumn("hash", F.xxhash64("sha"))  # a page and its target share it
-    ranged = both.mapInArrow(partial(_range, ranges=spark.sparkContext.broadcast(ranges)), "shard int, page_id long, sha binary, kind int, url string, html string, target long")
+    ranged = both.transform(in_arrow, partial(_range, ranges=spark.sparkContext.broadcast(ranges)), "shard int, page_id long, sha binary, kind int, url string, html string, target long")
     ordered = ranged.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "sha", "kind", "url")
-    written = ordered.mapInArrow(partial(_write, folder=folder, roll_bytes=roll_bytes, date=date), "shard long, part long, path string, n_records long, n_bytes long, sha256 string")
+    written = ordered.transform(in_arrow, partial(_write, folder=folder, roll_bytes=roll_bytes, date=date), "shard long, part long, path string, n_records long, n_bytes long, sha256 string")
     written = stage(written, "warc-manifest", len(ranges))
     remove_temporary(folder)
     unstage(best)
@@ -182,7 +182,7 @@ def read_archive(manifest: DataFrame, *, payloads: bool = False) -> DataFrame:
     """
     more = ", url string, html string" if payloads else ""
     files = manifest.select("path").repartition(4 * shuffle_partitions(manifest.sparkSession), "path")
-    return files.mapInArrow(partial(_read, payloads=payloads), _PAGE + more)
+    return files.transform(in_arrow, partial(_read, payloads=payloads), _PAGE + more)
 
 
 def _read(batches, payloads: bool):
