@@ -50,7 +50,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | N
     bound_batches(docs.sparkSession)
     encoded = rows.transform(in_arrow, partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
     ordered = encoded.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    written = stage(ordered.transform(in_arrow, partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", len(ranges))
+    written = stage(ordered.transform(in_arrow, partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     remove_temporary(folder)
     return written
 

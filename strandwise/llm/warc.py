@@ -86,7 +86,7 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     ranged = both.transform(in_arrow, partial(_range, ranges=spark.sparkContext.broadcast(ranges)), "shard int, page_id long, sha binary, kind int, url string, html string, target long")
     ordered = ranged.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "sha", "kind", "url")
     written = ordered.transform(in_arrow, partial(_write, folder=folder, roll_bytes=roll_bytes, date=date), "shard long, part long, path string, n_records long, n_bytes long, sha256 string")
-    written = stage(written, "warc-manifest", len(ranges))
+    written = stage(written, "warc-manifest")
     remove_temporary(folder)
     unstage(best)
     return written
