@@ -421,3 +421,23 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = renamed.join(keep, F.col("_rk") == F.col("of"))
     single = joined.where("single").dropDuplicates(["_rk"])
     return single.unionByName(joined.where(~F.col("single"))).select([F.col(f"_in_{n}").alias(c) for n, c in enumerate(names)])
+
+
+def oracle_sql(shingle: int = 3, similarity: tuple[int, int] = (9, 10)) -> str:
+    """DuckDB; for ids that are neither null nor repeated. It meets all pairs of different sets with a shingle in common."""
+    num, den = similarity
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = ", ".join(["w", *(f"lead(w, {n}) OVER o" for n in range(1, shingle))])  # what the text lacks is null and left out
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+q AS (SELECT doc_id, i, n, concat_ws(' ', {words}) AS token FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, list(DISTINCT token ORDER BY token) AS s FROM q WHERE i <= greatest(1, n - {shingle - 1}) GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n, CASE WHEN s IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep, s FROM w LEFT JOIN s USING (doc_id)),
+x AS (SELECT rep, n, unnest(s) AS token FROM m WHERE doc_id = rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.token = b.token AND a.rep < b.rep AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT DISTINCT a AS rep, a AS met FROM e UNION SELECT c.rep, e.b FROM c JOIN e ON e.a = c.met),
+f AS (SELECT rep, min(met) AS component_id FROM c GROUP BY rep)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, rep) AS component_id FROM m LEFT JOIN f USING (rep)"""

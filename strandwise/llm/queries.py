@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import audio_features, media_digest
-from . import line_dedup, mixing, quality, warc
+from . import line_dedup, mixing, ngram_join, quality, suffix_dedup, warc
 from .ngram_join import linked_documents
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats, repeat_digest
@@ -71,8 +71,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.oracle_sql(),
     "op4_warc": warc.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(),
     "op7_quality_rules": quality.oracle_sql(),
+    "op8_ngram_jaccard_join": ngram_join.oracle_sql(),
 }

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -127,4 +128,20 @@ def test_one_of_each(make_docs, odd_texts):
 
 def test_query_over_a_table(spark, sf_docs):
     rows = [(d["doc_id"], d["text"]) for d in sf_docs]
-    assert Counter(map(tuple, queries.op8_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect())) == components(rows, 3, 9, 10)
+    out = queries.op8_ngram_jaccard_join(spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    sql = con.sql(queries.ORACLES["op8_ngram_jaccard_join"])
+    assert out.columns == sql.columns and Counter(map(tuple, out.collect())) == components(rows, 3, 9, 10) == Counter(sql.fetchall())
+
+
+def test_sql_agrees(make_docs, odd_texts):
+    """On texts with few words, capitals and copies that are linked in chains."""
+    rows = [r for r in odd_texts if r[0] not in (None, 9)] + near_copies(4, groups=8)
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    con = duckdb.connect()
+    documents = make_docs(rows, extra=False).toArrow()
+    con.register("documents", documents)
+    for size, num, den in ((3, 9, 10), (5, 8, 10)):
+        got = Counter(con.sql(nj.oracle_sql(size, (num, den))).fetchall())
+        assert got == components(rows, size, num, den)

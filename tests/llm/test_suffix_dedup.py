@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -130,4 +131,9 @@ def test_empty(make_docs):
 
 def test_query_over_a_table(spark, sf_docs):
     rows = [(d["doc_id"], d["text"]) for d in sf_docs]
-    assert digests(queries.op3_suffix_dedup(spark, "/root/testdata/sf0.001")) == brute(rows)
+    out = queries.op3_suffix_dedup(spark, "/root/testdata/sf0.001")
+    assert digests(out) == brute(rows)
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    sql = con.sql(queries.ORACLES["op3_suffix_dedup"])
+    assert out.columns == sql.columns and Counter(map(tuple, out.collect())) == Counter(sql.fetchall())
