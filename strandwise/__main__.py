@@ -28,6 +28,10 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("-e", "--max-distance", type=int, default=0)
     run.add_argument("-m", "--metric", default="edit")
     run.add_argument("-S", "--search-scheme", default="columba")
+    own = run.add_mutually_exclusive_group()
+    own.add_argument("-c", "--custom", help="folder of own search schemes, in place of -S")
+    own.add_argument("-d", "--dynamic-selection", help="folder of several own schemes for each number of errors, in place of -S")
+    run.add_argument("-T", "--XA-tag", action="store_true", help="list further hits in a tag of the primary row")
     run.add_argument("-a", "--mode", default="all")
     run.add_argument("-i", "--identity", type=int)
     run.add_argument("-U", "--no-unmapped", action="store_true")
@@ -45,11 +49,11 @@ def main(argv: list[str] | None = None) -> None:
             mapping.write_index(refs, args.index)
         log.info("wrote %s", args.index)
         return
-    config = mapping.MapConfig(metric=args.metric, k=args.max_distance, strategy=args.search_scheme, mode=args.mode, identity=args.identity)
+    config = mapping.MapConfig(metric=args.metric, k=args.max_distance, strategy=args.search_scheme, mode=args.mode, identity=args.identity, folder=args.custom or args.dynamic_selection)
     refs, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file)
     hits = mapping.map_reads(reads, refs, config).cache()
     if args.output_file.endswith(".sam"):
-        mapping.write_sam(hits, reads, refs, args.output_file, unmapped=not args.no_unmapped)
+        mapping.write_sam(hits, reads, refs, args.output_file, unmapped=not args.no_unmapped, xa=args.XA_tag)
     else:
         mapping.write_rhs(hits, reads, refs, args.output_file)
     stats = reporting.mapping_stats(hits, reads).first().asDict()

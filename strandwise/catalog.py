@@ -310,12 +310,12 @@ ORACLES = {
     "uniform_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, (part * length(seq)) // 3 AS begin, ((part + 1) * length(seq)) // 3 AS \"end\" FROM reads, (VALUES (0), (1), (2)) AS v(part)",
     "static_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, floor(a * length(seq))::BIGINT AS begin, floor(b * length(seq))::BIGINT AS \"end\" FROM reads, (VALUES (0, 0::DOUBLE, 0.25::DOUBLE), (1, 0.25, 0.5), (2, 0.5, 0.8), (3, 0.8, 1)) AS v(part, a, b)",
     "schemes": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(pi, ',') AS pi, array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM sch",
-    "scheme_coverage": f"""WITH {_scheme_values()}, p AS (SELECT DISTINCT scheme, k, len(pi) AS p FROM sch),
-  c AS (SELECT scheme, k, p, unnest(range(((k + 1) ** p)::BIGINT)) AS code FROM p),
-  d AS (SELECT scheme, k, code, list_transform(range(p), lambda i: (code // ((k + 1) ** i)::BIGINT) % (k + 1)) AS d FROM c),
-  m AS (SELECT scheme, k, code, list_bool_and(list_transform(range(1, len(pi) + 1), lambda n: list_sum(list_transform(pi[1:n], lambda x: d[x + 1])) BETWEEN lower[n] AND upper[n])) AS good
-    FROM d JOIN sch USING (scheme, k) WHERE list_sum(d) <= k)
-  SELECT scheme, k::BIGINT AS k, count(DISTINCT code) AS n_distributions, count(DISTINCT code) FILTER (good) AS n_covered FROM m GROUP BY scheme, k""",
+    "scheme_coverage": f"""WITH RECURSIVE {_scheme_values()}, p AS (SELECT DISTINCT scheme, k::BIGINT AS k, len(pi) AS p FROM sch),
+  d AS (SELECT scheme, k, p, []::BIGINT[] AS d, 0::BIGINT AS total FROM p
+    UNION ALL SELECT scheme, k, p, list_append(d, e), total + e FROM (SELECT *, unnest(range(0, k - total + 1)) AS e FROM d WHERE len(d) < p)),
+  m AS (SELECT scheme, d.k AS k, d, list_bool_and(list_transform(range(1, len(pi) + 1), lambda n: list_sum(list_transform(pi[1:n], lambda x: d[x + 1])) BETWEEN lower[n] AND upper[n])) AS good
+    FROM d JOIN sch USING (scheme, k) WHERE len(d) = p)
+  SELECT scheme, k, count(DISTINCT d) AS n_distributions, count(DISTINCT d) FILTER (good) AS n_covered FROM m GROUP BY scheme, k""",
     "scheme_critical_part": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, (arg_min(pi[1], struct_pack(u := list_transform(upper, lambda x: -x), l := lower, i := search_idx)))::BIGINT AS critical_part FROM sch GROUP BY scheme, k",
     "suffix_array": f"WITH {_SUFFIXES} SELECT text_id, i, sa, c, n FROM sa",
     "bwt": f"WITH {_SUFFIXES} SELECT text_id, i, b FROM bwt",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import FLAG_UNMAPPED, mapq, sam_flag
+from strandwise.functions.sequence import FLAG_SECONDARY, FLAG_UNMAPPED, mapq, sam_flag
 
 PROGRAM = "strandwise"
 
@@ -60,16 +60,26 @@ def sam_records(hits: DataFrame, reads: DataFrame, refs: DataFrame, *, unmapped:
 
 
 def sam_lines(records: DataFrame, refs: DataFrame) -> DataFrame:
-    """(kind, key, line): header lines, then records by read."""
+    """(kind, key, line): header lines, then records by read; x0, x1 and xa are tags where records have them."""
     tags = F.when(F.col("as_i").isNotNull(), F.concat(F.lit("AS:i:"), "as_i", F.lit("\tNM:i:"), "nm_i", F.lit("\t"))).otherwise("")
+    more = F.lit("")
+    if "xa" in records.columns:
+        more = F.when(F.col("xa").isNotNull(), F.concat(F.lit("\tX0:i:"), "x0", F.lit("\tX1:i:"), "x1", F.lit("\tXA:Z:"), "xa")).otherwise("")
     columns = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    body = records.select(F.lit(3).alias("kind"), F.concat_ws("\t", "qname", F.lpad("flag", 5, "0")).alias("key"), F.concat(F.concat_ws("\t", *columns), F.lit("\t"), tags, F.lit(f"PG:Z:{PROGRAM}")).alias("line"))
+    body = records.select(F.lit(3).alias("kind"), F.concat_ws("\t", "qname", F.lpad("flag", 5, "0")).alias("key"), F.concat(F.concat_ws("\t", *columns), F.lit("\t"), tags, F.lit(f"PG:Z:{PROGRAM}"), more).alias("line"))
     spark = refs.sparkSession
     head = spark.createDataFrame([(0, "", "@HD\tVN:1.6\tSO:queryname"), (1, "", f"@PG\tID:{PROGRAM}\tPN:{PROGRAM}")], body.schema)
     names = refs.select(F.lit(2).alias("kind"), F.lpad(F.col("seq_idx").cast("string"), 20, "0").alias("key"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.length("seq").cast("string")).alias("line"))
     return head.union(names).union(body)
 
 
+def with_xa(records: DataFrame, hits: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """The primary and unmapped rows of sam_records with x0, x1 and xa, which list the hits whose rows are left out."""
+    listed = xa_records(hits, reads, refs).select(F.col("qname").alias("_qname"), "x0", "x1", "xa")
+    primary = records.where(F.col("flag").bitwiseAND(F.lit(FLAG_SECONDARY)) == 0)
+    return primary.join(listed, F.col("qname") == F.col("_qname"), "left").drop("_qname")
+
+
 def xa_records(hits: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per mapped read: its primary hit, x0 (other best hits), x1 (the rest) and xa, which lists both."""
     rows = _with_reads(hits, reads, refs)

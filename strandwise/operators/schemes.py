@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 from dataclasses import dataclass
@@ -73,8 +72,45 @@ MANUAL = {
 {3,2,1,4,5,0} {0,1,2,2,2,2} {0,1,2,3,3,4}
 {5,4,3,2,1,0} {0,0,0,0,3,3} {0,0,4,4,4,4}""",
 }
-TABLES = {"kuch1": KUCHEROV_1, "kuch2": KUCHEROV_2, "kianfar": KIANFAR, "manbest": MANUAL}
-#: Most errors of each strategy; those by rule have no table. All give the same hits; they differ in what a search costs.
+MIN_U = {
+    1: """{0,1} {0,0} {0,1}
+{1,0} {0,0} {0,1}""",
+    2: """{0,1,2} {0,1,1} {0,2,2}
+{1,0,2} {0,0,0} {0,1,2}
+{2,1,0} {0,0,2} {0,1,2}""",
+    3: """{0,1,2,3} {0,0,0,0} {0,1,3,3}
+{1,0,2,3} {0,1,1,1} {0,1,3,3}
+{2,3,1,0} {0,0,0,2} {0,1,3,3}
+{3,2,1,0} {0,1,1,3} {0,1,3,3}""",
+    4: """{0,1,2,3,4} {0,0,2,2,2} {0,2,2,4,4}
+{1,2,0,3,4} {0,0,0,0,0} {0,1,2,4,4}
+{2,1,0,3,4} {0,1,1,1,1} {0,1,2,4,4}
+{3,4,2,1,0} {0,0,0,0,3} {0,1,4,4,4}
+{4,3,2,1,0} {0,1,1,1,4} {0,1,4,4,4}""",
+    5: """{0,1,2,3,4,5} {0,0,0,2,2,2} {0,1,3,5,5,5}
+{1,0,2,3,4,5} {0,1,1,3,3,3} {0,1,3,5,5,5}
+{2,3,1,0,4,5} {0,0,0,0,0,0} {0,1,3,3,5,5}
+{3,2,1,0,4,5} {0,1,1,1,1,1} {0,1,3,3,5,5}
+{4,5,3,2,1,0} {0,0,0,0,0,4} {0,1,3,5,5,5}
+{5,4,3,2,1,0} {0,1,1,1,1,5} {0,1,3,5,5,5}""",
+    6: """{0,1,2,3,4,5,6} {0,0,2,2,2,2,6} {0,2,2,6,6,6,6}
+{1,2,0,3,4,5,6} {0,1,1,1,1,1,5} {0,1,2,6,6,6,6}
+{2,1,0,3,4,5,6} {0,0,0,0,0,0,4} {0,1,2,6,6,6,6}
+{3,4,5,6,2,1,0} {0,0,0,0,0,0,0} {0,1,3,3,6,6,6}
+{4,3,5,6,2,1,0} {0,1,1,1,1,1,1} {0,1,3,3,6,6,6}
+{5,6,4,3,2,1,0} {0,0,0,2,2,2,2} {0,1,3,3,6,6,6}
+{6,5,4,3,2,1,0} {0,1,1,3,3,3,3} {0,1,3,3,6,6,6}""",
+    7: """{0,1,2,3,4,5,6,7} {0,0,0,0,0,0,0,0} {0,1,3,3,7,7,7,7}
+{1,0,2,3,4,5,6,7} {0,1,1,1,1,1,1,1} {0,1,3,3,7,7,7,7}
+{2,3,1,0,4,5,6,7} {0,0,0,2,2,2,2,2} {0,1,3,3,7,7,7,7}
+{3,2,1,0,4,5,6,7} {0,1,1,3,3,3,3,3} {0,1,3,3,7,7,7,7}
+{4,5,6,7,3,2,1,0} {0,0,0,0,0,0,0,4} {0,1,3,3,7,7,7,7}
+{5,4,6,7,3,2,1,0} {0,1,1,1,1,1,1,5} {0,1,3,3,7,7,7,7}
+{6,7,5,4,3,2,1,0} {0,0,0,2,2,2,2,6} {0,1,3,3,7,7,7,7}
+{7,6,5,4,3,2,1,0} {0,1,1,3,3,3,3,7} {0,1,3,3,7,7,7,7}""",
+}
+TABLES = {"kuch1": KUCHEROV_1, "kuch2": KUCHEROV_2, "kianfar": KIANFAR, "manbest": MANUAL, "minU": MIN_U}
+#: Most errors of each strategy; those by rule have no table, and columba takes minU's as far as they go. All give the same hits; they differ in what a search costs.
 LIMITS = {"kuch1": 4, "kuch2": 4, "kianfar": 4, "manbest": 4, "01*0": 4, "pigeon": 4, "minU": 7, "columba": 13, "naive": 13}
 
 
@@ -152,6 +188,8 @@ def build(strategy: str, k: int) -> list[Search]:
         raise ValueError(f"{strategy} allows 1 to {LIMITS[strategy]} errors")
     if strategy == "naive":
         return [Search((0,), (0,), (k,))]
+    if strategy == "columba" and k in MIN_U:
+        strategy = "minU"
     if strategy in TABLES:
         if k not in TABLES[strategy]:
             raise ValueError(f"{strategy} has no scheme for {k} errors")
@@ -165,8 +203,9 @@ def with_mirrors(alternatives: list[list[Search]]) -> list[list[Search]]:
 
 def uncovered(searches: list[Search], k: int) -> list[tuple[int, ...]]:
     """Distributions of at most k errors over the parts that no search covers."""
-    parts = len(searches[0].order)
-    each = (d for d in itertools.product(range(k + 1), repeat=parts) if sum(d) <= k)
+    each = [()]
+    for _ in searches[0].order:
+        each = [(*d, e) for d in each for e in range(k - sum(d) + 1)]
     return [d for d in each if not any(s.covers(d) for s in searches)]
 
 
@@ -193,6 +232,15 @@ def read_folder(path: str, k: int) -> list[list[Search]]:
     return out
 
 
+def folder_errors(path: str) -> int:
+    """The most errors k for which a scheme folder has schemes for 1 to k; each of them is read and checked."""
+    k = 0
+    while os.path.exists(f"{path}/{k + 1}/searches.txt") or os.path.exists(f"{path}/{k + 1}/scheme1.txt"):
+        k += 1
+        read_folder(path, k)
+    return k
+
+
 def read_static_partitioning(path: str, k: int, parts: int) -> list[float]:
     """The inner boundaries of <k>/static_partitioning.txt: parts - 1 ascending numbers in (0, 1)."""
     with open(f"{path}/{k}/static_partitioning.txt", encoding="utf-8") as f:
@@ -213,7 +261,7 @@ def read_dynamic_partitioning(path: str, k: int, parts: int) -> tuple[list[float
 
 
 SCHEMA = T.StructType([T.StructField("scheme", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("k", "search_idx")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("pi", "lower", "upper"))])
-SHOWN = [(s, k) for s in ("kuch1", "kuch2", "kianfar", "01*0", "pigeon") for k in range(1, 5)] + [("manbest", 4)]
+SHOWN = [(s, k) for s in ("kuch1", "kuch2", "kianfar", "01*0", "pigeon") for k in range(1, 5)] + [("manbest", 4)] + [("minU", k) for k in range(1, 8)]
 
 
 def scheme_rows() -> list[tuple]:
@@ -224,13 +272,15 @@ def scheme_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(scheme_rows(), SCHEMA)
 
 
-def scheme_coverage(schemes: DataFrame) -> DataFrame:
-    """(scheme, k, n_distributions, n_covered): how many distributions of at most k errors some search covers."""
-    parts = schemes.groupBy("scheme", "k").agg(F.max(F.size("pi")).alias("p")).withColumn("code", F.explode(F.expr("sequence(0L, cast(power(k + 1, p) as long) - 1)")))
-    d = parts.withColumn("d", F.expr("transform(sequence(0, p - 1), i -> cast(floor(code / power(k + 1, i)) as long) % (k + 1))")).where(F.expr("aggregate(d, 0L, (a, x) -> a + x) <= k"))
+def scheme_coverage(schemes: DataFrame, most_parts: int = 8) -> DataFrame:
+    """(scheme, k, n_distributions, n_covered): how many distributions of at most k errors some search covers; schemes have up to most_parts parts."""
+    d = schemes.groupBy("scheme", "k").agg(F.max(F.size("pi")).alias("p")).withColumn("d", F.expr("cast(array() as array<bigint>)"))
+    for _ in range(most_parts):  # a part more; a scheme that has no more parts gets an empty list
+        left = F.expr("if(size(d) < p, transform(sequence(0L, k - aggregate(d, 0L, (a, x) -> a + x)), e -> array(e)), array(cast(array() as array<bigint>)))")
+        d = d.withColumn("e", F.explode(left)).withColumn("d", F.concat("d", "e")).drop("e")
     met = d.join(schemes.select("scheme", "k", "pi", "lower", "upper"), ["scheme", "k"])
     good = F.expr("forall(sequence(1, size(pi)), n -> aggregate(slice(pi, 1, n), 0L, (a, x) -> a + d[cast(x as int)]) BETWEEN lower[n - 1] AND upper[n - 1])")
-    per = met.groupBy("scheme", "k", "code").agg(F.max(good.cast("long")).alias("good"))
+    per = met.groupBy("scheme", "k", "d").agg(F.max(good.cast("long")).alias("good"))
     return per.groupBy("scheme", "k").agg(F.count(F.lit(1)).alias("n_distributions"), F.sum("good").alias("n_covered"))
 
 

@@ -17,7 +17,8 @@ TAG = 1
 class MapConfig:
     """Options of a run; wrong ones are refused when it is made.
 
-    strategy names a search scheme. All schemes find the same hits, so it is checked and only steers cost.
+    strategy names a search scheme; folder, in its place, holds own schemes, one or several for each number of errors.
+    All schemes that cover all distributions of errors find the same hits, so they are checked and only stand for cost.
     mode is all, best, or best+x for hits within x errors of the best. identity (50 to 100), if given, bounds
     errors by read length in place of k.
     """
@@ -27,9 +28,7 @@ class MapConfig:
     strategy: str = "columba"
     mode: str = "all"
     identity: int | None = None
-    unmapped: bool = True
-    xa: bool = False
-    seed_length: int = 100
+    folder: str | None = None
 
     def __post_init__(self):
         if self.metric not in ("edit", "hamming"):
@@ -38,9 +37,13 @@ class MapConfig:
             raise ValueError("k must lie within 0 and 13")
         if self.strategy in ("custom", "multiple"):
             raise ValueError("custom schemes are given as a folder, not as a strategy")
-        if self.strategy not in schemes.LIMITS:
+        if self.folder is not None:
+            most = schemes.folder_errors(self.folder)
+            if self.k > most:
+                raise ValueError(f"{self.folder} has schemes for at most {most} errors")
+        elif self.strategy not in schemes.LIMITS:
             raise ValueError(f"strategy must be one of {', '.join(schemes.LIMITS)}")
-        if self.k > schemes.LIMITS[self.strategy]:
+        elif self.k > schemes.LIMITS[self.strategy]:
             raise ValueError(f"{self.strategy} allows at most {schemes.LIMITS[self.strategy]} errors")
         if self.mode not in ("all", "best") and not (self.mode.startswith("best+") and self.mode[5:].isdigit()):
             raise ValueError("mode must be all, best or best+x")
@@ -80,10 +83,12 @@ def map_reads(reads: DataFrame, refs: DataFrame, config: MapConfig | None = None
     return hits if config.beyond is None else reporting.best_strata(hits, config.beyond)
 
 
-def write_sam(hits: DataFrame, reads: DataFrame, refs: DataFrame, path: str, *, unmapped: bool = True) -> None:
+def write_sam(hits: DataFrame, reads: DataFrame, refs: DataFrame, path: str, *, unmapped: bool = True, xa: bool = False) -> None:
+    """SAM lines; with xa, a read's other hits are listed in tags of its primary row in place of rows of their own."""
     from strandwise.sources.sequences import write_lines
 
-    write_lines(reporting.sam_lines(reporting.sam_records(hits, reads, refs, unmapped=unmapped), refs), path)
+    records = reporting.sam_records(hits, reads, refs, unmapped=unmapped)
+    write_lines(reporting.sam_lines(reporting.with_xa(records, hits, reads, refs) if xa else records, refs), path)
 
 
 def write_rhs(hits: DataFrame, reads: DataFrame, refs: DataFrame, path: str) -> None:

@@ -59,9 +59,21 @@ def test_command_line(spark, tmp_path):
     assert "z\t4\t*\t0\t0\t*\t*\t0\t0\tGATTACAGATTACA\t##############\tPG:Z:strandwise" in lines
     main(["map", "-r", str(tmp_path / "index"), "-f", str(tmp_path / "reads.fq"), "-o", str(tmp_path / "out.rhs")])
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out.rhs")).collect()) == ["x\t(a,0)", "y\t(b,0)", "z\t*"]
+    (tmp_path / "own" / "1").mkdir(parents=True)
+    (tmp_path / "own" / "name.txt").write_text("own")
+    (tmp_path / "own" / "1" / "searches.txt").write_text(schemes.KIANFAR[1])
+    (tmp_path / "two.fq").write_text("@x\nCCCC\n+\nABCD\n@z\nGATTACAG\n+\n########\n")
+    many = ["map", "-r", str(tmp_path / "index"), "-f", str(tmp_path / "two.fq"), "-m", "hamming", "-c", str(tmp_path / "own"), "-T", "-o", str(tmp_path / "xa.sam")]
+    main([*many, "-e", "1"])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "xa.sam")).collect() if not r.value.startswith("@")]
+    # best: CCCC forward at 1, GGGG reversed at 5; one error: forward at 2, reversed at 4 and 6
+    assert sorted(lines) == ["x\t0\tb\t1\t3\t*\t*\t0\t0\tCCCC\tABCD\tAS:i:0\tNM:i:0\tPG:Z:strandwise\tX0:i:1\tX1:i:3\tXA:Z:b,-5,*,0;b,+2,*,1;b,-4,*,1;b,-6,*,1;", "z\t4\t*\t0\t0\t*\t*\t0\t0\tGATTACAG\t########\tPG:Z:strandwise"]
+    with pytest.raises(ValueError, match="at most 1"):
+        main([*many, "-e", "2"])
 
 
 def test_schemes_are_checked(tmp_path):
+    assert schemes.build("columba", 7) == schemes.build("minU", 7) and len(schemes.build("columba", 8)) == 9
     for name, k in schemes.SHOWN:
         assert not schemes.uncovered(schemes.build(name, k), k)
     assert all(not schemes.uncovered(x, 3) for x in schemes.with_mirrors([schemes.build("kuch1", 3)]))
