@@ -9,6 +9,7 @@ read. A second pass shuffles only keys whose bits are all there; exact counts of
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, row_key, stage
 
-#: Bits per counted key, hash functions, bits of a segment, and the most bits of one filter (16 MB).
-KEY_BITS, PROBES, SEGMENT, MOST_BITS = 12, 4, 1 << 19, 1 << 27
+#: Bits per counted key, the most hash functions, bits of a segment, and the most bits of one filter (64 MB).
+KEY_BITS, PROBES, SEGMENT, MOST_BITS = 12, 4, 1 << 19, 1 << 29
 STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -34,21 +35,32 @@ def key_hash(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions [keys, PROBES] of 128-bit hashes given as uint64 pairs. bits is a power of two."""
-    step = np.arange(PROBES, dtype=np.uint64)
+def probes(hashes: np.ndarray, bits: int, functions: int) -> np.ndarray:
+    """Bit positions [keys, functions] of 128-bit hashes given as uint64 pairs. bits is a power of two."""
+    step = np.arange(functions, dtype=np.uint64)
     with np.errstate(over="ignore"):
         return (hashes[:, :1] + step * (hashes[:, 1:] | np.uint64(1))) & np.uint64(bits - 1)
 
 
 def filter_bits(keys: int) -> int:
-    """A power of two of about KEY_BITS bits a key; beyond MOST_BITS the filter only gets less selective."""
+    """A power of two of about KEY_BITS bits a key; beyond MOST_BITS the filter only gets less selective, see suspected."""
     bits = SEGMENT
     while bits < min(MOST_BITS, keys * KEY_BITS):
         bits *= 2
     return bits
 
 
+def suspected(keys: int, bits: int, functions: int) -> float:
+    """The expected part of once-seen keys whose bits are all twice seen, of so many different keys."""
+    load = keys * functions / bits
+    return (1 - math.exp(-load) * (1 + load)) ** functions
+
+
+def hash_functions(keys: int, bits: int) -> int:
+    """How many hash functions leave the fewest suspects: PROBES while the filter is wide, fewer as it fills, 1 at the end."""
+    return min(range(PROBES, 0, -1), key=lambda n: suspected(keys, bits, n))
+
+
 def _document_keys(text: str, min_chars: int) -> set[bytes]:
     return {k for line in text.split("\n") if (k := line_key(line, min_chars)) is not None}
 
@@ -95,13 +107,13 @@ def _are_set(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (filter_[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & np.uint8(128)) > 0
 
 
-def _mark(batches, min_chars: int, bits: int):
+def _mark(batches, min_chars: int, bits: int, functions: int):
     once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     held: list[bytes] = []
 
     def flush():
         if held:
-            at, n = np.unique(probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), bits).ravel(), return_counts=True)
+            at, n = np.unique(probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), bits, functions).ravel(), return_counts=True)
             # two keys of one document may share a bit: that marks a bit too many, never one too few
             _set(twice, at[(n > 1) | _are_set(once, at)])
             _set(once, at)
@@ -135,23 +147,25 @@ def _merge(batches):
         yield from _rows([_pack(at, once, twice)])
 
 
-def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
-    """The packed bits of the merged second filter: at most MOST_BITS / 8 bytes reach the driver, however large docs is."""
+def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> tuple[np.ndarray, int]:
+    """(the packed bits of the merged second filter, its hash functions): at most MOST_BITS / 8 bytes reach the driver, however large docs is."""
     texts = docs.select(F.col(text_col).alias("text"))
     # no more keys than lines, and no more than fit into the characters
     lines, chars = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1), F.sum(F.length("text"))).first()
-    bits = filter_bits(min(lines or 0, (chars or 0) // max(1, min_chars)))
-    marks = texts.transform(in_arrow, partial(_mark, min_chars=min_chars, bits=bits), _SEGMENTS)
+    keys = min(lines or 0, (chars or 0) // max(1, min_chars))
+    bits = filter_bits(keys)
+    functions = hash_functions(keys, bits)
+    marks = texts.transform(in_arrow, partial(_mark, min_chars=min_chars, bits=bits, functions=functions), _SEGMENTS)
     merged = marks.repartition(max(1, min(64, bits // SEGMENT)), "segment").sortWithinPartitions("segment").transform(in_arrow, _merge, _SEGMENTS)
     out = np.zeros(bits // 8, np.uint8)
     for segment, packed in merged.select("segment", "twice").toLocalIterator():
         lo = segment * SEGMENT // 8
         out[lo : lo + SEGMENT // 8] = _unpack(packed)
-    return out
+    return out, functions
 
 
 def _suspects(batches, min_chars: int, shared):
-    bits = shared.value
+    bits, functions = shared.value
     n = np.uint64(8 * len(bits) - 1)
     for batch in batches:
         rows, held = [], []
@@ -161,7 +175,7 @@ def _suspects(batches, min_chars: int, shared):
                 held.append(key_hash(key))
         if not rows:
             continue
-        at = probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), int(n) + 1)
+        at = probes(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), int(n) + 1, functions)
         keep = np.flatnonzero(_are_set(bits, at).all(1)).tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([rows[k][1] for k in keep], pa.int64()), pa.array([held[k] for k in keep], pa.binary())],

@@ -42,10 +42,10 @@ def test_against_brute_force(make_docs, odd_texts):
 def test_filter_never_misses_a_repeat_and_merges(make_docs, sf_docs, monkeypatch):
     rows = [(d["doc_id"], d["text"]) for d in sf_docs]
     docs = make_docs(rows)
-    bits = line_dedup.twice_seen(docs, "text", 40)
+    bits, functions = line_dedup.twice_seen(docs, "text", 40)
     keys = Counter(k for _, t in rows for k in line_dedup._document_keys(t, 40))
     hashes = np.frombuffer(b"".join(map(line_dedup.key_hash, keys)), "<u8").reshape(-1, 2)
-    at = line_dedup.probes(hashes, 8 * len(bits)).astype(np.int64)
+    at = line_dedup.probes(hashes, 8 * len(bits), functions).astype(np.int64)
     seen = np.unpackbits(bits)[at].all(1)
     many = np.array([n > 1 for n in keys.values()])
     assert seen[many].all() and seen[~many].mean() < 0.1
@@ -56,6 +56,21 @@ def test_filter_never_misses_a_repeat_and_merges(make_docs, sf_docs, monkeypatch
     assert Counter(map(tuple, got.collect())) == brute(rows)
 
 
+def test_hash_functions_follow_the_load():
+    """With bits held at a cap, fewer functions suspect fewer keys; the estimate is near what a filter does."""
+    assert [line_dedup.hash_functions(n, 1 << 20) for n in (0, 1 << 16, 1 << 20, 1 << 22)] == [4, 4, 1, 1]
+    rng, bits = np.random.default_rng(7), 1 << 20
+    for keys in (1 << 17, 1 << 19, 1 << 20):
+        hashes = rng.integers(0, 2**63, (keys, 2)).astype(np.uint64)
+        share = {}
+        for n in (1, 4):
+            at = line_dedup.probes(hashes, bits, n)
+            share[n] = (np.bincount(at.ravel().astype(np.int64), minlength=bits)[at.astype(np.int64)] > 1).all(1).mean()
+        best = line_dedup.hash_functions(keys, bits)
+        assert line_dedup.suspected(keys, bits, best) <= min(line_dedup.suspected(keys, bits, n) for n in (1, 4))
+        assert (share[1] < share[4]) == (line_dedup.suspected(keys, bits, 1) < line_dedup.suspected(keys, bits, 4))
+
+
 def test_empty(make_docs):
     assert line_dedup.drop_repeated_lines(make_docs([])).count() == 0
 
