@@ -146,6 +146,44 @@ def _locate_patterns(spark, sf):
     return bwt.locate(_backward(spark, sf), bwt.suffix_array(texts(spark, sf)))
 
 
+def _ranges(f):
+    """f of the ranges of patterns, the transform and the suffix array."""
+
+    def query(spark, sf):
+        sa = bwt.suffix_array(texts(spark, sf))
+        return f(_backward(spark, sf), bwt.bwt(sa), sa)
+
+    return query
+
+
+def _bidirectional(spark, sf):
+    return bwt.bidirectional_search(bwt.bwt(bwt.suffix_array(texts(spark, sf))), _backward(spark, sf).select("text_id", "pattern"), GRAM)
+
+
+def _kmer_rolls(spark, sf):
+    r = reads(spark, sf).where(F.length("seq") > 10).select("read_id", sequence.pack_kmer(F.substring("seq", 2, 10)).alias("kmer"), F.substring("seq", 12, 1).alias("after"), F.substring("seq", 1, 1).alias("before"))
+    kmer = F.col("kmer")
+    return r.select("read_id", "kmer", F.when(F.col("after") != "", sequence.push_right(kmer, F.col("after"), 10)).alias("right"), sequence.push_left(kmer, F.col("before"), 10).alias("left"), sequence.revcomp_kmer(kmer, 10).alias("rc"))
+
+
+def _alphabet(spark, sf):
+    letters = _masked_reads(spark, sf).select(F.explode(F.split("seq", "")).alias("c")).where("c <> ''").distinct()
+    return letters.select("c", sequence.letter_code(F.col("c")).alias("code")).withColumn("letter", sequence.code_letter(F.col("code")))
+
+
+def _seed_guard(spark, sf):
+    return matching.seed_guard(reads(spark, sf).withColumnRenamed("seq", "pattern"), 20)
+
+
+def _part_to_grow(spark, sf):
+    widths = matching.kmers(matching.tiles(ref_seqs(spark, sf), 4), [4]).groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences"))
+    return matching.part_to_grow(matching.uniform_parts(matching.strands(reads(spark, sf)), 3), widths, schemes.part_weights(3), 4)
+
+
+def _planned_searches(spark, sf):
+    return matching.planned_searches(matching.strands(reads(spark, sf)), schemes.scheme_table(spark).where("scheme = 'kuch1' AND k = 2"))
+
+
 QUERIES = {
     "normalize_refs": _normalize_refs,
     "masked_reads": _masked_reads,
@@ -189,6 +227,20 @@ QUERIES = {
     "run_outputs": _of_sa(lambda sa: bwt.run_outputs(bwt.bwt(sa))),
     "sample_before": _of_sa(lambda sa: bwt.sample_before(bwt.bwt(sa))),
     "sa_permutation": _of_sa(bwt.is_permutation),
+    "reverse_bwt": lambda spark, sf: bwt.reverse_bwt(texts(spark, sf)),
+    "character_ranges": _of_sa(bwt.character_ranges),
+    "rank_select": _of_sa(lambda sa: bwt.rank_select(bwt.bwt(sa))),
+    "extend_alphabet": _ranges(lambda ranges, transformed, sa: bwt.extend_alphabet(ranges, transformed)),
+    "bidirectional_search": _bidirectional,
+    "toeholds": _ranges(lambda ranges, transformed, sa: bwt.toeholds(ranges, sa)),
+    "kmer_rolls": _kmer_rolls,
+    "alphabet_index": _alphabet,
+    "seed_guard": _seed_guard,
+    "part_to_grow": _part_to_grow,
+    "planned_searches": _planned_searches,
+    "scheme_directions": lambda spark, sf: schemes.directions(schemes.scheme_table(spark)),
+    "default_partitions": lambda spark, sf: schemes.default_partitions(spark),
+    "hits_median": lambda spark, sf: reporting.hits_median(_hamming(1)(spark, sf)),
 }
 
 # SQL ------------------------------------------------------------------------------------------
@@ -332,4 +384,35 @@ ORACLES = {
     "sample_before": f"""WITH {_SUFFIXES}, f AS (SELECT text_id, arg_min(sa, i) AS s FROM runs GROUP BY text_id, run)
   SELECT text_id, sa AS pos, coalesce((SELECT max(s) FROM f WHERE f.text_id = sa.text_id AND s <= sa.sa), (SELECT max(s) FROM f WHERE f.text_id = sa.text_id)) AS sample FROM sa""",
     "sa_permutation": f"WITH {_SUFFIXES} SELECT text_id, min(sa) = 0 AND max(sa) = count(*) - 1 AND count(DISTINCT sa) = count(*) AS good FROM sa GROUP BY text_id",
+    "reverse_bwt": f"""WITH {_SUFFIXES}, r AS (SELECT text_id, reverse(text[:-2]) || '$' AS text FROM t),
+  q AS (SELECT text_id, text, unnest(range(length(text)))::BIGINT AS p FROM r)
+  SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY substr(text, p + 1)) - 1 AS i, substr(text, CASE WHEN p = 0 THEN length(text) ELSE p END, 1) AS b FROM q""",
+    "character_ranges": f"WITH {_SUFFIXES} SELECT text_id, c, min(i) AS begin, max(i) + 1 AS \"end\" FROM sa GROUP BY text_id, c",
+    "rank_select": f"WITH {_SUFFIXES} SELECT text_id, i, b, (count(*) OVER (PARTITION BY text_id, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1)::BIGINT AS rank, min(i) OVER (PARTITION BY text_id, b ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM bwt",
+    "extend_alphabet": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM + 1}) AS pattern, min(i) AS begin, max(i) + 1 AS \"end\" FROM sa WHERE sa + {GRAM + 1} < n GROUP BY text_id, pattern",
+    "bidirectional_search": f"""WITH {_SUFFIXES}, r AS (SELECT text_id, reverse(text[:-2]) || '$' AS text FROM t),
+  q AS (SELECT text_id, text, unnest(range(length(text)))::BIGINT AS p FROM r),
+  v AS (SELECT text_id, text, p, row_number() OVER (PARTITION BY text_id ORDER BY substr(text, p + 1)) - 1 AS i FROM q),
+  f AS (SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, min(i) AS begin, max(i) + 1 AS "end" FROM sa WHERE sa + {GRAM} < n GROUP BY text_id, pattern),
+  g AS (SELECT text_id, reverse(substr(text, p + 1, {GRAM})) AS pattern, min(i) AS rev_begin, max(i) + 1 AS rev_end FROM v WHERE p + {GRAM} < length(text) GROUP BY text_id, pattern)
+  SELECT * FROM f JOIN g USING (text_id, pattern)""",
+    "toeholds": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, arg_max(sa, i) AS toehold, count(*) AS occurrences FROM sa WHERE sa + {GRAM} < n GROUP BY text_id, pattern",
+    "kmer_rolls": f"""WITH {_SEQS}, x AS (SELECT read_id, seq, unnest([1, 2, 3, 4]) AS which FROM reads WHERE length(seq) > 10),
+  y AS (SELECT read_id, which, CASE which WHEN 1 THEN substr(seq, 2, 10) WHEN 2 THEN CASE WHEN length(seq) > 11 THEN substr(seq, 3, 10) END WHEN 3 THEN substr(seq, 1, 10) ELSE reverse(translate(substr(seq, 2, 10), 'ACGT', 'TGCA')) END AS w FROM x),
+  z AS (SELECT read_id, which, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda c: c::BIGINT)), lambda a, c: 4 * a + c) AS w FROM y WHERE w IS NOT NULL)
+  SELECT read_id, max(w) FILTER (which = 1) AS kmer, max(w) FILTER (which = 2) AS "right", max(w) FILTER (which = 3) AS "left", max(w) FILTER (which = 4) AS rc FROM z GROUP BY read_id""",
+    "alphabet_index": """WITH m AS (SELECT DISTINCT unnest(string_split(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', 'N', 'g'), '')) AS c FROM benchmark)
+  SELECT c, (strpos('ACGT', c) - 1)::BIGINT AS code, CASE WHEN strpos('ACGT', c) > 0 THEN c END AS letter FROM m WHERE c <> ''""",
+    "seed_guard": f"WITH {_SEQS} SELECT read_id, seq AS pattern, length(seq) <= 20 AS naive FROM reads",
+    "part_to_grow": f"""WITH {_SEQS}, {_windows(4)}, n AS (SELECT kmer, count(*)::BIGINT AS n FROM km GROUP BY kmer),
+  s AS (SELECT read_id, strand, part::BIGINT AS part, weight, substr(p, (part * length(p)) // 3 + 1, 4) AS kmer FROM pats, (VALUES (0, 2), (1, 1), (2, 2)) AS v(part, weight)),
+  m AS (SELECT read_id, strand, min(struct_pack(o := -coalesce(n, 0) * weight, part := part, width := coalesce(n, 0))) AS m FROM s LEFT JOIN n USING (kmer) GROUP BY read_id, strand)
+  SELECT read_id, strand, m.part AS part, m.width AS width FROM m""",
+    "planned_searches": f"""WITH {_SEQS}, {_scheme_values()}, f AS (SELECT search_idx::BIGINT AS search_idx, pi[1]::BIGINT AS part, len(pi) AS parts FROM sch WHERE scheme = 'kuch1' AND k = 2)
+  SELECT read_id, strand, search_idx, part, (part * length(p)) // parts AS begin, ((part + 1) * length(p)) // parts AS "end" FROM pats, f""",
+    "scheme_directions": f"""WITH {_scheme_values()}, d AS (SELECT scheme, k, search_idx, list_transform(range(2, len(pi) + 1), lambda n: CASE WHEN pi[n] > pi[n - 1] THEN 'F' ELSE 'B' END) AS d FROM sch)
+  SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(d, '') AS directions, len(list_filter(range(2, len(d) + 1), lambda n: d[n] <> d[n - 1]))::BIGINT AS switches FROM d""",
+    "default_partitions": """WITH p AS (SELECT unnest(range(2, 15)) AS parts), e AS (SELECT parts, unnest(range(0, parts)) AS part FROM p)
+  SELECT parts, part, part::DOUBLE / (parts - 1)::DOUBLE AS seed, (CASE WHEN part IN (0, parts - 1) THEN 2 ELSE 1 END)::BIGINT AS weight FROM e""",
+    "hits_median": f"WITH {_hits(1)}, n AS (SELECT read_id, count(*) AS n FROM hits GROUP BY read_id) SELECT count(*) AS n_mapped, median(n)::DOUBLE AS median_hits FROM n",
 }

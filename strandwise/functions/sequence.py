@@ -46,6 +46,31 @@ def unpack_kmer(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def letter_code(letter: Column) -> Column:
+    """A 0, C 1, G 2, T 3; -1 for any other."""
+    return (F.instr(F.lit("ACGT"), letter) - 1).cast("long")
+
+
+def code_letter(code: Column) -> Column:
+    """The letter of a code; null for -1."""
+    return F.when(code.between(0, 3), F.substring(F.lit("ACGT"), code.cast("int") + 1, F.lit(1)))
+
+
+def push_right(code: Column, letter: Column, k: int) -> Column:
+    """A packed k-mer that has moved one letter to the right."""
+    return F.shiftleft(code.bitwiseAND(F.lit(4 ** (k - 1) - 1)), 2).bitwiseOR(letter_code(letter))
+
+
+def push_left(code: Column, letter: Column, k: int) -> Column:
+    """A packed k-mer that has moved one letter to the left."""
+    return F.shiftright(code, 2).bitwiseOR(F.shiftleft(letter_code(letter), 2 * (k - 1)))
+
+
+def revcomp_kmer(code: Column, k: int) -> Column:
+    """The packed reverse complement of a packed k-mer."""
+    return pack_kmer(revcomp(unpack_kmer(code, k)))
+
+
 def header_name(header: Column) -> Column:
     return F.substring_index(header, " ", 1)
 
@@ -97,3 +122,19 @@ def mapq(is_best: Column, n_best: Column) -> Column:
 
 def sam_flag(strand: Column, primary: Column) -> Column:
     return (F.when(strand == "RC", FLAG_REVERSE).otherwise(0) + F.when(primary, 0).otherwise(FLAG_SECONDARY)).cast("long")
+
+
+def human_size(n: float) -> str:
+    """Bytes in the largest unit that leaves at least one of it, with two digits."""
+    for unit in ("B", "KB", "MB", "GB", "TB"):
+        if n < 1024 or unit == "TB":
+            return f"{n:.0f} B" if unit == "B" else f"{n:.2f} {unit}"
+        n /= 1024
+
+
+def human_time(seconds: float) -> str:
+    """Hours, minutes and seconds, without leading units that are zero."""
+    whole = int(seconds)
+    hours, minutes = whole // 3600, whole // 60 % 60
+    parts = [f"{hours}h"] * (hours > 0) + [f"{minutes}m"] * (hours + minutes > 0)
+    return " ".join([*parts, f"{seconds - whole + whole % 60:.2f}s"])

@@ -125,3 +125,58 @@ def is_permutation(sa: DataFrame) -> DataFrame:
     """(text_id, good): whether positions are 0 to n - 1, each once."""
     n = F.count(F.lit(1))
     return sa.groupBy(_BY).agg(((F.min("sa") == 0) & (F.max("sa") == n - 1) & (F.count_distinct("sa") == n)).alias("good"))
+
+
+def reverse_bwt(texts: DataFrame) -> DataFrame:
+    """(text_id, i, b): the transform of each text read from its end, which extensions to the right need."""
+    return bwt(suffix_array(texts.select(_BY, F.reverse("text").alias("text")))).select(_BY, "i", "b")
+
+
+def character_ranges(sa: DataFrame) -> DataFrame:
+    """(text_id, c, begin, end): rows of the suffixes that start with each character; together they are the complete range."""
+    n = sa.groupBy(_BY, "c").agg(F.count(F.lit(1)).alias("n"))
+    end = F.sum("n").over(Window.partitionBy(_BY).orderBy("c"))
+    return n.select(_BY, "c", (end - F.col("n")).alias("begin"), end.alias("end"))
+
+
+def rank_select(transformed: DataFrame) -> DataFrame:
+    """(text_id, i, b, rank, following): how often b stands before row i, and the row where it stands next, if any."""
+    same = Window.partitionBy(_BY, "b").orderBy("i")
+    return transformed.select(_BY, "i", "b", (F.row_number().over(same) - 1).cast("long").alias("rank"), F.lead("i").over(same).alias("following"))
+
+
+def _rows_of(ranges: DataFrame, transformed: DataFrame) -> DataFrame:
+    """Ranges with b and lf of each of their rows."""
+    lf = lf_mapping(transformed).withColumnRenamed(_BY, "t")
+    return ranges.join(lf, (F.col(_BY) == F.col("t")) & (F.col("i") >= F.col("begin")) & (F.col("i") < F.col("end"))).drop("t", "i")
+
+
+def extend_alphabet(ranges: DataFrame, transformed: DataFrame) -> DataFrame:
+    """(text_id, pattern, begin, end): each pattern longer by one letter on the left, for every letter that stands there."""
+    rows = _rows_of(ranges, transformed).where("b <> '$'")
+    return rows.groupBy(_BY, F.concat("b", "pattern").alias("pattern")).agg(F.min("lf").alias("begin"), (F.max("lf") + 1).alias("end"))
+
+
+def bidirectional_search(transformed: DataFrame, patterns: DataFrame, length: int) -> DataFrame:
+    """(text_id, pattern, begin, end, rev_begin, rev_end): rows of a pattern, and of its reverse among suffixes of the reversed text.
+
+    The second range is as wide as the first. A letter on the left moves it by the rows of the first
+    whose letter is smaller, so both stay together without a second transform.
+    """
+    sizes = transformed.groupBy(_BY).agg(F.max("n").alias("end"))
+    zero = F.lit(0).cast("long")
+    state = patterns.join(sizes, _BY).select(_BY, "pattern", zero.alias("begin"), "end", zero.alias("rev_begin"))
+    for k in range(length, 0, -1):
+        c = F.substring("pattern", k, 1)
+        own = F.when(F.col("b") == c, F.col("lf"))
+        step = _rows_of(state, transformed).groupBy(_BY, "pattern", "rev_begin")
+        step = step.agg(F.min(own).alias("begin"), (F.max(own) + 1).alias("end"), F.count(F.when(F.col("b") < c, 1)).alias("less"))
+        state = step.where(F.col("begin").isNotNull()).select(_BY, "pattern", "begin", "end", (F.col("rev_begin") + F.col("less")).alias("rev_begin"))
+    return state.withColumn("rev_end", F.col("rev_begin") + F.col("end") - F.col("begin"))
+
+
+def toeholds(ranges: DataFrame, sa: DataFrame) -> DataFrame:
+    """(text_id, pattern, toehold, occurrences): the text position of a range's last row, from which others follow by phi."""
+    last = sa.select(F.col(_BY).alias("t"), "i", F.col("sa").alias("toehold"))
+    found = ranges.join(last, (F.col(_BY) == F.col("t")) & (F.col("i") == F.col("end") - 1))
+    return found.select(_BY, "pattern", "toehold", (F.col("end") - F.col("begin")).alias("occurrences"))

@@ -252,3 +252,29 @@ def selective_seeds(patterns: DataFrame, tiled: DataFrame, k: int, length: int)
     known = each.join(counts, "kmer", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
     best = known.groupBy("read_id", "strand", "part").agg(F.min(F.struct("occurrences", "at", "kmer")).alias("b"))
     return best.select("read_id", "strand", F.col("part").cast("long").alias("part"), F.col("b.at").alias("begin"), F.col("b.kmer").alias("kmer"), F.col("b.occurrences").alias("occurrences"))
+
+
+def seed_guard(patterns: DataFrame, parts: int) -> DataFrame:
+    """patterns with naive: true where parts would have no letter, or there is only one, so that seeds can't lead a search."""
+    return patterns.withColumn("naive", (F.length("pattern") <= parts) | F.lit(parts == 1))
+
+
+def part_to_grow(parts: DataFrame, widths: DataFrame, weights: list[int], length: int) -> DataFrame:
+    """(read_id, strand, part, width): of each pattern's parts the one with the greatest width * weight, the leftmost of equals.
+
+    A part's width is how often widths(kmer, occurrences) has its first letters, so many of them.
+    It is the step that a partitioning by selectivity repeats: the part with most matches grows.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("part").cast("int") + 1)
+    seeds = parts.withColumn("kmer", F.expr(f"substring(pattern, cast(begin AS int) + 1, {length})"))
+    known = seeds.join(widths, "kmer", "left").withColumn("width", F.coalesce("occurrences", F.lit(0)).cast("long"))
+    best = known.groupBy("read_id", "strand").agg(F.min(F.struct((-F.col("width") * weight).alias("order"), "part", "width")).alias("b"))
+    return best.select("read_id", "strand", F.col("b.part").cast("long").alias("part"), "b.width")
+
+
+def planned_searches(patterns: DataFrame, schemes: DataFrame) -> DataFrame:
+    """Patterns times the searches of one scheme, which has a few rows: (read_id, strand, search_idx, part, begin, end) of the part that each starts with."""
+    few = F.broadcast(schemes.select("search_idx", F.element_at("pi", 1).alias("part"), F.size("pi").alias("parts")))
+    size, at = F.length("pattern"), F.col("part")
+    bounds = [F.floor(x * size / F.col("parts")).cast("long").alias(n) for n, x in (("begin", at), ("end", at + 1))]
+    return patterns.crossJoin(few).select("read_id", "strand", "search_idx", "part", *bounds)

@@ -105,3 +105,9 @@ def mapping_stats(hits: DataFrame, reads: DataFrame) -> DataFrame:
     per = hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
     out = reads.select("read_id").join(per, "read_id", "left").agg(F.count(F.lit(1)).alias("n_reads"), F.count("n").alias("n_mapped"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"))
     return out.withColumn("hits_per_read", F.col("n_hits") / F.col("n_reads")).withColumn("mapped_percent", F.col("n_mapped") * 100 / F.col("n_reads"))
+
+
+def hits_median(hits: DataFrame) -> DataFrame:
+    """One row: n_mapped and the median number of hits of a mapped read, exact."""
+    per = hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("n_mapped"), F.median("n").alias("median_hits"))

@@ -287,3 +287,27 @@ def scheme_coverage(schemes: DataFrame, most_parts: int = 8) -> DataFrame:
 def critical_parts(schemes: DataFrame) -> DataFrame:
     order = F.struct(F.transform("upper", lambda x: -x), "lower", "search_idx")
     return schemes.groupBy("scheme", "k").agg(F.min_by(F.element_at("pi", 1), order).alias("critical_part"))
+
+
+def directions(schemes: DataFrame) -> DataFrame:
+    """(scheme, k, search_idx, directions, switches): F or B for each part after the first, as it lies right or left of those before."""
+    steps = F.expr("transform(sequence(2, size(pi)), n -> if(pi[n - 1] > pi[n - 2], 'F', 'B'))")
+    turned = F.expr("size(filter(sequence(2, size(d)), n -> n <= size(d) AND n > 1 AND d[n - 1] <> d[n - 2]))")
+    each = schemes.withColumn("d", F.when(F.size("pi") > 1, steps).otherwise(F.expr("cast(array() as array<string>)")))
+    return each.select("scheme", "k", "search_idx", F.concat_ws("", "d").alias("directions"), F.when(F.size("d") > 1, turned).otherwise(0).cast("long").alias("switches"))
+
+
+def seed_positions(parts: int) -> list[float]:
+    """Where the inner parts of a partitioning by selectivity start to grow, if a scheme names no places: evenly."""
+    return [n / (parts - 1) for n in range(1, parts - 1)]
+
+
+def part_weights(parts: int) -> list[int]:
+    """Outer parts weigh 2, as they can grow on one side only."""
+    return [2 if n in (0, parts - 1) else 1 for n in range(parts)]
+
+
+def default_partitions(spark: SparkSession, most_errors: int = 13) -> DataFrame:
+    """(parts, part, seed, weight) for 2 to most_errors + 1 parts; the outer parts start at 0 and 1."""
+    rows = [(p, n, s, w) for p in range(2, most_errors + 2) for n, (s, w) in enumerate(zip([0.0, *seed_positions(p), 1.0], part_weights(p)))]
+    return spark.createDataFrame(rows, "parts long, part long, seed double, weight long")

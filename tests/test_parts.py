@@ -119,3 +119,8 @@ def test_streamed_reads_are_mapped_once(spark, tmp_path):
         map_stream(stream, refs, str(tmp_path / "out"), str(tmp_path / "state"), mapping.MapConfig()).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.read_id, r.begin) for r in got) == [("r0", 2), ("r1", 6)]
+
+
+def test_human_readable_sizes_and_times():
+    assert [sequence.human_size(n) for n in (0, 1023, 1024, 5 * 1024**3, 2048 * 1024**4)] == ["0 B", "1023 B", "1.00 KB", "5.00 GB", "2048.00 TB"]
+    assert [sequence.human_time(s) for s in (0.5, 61, 3600, 3725.25)] == ["0.50s", "1m 1.00s", "1h 0m 0.00s", "1h 2m 5.25s"]
