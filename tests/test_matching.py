@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -142,6 +143,45 @@ def test_pieces_join_up(random_case):
         assert hits(metric, 37) == hits(metric, 1 << 16) and hits(metric, 37)
 
 
+def test_memory_does_not_grow_with_the_batch(monkeypatch):
+    """Short reads of two letters stand nearly everywhere; groups of candidates of any size give the same hits."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("AT") for _ in range(6000)) for _ in range(64)]
+    reads = [(f"r{n}", "".join(rng.choice("ACGT"[:: 1 if n % 4 else 3]) for _ in range(12 + n))) for n in range(12)]
+
+    class shared:
+        value = scan.Patterns(reads, 2)
+
+    def batch(some):
+        cut = list(scan._cut([pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some)], names=["seq_idx", "seq"])], 30, 30))
+        return pa.Table.from_batches(cut).combine_chunks().to_batches()
+
+    def hits(some):
+        return Counter(tuple(r.values()) for b in scan._match(batch(some), shared, 2, "edit") for r in b.to_pylist())
+
+    whole = hits(texts[:2])
+    monkeypatch.setattr(scan, "SEARCHED", 1 << 14)
+    monkeypatch.setattr(scan, "CANDIDATES", 1 << 12)
+    assert hits(texts[:2]) == whole and whole
+    peaks = []
+    for n in (8, 64):
+        tracemalloc.start()
+        sum(b.num_rows for b in scan._match(batch(texts[:n]), shared, 2, "edit"))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 500])
+def test_thinning_goes_on_over_batches(size):
+    rng = random.Random(size)
+    rows = {(f"r{rng.randrange(3)}", rng.choice(["FW", "RC"]), rng.randrange(3), rng.randrange(120)): (rng.randrange(3), rng.randrange(8, 13)) for _ in range(400)}
+    rows = sorted(((*key, key[3] + w, d) for key, (d, w) in rows.items()), key=lambda h: (h[0], h[2], h[3], h[5], h[4] - h[3], h[1]))
+    batches = pa.Table.from_pylist([dict(zip(HIT, r)) for r in rows]).to_batches(max_chunksize=size)
+    got = Counter(tuple(r.values()) for b in matching._thin(iter(batches), 4) for r in b.to_pylist())
+    assert got == thin_brute(rows, 2)
+
+
 def test_palindromes_records_and_letters(spark):
     reads, refs = frames(spark, [("p", "ACGT"), ("b", "CCGG"), ("n", "ACNT")], ["TTACGTTT", "AAACC", "GGTTT"])
     assert sorted(map(tuple, matching.exact_match(reads, refs).select(*HIT).collect())) == [("p", "FW", 0, 2, 6, 0), ("p", "RC", 0, 2, 6, 0)]
