@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +42,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_
 
 
 def _cut(batches, tokenizer: str, seq_len: int, end_id: int, with_ids: bool, kept: int):
-    end, step = struct.pack("<I", end_id), 4 * seq_len
-    use = encoder(tokenizer, "ids", kept)
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * seq_len
+    use = encoder(tokenizer, kept)
     for part in slices(batches, 1, BATCH_BYTES):
         out = []
-        doc_ids, texts, keys = (c.to_pylist() for c in part.columns)
-        for i, key, ids in zip(doc_ids, keys, use.ids([t or "" for t in texts])):
+        doc_ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
+        for i, key, ids in zip(doc_ids, keys, use.ids(part.column(1))):
             ids += end
             for at in range(0, len(ids), step):
                 piece = ids[at : at + step]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow
 
-#: Buckets per level of the id histogram; bytes of a range, which one task sorts and writes.
-HISTOGRAM, RANGE_BYTES = 4096, 12 << 20
+#: Bytes of a range, which one task sorts (spilling) and writes, and the most ranges: beyond their product ranges grow
+#: with the input. A level of the id histogram has HISTOGRAM buckets in all, or four for each open interval.
+RANGE_BYTES, MOST_RANGES, HISTOGRAM = 12 << 20, 1 << 13, 1 << 16
 
 
 def remove_temporary(folder: str) -> None:
@@ -55,7 +56,11 @@ class TemporaryFile:
         from pyarrow import fs
 
         self.out.close()
-        if self.fs.get_file_info(self.final).type != fs.FileType.NotFound:
+        there = self.fs.get_file_info(self.final)
+        if there.type != fs.FileType.NotFound and there.size == self.written:
+            self.fs.delete_file(self.temporary)  # an earlier attempt's, equal to this one; a reader may hold it
+            return self.uri
+        if there.type != fs.FileType.NotFound:
             self.fs.delete_file(self.final)
         self.fs.move(self.temporary, self.final)
         return self.uri
@@ -66,7 +71,7 @@ class Ranges:
 
     def __init__(self, points: list[int], heavy: dict[int, int], nulls: int):
         """points: the first id of each range but the first; heavy: shares of single ids that are ranges of their own; nulls: shares of null ids."""
-        self.points = np.array(points, np.int64)
+        self.points, self.share = np.array(points, np.int64), 0
         starts = [None, *points]
         shares = np.array([nulls] + [heavy.get(s, 1) if s is not None else 1 for s in starts], np.uint64)
         self.shares, self.first = np.maximum(shares, np.uint64(1)), np.concatenate([[0], np.cumsum(np.maximum(shares, np.uint64(1)))]).astype(np.int64)
@@ -104,20 +109,23 @@ def _histogram(batches, lo, hi, width):
         yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(sums)], names=names)
 
 
-def split_ranges(df: DataFrame, key: str, weight: Column, share: int) -> Ranges:
+def split_ranges(df: DataFrame, key: str, weight: Column, share: int | None = None) -> Ranges:
     """Ranges of df's rows by key (a long) whose weights sum to about share each.
 
-    The same rows give the same ranges, whatever their order or partitioning: sums come from exact
+    Without a share it is RANGE_BYTES, or what gives MOST_RANGES ranges if that is more: so intervals that
+    need another histogram are at most as many, a level collects at most HISTOGRAM rows or four for each of
+    them, and even ids need two scans, the first for the sum. The same rows give the same ranges, whatever their order or partitioning: sums come from exact
     histograms of equal-width buckets, every bucket of more than a share is cut anew, and a single
-    key of more than a share is cut by hash. The driver sees sums, a few for each range, never rows.
+    key of more than a share is cut by hash. The driver sees sums, never rows.
     """
     rows = df.select(F.col(key), weight.cast("long").alias("w"))
-    low, high = rows.agg(F.min(key), F.max(key)).first()
+    low, high, total = rows.agg(F.min(key), F.max(key), F.sum("w")).first()
+    share = share or max(RANGE_BYTES, -(-(total or 0) // MOST_RANGES))
     nulls, points, heavy = 0, [], {}
     open_ = [(low, high)] if low is not None else [(0, 0)]
     while open_:
         lo, hi = (np.array(c, np.int64) for c in zip(*open_))
-        each = max(2, HISTOGRAM // len(open_))
+        each = max(4, HISTOGRAM // len(open_))
         width = np.array([max(1, -(-(b - a + 1) // each)) for a, b in open_], np.uint64)
         sums = rows.transform(in_arrow, partial(_histogram, lo=lo, hi=hi, width=width), "n long, b long, weight long").groupBy("n", "b").agg(F.sum("weight")).collect()
         again, running, at_n = [], 0, None
@@ -145,4 +153,6 @@ def split_ranges(df: DataFrame, key: str, weight: Column, share: int) -> Ranges:
                 running = 0
             running += w
         open_ = again
-    return Ranges(sorted(set(points)), heavy, nulls)
+    out = Ranges(sorted(set(points)), heavy, nulls)
+    out.share = share
+    return out

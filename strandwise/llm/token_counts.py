@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, in_arrow, slices
-from .encoding import encoder, utf8_size
+from .encoding import encoder
 
 #: Bytes of text handled at a time in one task.
 BATCH_BYTES = 1 << 22
@@ -30,11 +31,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: s
 
 
 def _count(batches, tokenizer: str, limit: int):
-    use = encoder(tokenizer, "lengths")
+    use = encoder(tokenizer)
     for part in slices(batches, 1, BATCH_BYTES):
-        texts = [t or "" for t in part.column(1).to_pylist()]
-        n = use.lengths(texts)
+        n = pa.array(use.lengths(part.column(1)), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(map(utf8_size, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+            [part.column(0), pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64()), n, pc.greater(n, limit)],
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, by_bytes, in_arrow, new_path, shuffle_partitions, slices, stage
 from .encoding import encoder
-from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
+from .storage import TemporaryFile, filesystem, remove_temporary, split_ranges
 
 FRAME_IDS, LEVEL, BATCH_BYTES = 1 << 16, 3, 1 << 22
 #: What a row weighs besides its text when ranges are cut.
@@ -41,14 +41,15 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | N
     their names, are not read. Ids are cut into ranges by exact sums of bytes, ids that many rows have
     by a hash of those rows besides (they go by that hash, then by tokens); a task writes one range,
     and a file appears under its name only when it is whole, so a lost executor costs its tasks and
-    nothing else. The manifest is a table in the shared folder: it is the commit.
+    nothing else. Ranges are storage.RANGE_BYTES of text, larger ones where more than storage.MOST_RANGES would
+    come of it. The manifest is a table in the shared folder: it is the commit.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = split_ranges(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
+    ranges = split_ranges(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
     rows = rows.withColumn("hash", F.xxhash64("text"))
     bound_batches(docs.sparkSession)
-    encoded = rows.transform(in_arrow, partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, ids binary")
+    encoded = rows.transform(in_arrow, partial(_encode, tokenizer=tokenizer, end_id=end_id, ranges=spark.sparkContext.broadcast(ranges)), "shard int, doc_id long, wide boolean, ids binary")
     ordered = encoded.repartitionById(len(ranges), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     written = stage(ordered.transform(in_arrow, partial(_write, folder=folder), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     remove_temporary(folder)
@@ -83,12 +84,18 @@ def read_documents(path: str, doc_ids: set[int]) -> dict[int, list[bytes]]:
 
 
 def _encode(batches, tokenizer: str, end_id: int | None, ranges):
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    use = encoder(tokenizer, "ids")
+    """Ids travel in 16 bits each where the vocabulary and the end id allow it: wide is false."""
+    use = encoder(tokenizer)
+    kind = np.dtype(np.uint16 if use.type == np.uint16 and (end_id or 0) < 1 << 16 else "<u4")
     for part in slices(batches, 1, BATCH_BYTES):
-        ids = [x + end for x in use.ids([t or "" for t in part.column(1).to_pylist()])]
+        flat, counts = use.encode(part.column(1))
+        ends = np.cumsum(counts)
+        if end_id is not None:
+            flat, ends = np.insert(flat.astype(kind), ends, end_id), ends + np.arange(1, len(ends) + 1)
+        offsets = np.concatenate([[0], ends]) * kind.itemsize
+        ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.astype(kind))])
         shard = ranges.value.of(part.column(0), part.column(2)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(np.full(len(ends), kind.itemsize == 4)), ids], names=["shard", "doc_id", "wide", "ids"])
 
 
 class _Writer:
@@ -138,7 +145,9 @@ def _write(batches, folder: str):
         return pa.RecordBatch.from_arrays([pa.array([v], pa.string() if n == "path" else pa.int64()) for n, v in zip(names, values)], names=names)
 
     for batch in batches:
-        for shard, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+        for shard, doc_id, wide, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            if not wide:
+                ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
             if writer is None or writer.shard != shard:
                 if writer:
                     yield row(writer.close())

@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, in_arrow, new_path, shuffle_partitions, stage, unstage
-from .storage import RANGE_BYTES, TemporaryFile, filesystem, remove_temporary, split_ranges
+from .storage import TemporaryFile, filesystem, remove_temporary, split_ranges
 
-ROLL_BYTES, LEVEL, READ_BYTES, BATCH_BYTES = 64 << 20, 6, 1 << 20, 1 << 22
+LEVEL, READ_BYTES, BATCH_BYTES = 6, 1 << 20, 1 << 22
+#: A file rolls once it holds such a part of the bytes that a range has before compression, and at 1 GB at most.
+ROLL_PART, MOST_ROLL = 16, 1 << 30
 #: What a row weighs besides its texts when ranges are cut.
 ROW_BYTES = 200
 #: Fixed values of the format.
@@ -58,7 +60,7 @@ def page_record(page_id: int | None, url: str | None, html: bytes, digest: str,
     return record("revisit", fields, HTTP_OK)
 
 
-def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0, roll_bytes: int | None = None, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes every row as a record; returns the manifest (shard, part, path, n_records, n_bytes, sha256).
 
     Of rows with equal payloads of at least min_revisit_bytes, the one with the largest id is the
@@ -66,14 +68,17 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     Null ids rank below all and come first; if only null ids hold a payload, all are responses.
     A null payload is empty; a null url is about:blank. An empty table gives an empty manifest. A
     payload of any length is one record; other columns of pages, whatever their names, are not read.
-    Ranges of ids are cut by exact sums of bytes, ids that many rows have by the payload's digest besides.
+    Ranges of ids are cut by exact sums of bytes (see split_ranges), ids that many rows have by the payload's digest
+    besides. Within a range a file rolls once its compressed size reaches roll_bytes; without it, a sixteenth of a
+    range, so that a range of pages, which compress to a quarter or so, becomes several files and files grow with the input.
 
     Only digests and ids are shuffled to find responses: largest ids per digest, taken before the
     shuffle, then a join whose stream side Spark can split. Payloads are shuffled once, to their range.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    ranges = split_ranges(rows, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + ROW_BYTES, RANGE_BYTES)
+    ranges = split_ranges(rows, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + ROW_BYTES)
+    roll_bytes = roll_bytes or min(MOST_ROLL, ranges.share // ROLL_PART)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     sha = F.unhex(F.sha2(payload, 256))
     # a row of its own carries each target to the shard of its page, where it sorts before the page

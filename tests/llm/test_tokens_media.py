@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -26,12 +27,29 @@ def library():
 def test_pieces_give_the_library_s_tokens(sf_docs, odd_texts, library, monkeypatch):
     texts = [t or "" for _, t in odd_texts] + [r["text"] for r in sf_docs]
     want = [library(t) for t in texts]
-    for slice_chars, kept in ((1 << 18, 700_000), (40, 50)):
-        monkeypatch.setattr(encoding, "SLICE_CHARS", slice_chars)
-        monkeypatch.setattr(encoding, "KEPT_PIECES", kept)
-        e = encoding.Encoder(PATH)
+    for slice_bytes, kept in ((1 << 22, 700_000), (40, 50)):
+        monkeypatch.setattr(encoding, "SLICE_BYTES", slice_bytes)
+        e = encoding.Encoder(PATH, kept)
         assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in e.ids(texts)] == want
-        assert encoding.Encoder(PATH).lengths(texts) == [len(x) for x in want]
+        assert e.lengths(pa.array([None, *texts], pa.string()).slice(1)) == [len(x) for x in want]
+
+
+def test_cuts_at_odd_places_give_the_library_s_tokens(library):
+    rng = np.random.default_rng(5)
+    parts = ["a", "Zb", "'s", "'", "12", ",", ".", "!?", "<|endoftext|>", "<|", " ", "  ", "\n", "\t ", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u2029", "\u1680", "é", "à", "ѐ", "日本", "…", "\U0001f600", "(", "-", "_", "\0"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3000)]
+    e = encoding.Encoder(PATH)
+    assert e.lengths(texts) == [len(library(t)) for t in texts]
+    assert [list(np.frombuffer(x, "<u4")) for x in e.ids(texts[::-1])] == [library(t) for t in texts[::-1]]
+
+
+def test_a_text_of_several_slices(library):
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) + "," * int(rng.integers(2)) for _ in range(1_100_000))
+    assert len(text.encode()) > encoding.SLICE_BYTES + (1 << 20)
+    flat, counts = encoding.Encoder(PATH).encode(["x y", text, ""])
+    want = library(text)
+    assert counts.tolist() == [2, len(want), 0] and flat[2:].tolist() == want
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])

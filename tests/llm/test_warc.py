@@ -69,6 +69,32 @@ def test_empty(spark):
     assert manifest.count() == 0 and warc.read_archive(manifest).count() == 0
 
 
+def test_files_roll_by_size_at_the_defaults(spark):
+    rng = random.Random(9)
+    rows = [(i, f"http://{i}", rng.randbytes(10_000).hex()) for i in range(1500)]
+    manifest = warc.write_archive(pages(spark, rows), warc.archive_folder(spark)).collect()
+    roll, sizes = storage.RANGE_BYTES // warc.ROLL_PART, {}
+    for m in manifest:
+        sizes.setdefault(m.shard, []).append((m.part, m.n_bytes))
+    assert len(sizes) > 1 and all(len(x) > 1 for x in sizes.values())
+    for own in sizes.values():
+        own.sort()
+        assert [p for p, _ in own] == list(range(len(own))) and all(roll <= n < roll * 1.1 for _, n in own[:-1])
+
+
+def test_ranges_of_a_hundred_terabytes_take_few_scans_and_rows(spark, monkeypatch):
+    """A histogram of one row for each 100 MB stands for the table; scans and rows that reach the driver are counted."""
+    df = spark.range(1_000_000).selectExpr("id * 1000 as k", "100000000L as w")
+    seen = []
+    real = storage._histogram
+    monkeypatch.setattr(storage, "_histogram", lambda batches, lo, hi, width: real(batches, lo, hi, width))
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    got = storage.split_ranges(df, "k", F.col("w"))
+    assert len(seen) <= 3 and max(map(len, seen)) <= 100_000  # the first row of the sums is another scan, by first()
+    assert storage.MOST_RANGES * 0.8 <= len(got) <= storage.MOST_RANGES * 1.3
+
+
 @pytest.mark.parametrize("share", [100, 1700])
 def test_ranges_are_even_and_do_not_depend_on_order(spark, share):
     rng = random.Random(share)
@@ -90,7 +116,7 @@ def test_ranges_are_even_and_do_not_depend_on_order(spark, share):
 
 
 def test_a_hot_id_is_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(storage, "RANGE_BYTES", 3000)
     rows = [(1 if i % 3 else i, "u", f"page {i % 40} " * 20) for i in range(400)]
     manifest = warc.write_archive(pages(spark, rows), warc.archive_folder(spark))
     assert manifest.groupBy("shard").sum("n_records").agg({"sum(n_records)": "max"}).first()[0] < 100
