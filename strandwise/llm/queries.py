@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import audio_features, media_digest
-from . import line_dedup, mixing, ngram_join, quality, suffix_dedup, warc
+from . import compression_quality, infilling, line_dedup, mixing, ngram_join, quality, spelling, suffix_dedup, warc
 from .ngram_join import linked_documents
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats, repeat_digest
@@ -57,6 +57,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, seq_len=2048, end_id=1)
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return compression_quality.quality_scores(docs, compression_quality.fitted(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(read_table(spark, sf_dir, "documents"), misspell_every=97, least_length=5, least_count=3, factor=2)
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infilling_digest(infilling.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_features": op2_media_features,
@@ -68,6 +81,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
+    "op11_compression_quality": op11_compression_quality,
+    "op12_spelling": op12_spelling,
+    "op13_infilling": op13_infilling,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op6_mixing": mixing.oracle_sql(),
     "op7_quality_rules": quality.oracle_sql(),
     "op8_ngram_jaccard_join": ngram_join.oracle_sql(),
+    "op13_infilling": infilling.oracle_sql(),
 }
