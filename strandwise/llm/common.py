@@ -13,7 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where tables are staged if the cluster names no folder (single-machine tests).
@@ -89,9 +89,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(id_col: str, text_col: str):
-    """A 64-bit key of (id, text). Rows equal in both are interchangeable, so they may share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str | Column, text_col: str | Column) -> Column:
+    """A 64-bit key of (id, text). Rows equal in both are interchangeable, so they may share it. The hash passes over nulls, so
+    whether a column is null is hashed besides: a null id with some text is not an id whose bytes are that text's."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in (id_col, text_col)]
+    return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
 
 
 def slices(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:

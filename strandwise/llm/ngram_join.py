@@ -350,7 +350,8 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
     (a fraction of two integers). Null and empty texts have no shingles and link with nothing, not
     even each other; equal sets link; a null id takes part and is never the smallest, so a
     component of null ids alone has a null id; repeated rows are documents of one set; an empty
-    table gives an empty result.
+    table gives an empty result; a text of any length gives all its shingles; other columns of docs,
+    whatever their names, are not read.
 
     Equal sets are one node from the start. Nodes are named by 64 bits of their set's hash; another
     64 prove that no two sets share a name, and if two do, names are drawn anew. Links are found in
@@ -409,7 +410,11 @@ def linked_documents(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
-    """The rows of docs without all but one document of each component: the smallest id stays. Rows without shingles stay."""
+    """The rows of docs without all but one document of each component: the smallest id stays. Rows without shingles stay.
+
+    Of a component of null ids alone one row stays, as does one of rows that repeat the smallest id and its text. All
+    columns of docs, whatever their names, are in the result; an empty table gives an empty one; texts of any length are read whole.
+    """
     linked = linked_documents(docs, id_col=id_col, text_col=text_col, **join)
     group = F.coalesce("component_id", F.col("node"))
     keep = linked.where("n_shingles > 0").groupBy(group.alias("g"), F.col("component_id").isNull()).agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("of"), F.lit(True).alias("single"))
@@ -417,7 +422,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     renamed = docs.select([F.col(f"`{c}`").alias(f"_in_{n}") for n, c in enumerate(names)])
     ident, text = (F.col(f"_in_{names.index(c)}") for c in (id_col, text_col))
-    renamed = renamed.withColumn("_rk", F.xxhash64(ident.cast("long"), text))
+    renamed = renamed.withColumn("_rk", row_key(ident.cast("long"), text))
     joined = renamed.join(keep, F.col("_rk") == F.col("of"))
     single = joined.where("single").dropDuplicates(["_rk"])
     return single.unionByName(joined.where(~F.col("single"))).select([F.col(f"_in_{n}").alias(c) for n, c in enumerate(names)])

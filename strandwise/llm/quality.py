@@ -81,7 +81,8 @@ def judged_documents(docs: DataFrame, *, count_copies: bool = False, min_documen
     A host's documents are its distinct texts, so copies of one document don't make its lines
     frequent; with count_copies they are its rows. A line that more than min_documents of them hold, and more than share of them, is
     removed from all; a document that keeps less than least_left of its words is rejected, as is
-    one that fails the base rules. A null text has no words and fails; a null host is a host;
+    one that fails the base rules. A null text is empty: it has no words and fails, and is
+    one document of its host with the empty ones; a null host is a host;
     repeated rows get equal results; an empty table gives an empty result; other columns of docs,
     whatever their names, are not read; a text of any length is measured whole, a row at a time.
 
@@ -90,7 +91,7 @@ def judged_documents(docs: DataFrame, *, count_copies: bool = False, min_documen
     whose skewed partitions Spark splits.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", row_key("doc_id", "text").alias("rk"), "host", "text", F.xxhash64("text").alias("same"))
+    rows = rows.select("doc_id", row_key("doc_id", "text").alias("rk"), "host", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
     base = ", ".join(f"{c} long" for c in _BASE)
     measured = rows.transform(in_arrow, _measure, f"doc_id long, rk long, host string, same long, {base}, lines array<struct<hash: long, words: long>>")
     measured = stage(measured, "features")

@@ -506,10 +506,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def repeat_digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes) and text: what is kept, with U+FFFD for characters that a cut split."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text: what is kept, with U+FFFD for characters that a cut split."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), text.alias("text"))
+    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def oracle_sql(length: int = 400) -> str:
@@ -526,5 +526,5 @@ g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT t.doc_id, string_agg(substr(x, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept,
              sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM g JOIN t USING (doc_id) GROUP BY t.doc_id)
 SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256,
-       (n - coalesce(n_removed, 0))::BIGINT AS n_kept, decode(unhex(coalesce(kept, x))) AS text
+       decode(unhex(coalesce(kept, x))) AS text
 FROM t LEFT JOIN k USING (doc_id)"""

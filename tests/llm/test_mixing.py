@@ -47,12 +47,24 @@ def test_targets_and_takes(make_docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(make_docs(rows)).collect()))
 
 
-def test_repeated_rows_go_together(make_docs):
-    rows = [(i % 5, "w " * (i % 5 + 1), "ab"[i % 5 % 2]) for i in range(50)]
-    by = defaultdict(set)
-    for r in mixing.mix_sources(make_docs(rows)).collect():
-        by[r.doc_id].add(r.taken)
-    assert all(len(x) == 1 for x in by.values())
+def test_null_and_repeated_ids_come_near_the_target(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBER_PARTS", 3)
+    rows = [(None, f"{i} a b c d", "hot") for i in range(400)] + [(None, "w x y", "hot")] * 300 + [(7, "same text here now", "b")] * 200 + [(i, "u v", "c") for i in range(50)]
+    docs = make_docs(rows)
+    got = mixing.mix_sources(docs).collect()
+    check(rows, got)
+    again = mixing.mix_sources(make_docs(rows[::-1]).repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    taken, found = defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r.source, r.size] += r.taken
+    for r in mixing.mixed_documents(docs).collect():
+        found[r.source, len(r.text.split())] += len(r.text.split())
+    assert found == {k: n for k, n in taken.items() if n}
+    con = duckdb.connect()
+    con.register("documents", make_docs(rows, extra=False).toArrow())
+    want = con.sql(mixing.oracle_sql()).fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in got)
 
 
 def test_empty(make_docs):

@@ -145,3 +145,9 @@ def test_sql_agrees(make_docs, odd_texts):
     for size, num, den in ((3, 9, 10), (5, 8, 10)):
         got = Counter(con.sql(nj.oracle_sql(size, (num, den))).fetchall())
         assert got == components(rows, size, num, den)
+
+
+def test_ids_and_texts_of_the_same_bytes_are_told_apart(make_docs):
+    rows = [(7523094288207667809, None), (None, "abcdefgh"), (3, "x y z w")]
+    got = nj.one_of_each(make_docs(rows), shingle=5, similarity=(8, 10)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows)

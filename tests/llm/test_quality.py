@@ -13,9 +13,9 @@ def brute(rows, min_documents, share, least_left=0.30):
     normal = lambda t: "".join("0" if "1" <= c <= "9" else c.lower() if c.isascii() else c for c in " ".join(words(t)))
     holders, texts = defaultdict(set), defaultdict(set)
     for _, text, host in rows:
-        texts[host].add(text)
+        texts[host].add(text or "")
         for line in (text or "").split("\n"):
-            holders[host, normal(line)].add(text)
+            holders[host, normal(line)].add(text or "")
     out = []
     for i, text, host in rows:
         text = text or ""
@@ -52,6 +52,21 @@ def test_against_brute_force(make_docs, odd_texts):
     assert all(verdict[100 + i] for i in range(12)) and not any(verdict[200 + i] for i in range(6)) and all(verdict[300 + i] for i in range(30))
 
 
+def test_null_and_empty_texts_are_one_document(make_docs):
+    line = " ".join(f"menu{k}" for k in range(30))
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(i, " ".join(f"w{letters(i)}x{letters(k)}" for k in range(60)) + (f"\n{line}" if i < 6 else ""), "h") for i in range(18)] + [(90, None, "h"), (91, "", "h")]
+    got = quality.judged_documents(make_docs(rows), min_documents=5, share=6 / 19.5).drop("rk", "removed").collect()  # 6 of 19, not of 20
+    assert Counter(map(tuple, got)) == brute(rows, 5, 6 / 19.5) and any(r.left_words < r.n_words for r in got)
+
+
+def test_copies_count_where_they_are_asked_to(make_docs):
+    text = "\n".join(" ".join(f"{c}{k}" for c in "abcdefgh") for k in ("x", "y", "z", "u", "v", "w", "t"))
+    rows = [(i, text, "h") for i in range(30)] + [(100 + i, f"{'own word here ' * 2}{chr(97 + i)} " * 20, "h") for i in range(5)]
+    once, each = (quality.judged_documents(make_docs(rows), count_copies=c, min_documents=5, share=0.1).where("doc_id < 100").collect() for c in (False, True))
+    assert all(r.kept and r.removed is None for r in once) and not any(r.kept for r in each) and all(r.left_words == 0 for r in each)
+
+
 def test_cleaned_documents(make_docs, odd_texts):
     rows = rows_of(odd_texts)
     out = quality.cleaned_documents(make_docs(rows), keep=("lang", "source"), min_documents=5, share=0.1)
