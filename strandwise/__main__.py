@@ -50,8 +50,9 @@ def main(argv: list[str] | None = None) -> None:
         log.info("wrote %s", args.index)
         return
     config = mapping.MapConfig(metric=args.metric, k=args.max_distance, strategy=args.search_scheme, mode=args.mode, identity=args.identity, folder=args.custom or args.dynamic_selection)
-    refs, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file)
-    hits = mapping.map_reads(reads, refs, config).cache()
+    index, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file)
+    refs = index.refs
+    hits = mapping.map_reads(reads, index, config).cache()
     if args.output_file.endswith(".sam"):
         mapping.write_sam(hits, reads, refs, args.output_file, unmapped=not args.no_unmapped, xa=args.XA_tag)
     else:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence
-from strandwise.operators import bwt, matching, reporting, scan, schemes
+from strandwise.operators import bwt, intervals, long_text, matching, reporting, scan, schemes, seed_index
+from strandwise.sources.storage import new_path, written
 
 GRAM = 3
 
@@ -66,18 +67,54 @@ def _kmer_lookup(spark, sf):
 
 
 def _seq_offsets(spark, sf):
-    s = ref_seqs(spark, sf).select("seq_idx", F.length("seq").cast("long").alias("len"))
-    return s.withColumn("start_pos", F.coalesce(F.sum("len").over(Window.orderBy("seq_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return intervals.sequence_offsets(ref_seqs(spark, sf))
 
 
 def _locate(spark, sf):
-    """Global positions of exact hits back to sequences: the last start at or before each, by a window over the union."""
-    starts = _seq_offsets(spark, sf)
+    """Global positions of exact hits back to sequences: the interval that holds each, by bins."""
+    starts = written(_seq_offsets(spark, sf), "offsets")
     hits = _exact_both(spark, sf).join(starts, "seq_idx").select((F.col("begin") + F.col("start_pos")).alias("global_pos")).distinct()
-    both = starts.where("len > 0").select(F.col("start_pos").alias("global_pos"), F.col("seq_idx").alias("idx"), F.col("start_pos").alias("start"), F.lit(0).alias("kind")).union(hits.select("global_pos", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1)))
-    last = Window.orderBy("global_pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("seq_idx", F.last("idx", True).over(last)).withColumn("start", F.last("start", True).over(last))
-    return found.where("kind = 1").select("global_pos", "seq_idx", (F.col("global_pos") - F.col("start")).alias("begin"))
+    found = intervals.within(hits, F.col("global_pos"), starts.withColumn("upto", F.col("start_pos") + F.col("len")), "start_pos", "upto")
+    return found.select("global_pos", "seq_idx", (F.col("global_pos") - F.col("start_pos")).alias("begin"))
+
+
+def _index(spark, sf):
+    """An index of the references, built for this query in the shared folder."""
+    return seed_index.build(ref_seqs(spark, sf), new_path(spark, "index"), seed=6)
+
+
+def _index_kmers(spark, sf):
+    """Numbers of k-mers as the index holds them, with their counts and first places."""
+    return _index(spark, sf).kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq_idx", "pos")).alias("f")).select("kmer", "n", "f.seq_idx", "f.pos")
+
+
+def _indexed(k, metric):
+    """Reads joined with the index, whatever their number."""
+    return lambda spark, sf: seed_index.match(reads(spark, sf), _index(spark, sf), k, metric, most_letters=0)
+
+
+def _trimmed(cost):
+    return lambda spark, sf: intervals.trimmed_match(reads(spark, sf), ref_seqs(spark, sf), 1, trim_cost=cost)
+
+
+def _phi_intervals(spark, sf):
+    return intervals.phi_intervals(bwt.runs(bwt.bwt(bwt.suffix_array(texts(spark, sf)))))
+
+
+def _locate_by_phi(spark, sf):
+    own = texts(spark, sf)
+    sa = written(bwt.suffix_array(own), "suffixes")
+    toeholds = bwt.toeholds(_backward(spark, sf), sa)
+    steps = written(intervals.phi_intervals(bwt.runs(bwt.bwt(sa))), "phi")
+    return intervals.locate_by_phi(toeholds, steps, written(bwt.plcp(own, sa), "plcp"), GRAM)
+
+
+def _long_suffix_array(spark, sf):
+    """All texts side by side as one."""
+    own = texts(spark, sf).select(F.col("text_id").alias("seq_idx"), F.col("text").alias("seq"))
+    offsets = written(intervals.sequence_offsets(own), "offsets")
+    letters = offsets.agg(F.sum("len")).first()[0] or 0
+    return long_text.suffix_array(intervals.text_of_all(own, offsets, long_text.FIRST), letters)
 
 
 def _exact_both(spark, sf):
@@ -101,7 +138,17 @@ def _edit(k):
 
 
 def _best(beyond):
-    return lambda spark, sf: reporting.best_strata(_hamming(2)(spark, sf), beyond)
+    def query(spark, sf):
+        refs = ref_seqs(spark, sf)
+        return matching.best_match(reads(spark, sf), 2, beyond, "hamming", lambda own, k: matching.found(own, refs, k, "hamming"))
+
+    return query
+
+
+def _best_edit(spark, sf):
+    """From an index, in rounds."""
+    index = _index(spark, sf)
+    return matching.best_match(reads(spark, sf), 2, 0, "edit", lambda own, k: seed_index.found(own, index, k, "edit"))
 
 
 def _ranked(spark, sf):
@@ -204,6 +251,7 @@ QUERIES = {
     "edit_k2": _edit(2),
     "best_stratum": _best(0),
     "best_plus_x": _best(1),
+    "best_edit": _best_edit,
     "mapq_flags": _ranked,
     "sam_records": _report(reporting.sam_records),
     "xa_records": _report(reporting.xa_records),
@@ -240,6 +288,15 @@ QUERIES = {
     "planned_searches": _planned_searches,
     "scheme_directions": lambda spark, sf: schemes.directions(schemes.scheme_table(spark)),
     "default_partitions": lambda spark, sf: schemes.default_partitions(spark),
+    "index_kmers": _index_kmers,
+    "indexed_exact": _indexed(0, "hamming"),
+    "indexed_hamming_k1": _indexed(1, "hamming"),
+    "indexed_edit_k1": _indexed(1, "edit"),
+    "trimmed_hits": _trimmed(True),
+    "trimmed_hits_free": _trimmed(False),
+    "phi_intervals": _phi_intervals,
+    "locate_by_phi": _locate_by_phi,
+    "long_suffix_array": _long_suffix_array,
     "hits_median": lambda spark, sf: reporting.hits_median(_hamming(1)(spark, sf)),
 }
 
@@ -256,14 +313,15 @@ def _windows(n: int) -> str:
 
 
 def _cand(k: int, n: int) -> str:
-    """Where the first n letters of a part stand; n is no more than any part's length."""
-    return f"""{_windows(n)},
-seeds AS (SELECT read_id, strand, p, b, substr(p, b + 1, {n}) AS kmer FROM (SELECT *, unnest([{", ".join(f"(length(p) * {i}) // {k + 1}" for i in range(k + 1))}]) AS b FROM pats)),
-cand AS (SELECT DISTINCT read_id, strand, p, seq_idx, seq, pos - b AS begin FROM seeds JOIN km USING (kmer))"""
+    """Where the first letters of a part stand: n, or as many as each part of the pattern has. Windows of all lengths that occur are made."""
+    return f"""sized AS (SELECT *, least({n}, length(p) // {k + 1}) AS n FROM pats),
+km AS (SELECT seq_idx, seq, n, pos, substr(seq, pos + 1, n) AS kmer FROM (SELECT seq_idx, seq, n, unnest(range(length(seq) - n + 1))::BIGINT AS pos FROM refs, (SELECT DISTINCT n FROM sized) WHERE length(seq) >= n)),
+seeds AS (SELECT read_id, strand, p, b, n, substr(p, b + 1, n) AS kmer FROM (SELECT *, unnest([{", ".join(f"(length(p) * {i}) // {k + 1}" for i in range(k + 1))}]) AS b FROM sized)),
+cand AS (SELECT DISTINCT read_id, strand, p, seq_idx, seq, pos - b AS begin FROM seeds JOIN km USING (n, kmer))"""
 
 
 def _hits(k: int) -> str:
-    """Hamming hits; seeds of 15 // (k + 1) letters, as no read has fewer than 15."""
+    """Hamming hits; seeds of 15 // (k + 1) letters, or of as many as the parts of shorter reads have."""
     return f"""{_SEQS}, {_cand(k, 15 // (k + 1))},
 hits AS (SELECT read_id, min(strand) AS strand, seq_idx, begin, begin + length(p) AS "end", d AS distance FROM
   (SELECT *, hamming(p, substr(seq, begin + 1, length(p)))::BIGINT AS d FROM cand WHERE begin >= 0 AND begin + length(p) <= length(seq)) WHERE d <= {k} GROUP BY ALL)""".replace(
@@ -277,15 +335,30 @@ exact AS (SELECT read_id, strand, seq_idx, begin, begin + length(p) AS "end", 0:
 _HIT = 'read_id, strand, seq_idx, begin, "end", distance'
 
 
-def _edit_sql(k: int) -> str:
+def _edit_sql(k: int, sequences: str = "") -> str:
     widths = ", ".join(f"({w})" for w in range(-k, k + 1))
-    return f"""{_SEQS}, {_cand(k, 15 // (k + 1))},
+    return f"""{sequences or _SEQS}, {_cand(k, 15 // (k + 1))},
 near AS (SELECT DISTINCT read_id, strand, p, seq_idx, seq, begin + s AS begin FROM cand, (VALUES {widths}) AS v(s) WHERE begin + s BETWEEN 0 AND length(seq) - 1),
 each AS (SELECT read_id, strand, seq_idx, begin, length(p) + x AS width, levenshtein(p, substr(seq, begin + 1, (length(p) + x)::BIGINT))::BIGINT AS d
   FROM near, (VALUES {widths}) AS v(x) WHERE length(p) + x > 0 AND begin + length(p) + x <= length(seq)),
 starts AS (SELECT read_id, strand, seq_idx, begin, begin + (min(struct_pack(d := d, width := width))).width AS "end", min(d) AS distance FROM each WHERE d <= {k} GROUP BY read_id, strand, seq_idx, begin)"""
 
 
+def _trimmed_sql(k: int, cost: bool) -> str:
+    """References with what follows them, 100 letters of the next 60 at most; hits that begin in the reference."""
+    seqs = _SEQS.replace("refs AS", "own AS", 1)
+    more = "coalesce(left(string_agg(seq, '') OVER (ORDER BY seq_idx ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING), 100), '')"
+    seqs += f""", full_ AS (SELECT *, length(seq)::BIGINT AS len, lead(seq_idx) OVER o AS next_idx, lead(length(seq)) OVER o AS next_len FROM own WHERE seq <> '' WINDOW o AS (ORDER BY seq_idx)),
+refs AS (SELECT seq_idx, name, seq || {more} AS seq FROM full_)"""
+    lost = f"distance + {'(\"end\" - begin) - (t - f)' if cost else '0'}"
+    return f"""WITH {_edit_sql(k, seqs)},
+placed AS (SELECT s.*, len, next_idx, next_len FROM starts s JOIN full_ USING (seq_idx) WHERE begin < len),
+cut AS (SELECT *, CASE WHEN len - begin <= {k} THEN len ELSE begin END AS f, CASE WHEN len - begin <= {k} THEN least("end", len + next_len) ELSE len END AS t, len - begin <= {k} AS on_
+  FROM placed WHERE "end" > len AND (len - begin <= {k} OR "end" - len <= {k}))
+SELECT read_id, strand, seq_idx, begin, "end", distance, false AS trimmed FROM placed WHERE "end" <= len
+UNION SELECT read_id, strand, CASE WHEN on_ THEN next_idx ELSE seq_idx END, CASE WHEN on_ THEN f - len ELSE f END, CASE WHEN on_ THEN t - len ELSE t END, {lost}, true FROM cut WHERE t > f AND {lost} <= {k}"""
+
+
 def _thinned(k: int) -> str:
     """The greedy filter as a fold over each read's sorted list: the last kept hit and those before it."""
     return f"""{_edit_sql(k)},
@@ -346,6 +419,7 @@ ORACLES = {
     "edit_k2": f"WITH {_thinned(2)} SELECT {_HIT} FROM hits",
     "best_stratum": f"WITH {_hits(2)} SELECT {_HIT} FROM hits QUALIFY distance = min(distance) OVER (PARTITION BY read_id)",
     "best_plus_x": f"WITH {_hits(2)} SELECT {_HIT} FROM hits QUALIFY distance <= min(distance) OVER (PARTITION BY read_id) + 1",
+    "best_edit": f"WITH {_thinned(2)} SELECT {_HIT} FROM hits QUALIFY distance = min(distance) OVER (PARTITION BY read_id)",
     "mapq_flags": f"WITH {_RANKED} SELECT read_id, seq_idx, begin, strand, distance, rank, n_best, mapq, flag FROM ranked",
     "sam_records": f"""WITH {_RANKED} SELECT read_id AS qname, flag, name AS rname, begin + 1 AS pos, mapq, '*' AS cigar, '*' AS rnext, 0::BIGINT AS pnext, 0::BIGINT AS tlen,
   CASE WHEN rank > 1 THEN '*' WHEN strand = 'RC' THEN reverse(translate(reads.seq, 'ACGT', 'TGCA')) ELSE reads.seq END AS seq, '*' AS qual, distance AS as_i, distance AS nm_i
@@ -414,5 +488,16 @@ ORACLES = {
   SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(d, '') AS directions, len(list_filter(range(2, len(d) + 1), lambda n: d[n] <> d[n - 1]))::BIGINT AS switches FROM d""",
     "default_partitions": """WITH p AS (SELECT unnest(range(2, 15)) AS parts), e AS (SELECT parts, unnest(range(0, parts)) AS part FROM p)
   SELECT parts, part, part::DOUBLE / (parts - 1)::DOUBLE AS seed, (CASE WHEN part IN (0, parts - 1) THEN 2 ELSE 1 END)::BIGINT AS weight FROM e""",
+    "index_kmers": f"WITH {_SEQS}, {_windows(6)} SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split(translate(reverse(kmer), 'ACGT', '0123'), ''), lambda x: x::BIGINT)), lambda a, x: 5 * a + x) AS kmer, count(*)::BIGINT AS n, min(struct_pack(s := seq_idx, p := pos)).s AS seq_idx, min(struct_pack(s := seq_idx, p := pos)).p AS pos FROM km GROUP BY km.kmer",
+    "indexed_exact": f"WITH {_EXACT} SELECT {_HIT} FROM exact",
+    "indexed_hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
+    "indexed_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
+    "trimmed_hits": _trimmed_sql(1, True),
+    "trimmed_hits_free": _trimmed_sql(1, False),
+    "phi_intervals": f"""WITH {_SUFFIXES}, r AS (SELECT text_id, run, arg_min(sa, i) AS f, arg_max(sa, i) AS l, any_value(n) AS n FROM runs GROUP BY text_id, run)
+  SELECT text_id, f AS input, coalesce(lead(f) OVER (PARTITION BY text_id ORDER BY f), n) AS upto,
+    coalesce(lag(l) OVER (PARTITION BY text_id ORDER BY run), first_value(l) OVER (PARTITION BY text_id ORDER BY run DESC)) AS output FROM r""",
+    "locate_by_phi": f"WITH {_SUFFIXES} SELECT text_id, substr(text, sa + 1, {GRAM}) AS pattern, sa AS pos FROM sa WHERE sa + {GRAM} < n",
+    "long_suffix_array": f"WITH {_SUFFIXES}, w AS (SELECT string_agg(left(text, length(text) - 1), '' ORDER BY text_id) || '$' AS text FROM t), p AS (SELECT text, unnest(range(length(text)))::BIGINT AS sa FROM w) SELECT row_number() OVER (ORDER BY substr(text, sa + 1)) - 1 AS i, sa FROM p",
     "hits_median": f"WITH {_hits(1)}, n AS (SELECT read_id, count(*) AS n FROM hits GROUP BY read_id) SELECT count(*) AS n_mapped, median(n)::DOUBLE AS median_hits FROM n",
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BY = "text_id"
+#: Moduli below 2 ** 31, so that products fit in 63 bits, and bases of the prefix hashes.
+PRIMES, BASES = (2147483647, 2147483629), (1103515245, 747796405)
 
 
 def characters(texts: DataFrame) -> DataFrame:
@@ -60,20 +63,44 @@ def phi(sa: DataFrame) -> DataFrame:
 
 
 def plcp(texts: DataFrame, sa: DataFrame) -> DataFrame:
-    """(text_id, pos, plcp): the common extension of the suffix at pos and the one before it in order."""
-    pairs = sa.select(_BY, F.col("sa").alias("pos"), F.lag("sa").over(Window.partitionBy(_BY).orderBy("i")).alias("other")).join(texts, _BY)
-    return pairs.select(_BY, "pos", "other", "text").mapInArrow(_common, "text_id long, pos long, plcp long")
-
-
-def _common(batches):
-    for batch in batches:
-        out = []
-        for a, b, text in zip(*(batch.column(n).to_pylist() for n in ("pos", "other", "text"))):
-            n = 0
-            while b is not None and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
-                n += 1
-            out.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("pos"), pa.array(out, pa.int64())], names=["text_id", "pos", "plcp"])
+    """(text_id, pos, plcp): the common extension of the suffix at pos and the one before it in order. A text is sent once, beside its pairs."""
+    pairs = sa.select(_BY, F.col("sa").alias("pos"), F.lag("sa").over(Window.partitionBy(_BY).orderBy("i")).alias("other"))
+    return pairs.groupBy(_BY).cogroup(texts.select(_BY, "text").groupBy(_BY)).applyInArrow(_extensions, "text_id long, pos long, plcp long")
+
+
+def _extensions(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    text = texts.column("text")[0].as_py() if texts.num_rows else None
+    other = pairs.column("other").fill_null(-1).to_numpy()
+    pos = pairs.column("pos").to_numpy()
+    found = np.where(other >= 0, common_extensions((text or "").encode("ascii", "replace"), pos, np.maximum(other, 0)), 0)
+    return pa.table([pairs.column("text_id"), pairs.column("pos"), pa.array(found, pa.int64())], names=["text_id", "pos", "plcp"])
+
+
+def common_extensions(text: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters follow alike from each a and b on. All pairs are halved together: prefix hashes modulo two primes tell whether
+    so many letters agree, in as many steps as the text's length has bits."""
+    n = len(text)
+    letters = np.frombuffer(text, np.uint8).astype(np.int64)
+    sums, powers = [], []
+    for prime, base in zip(PRIMES, BASES):
+        power = np.ones(n + 1, np.int64)
+        done, step = 1, base
+        while done <= n:  # step is base to the done
+            power[done : 2 * done] = power[:done][: n + 1 - done] * step % prime
+            done, step = 2 * done, step * step % prime
+        sums.append(np.concatenate([[0], np.cumsum(letters * power[:n] % prime)]))
+        powers.append(power)
+    one, two = np.minimum(a, b), np.maximum(a, b)
+    least, most = np.zeros(len(one), np.int64), np.maximum(n - two, 0)
+    one, two = np.minimum(one, n), np.minimum(two, n)
+    while (least < most).any():
+        size = (least + most + 1) // 2
+        alike = np.ones(len(one), bool)
+        for prime, total, power in zip(PRIMES, sums, powers):
+            left = (total[one + size] - total[one]) % prime * power[two - one] % prime
+            alike &= left == (total[two + size] - total[two]) % prime
+        least, most = np.where(alike, size, least), np.where(alike, most, size - 1)
+    return least
 
 
 def backward_search(transformed: DataFrame, patterns: DataFrame, length: int) -> DataFrame:

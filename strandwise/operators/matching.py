@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import revcomp
 from strandwise.operators import scan
+from strandwise.sources.storage import written
 
-#: Positions of a tile, and the seed lengths that k-mers are made of.
-TILE, SEED_LENGTHS = 256, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 15)
+#: Positions of a tile, and the seed lengths that k-mers are made of. Reads whose parts are shorter than the least of them are scanned for.
+TILE, SEED_LENGTHS = 256, (4, 5, 6, 7, 9, 11, 13, 15)
+TILES = "seq_idx long, tile long, size long, body string"
 
 
 def tiles(refs: DataFrame, flank: int) -> DataFrame:
     """(seq_idx, tile, size, body): TILE letters from TILE * tile on and up to flank more; size is the sequence's length."""
-    return refs.select("seq_idx", "seq").mapInArrow(partial(_tile, flank=flank), "seq_idx long, tile long, size long, body string").repartition("seq_idx", "tile")
+    return refs.select("seq_idx", "seq").mapInArrow(partial(_tile, flank=flank), TILES).repartition("seq_idx", "tile")
 
 
 def _tile(batches, flank: int):
@@ -76,9 +78,9 @@ def static_parts(patterns: DataFrame, begins: list[float]) -> DataFrame:
 
 
 def candidates(patterns: DataFrame, tiled: DataFrame, k: int) -> DataFrame:
-    """(read_id, strand, pattern, seq_idx, size, begin): where a part without errors puts the read's first letter."""
+    """(read_id, strand, pattern, seq_idx, begin): where a part without errors puts the read's first letter. Parts have SEED_LENGTHS[0] letters or more."""
     seeds = uniform_parts(patterns, k + 1)
-    length = F.lit(0)
+    length = F.lit(SEED_LENGTHS[0])
     for n in SEED_LENGTHS:
         length = F.when(F.col("end") - F.col("begin") >= n, n).otherwise(length)
     seeds = seeds.withColumn("k", length).withColumn("kmer", F.expr("substring(pattern, begin + 1, k)"))
@@ -106,6 +108,18 @@ def longest(reads: DataFrame) -> int:
     return reads.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
+def _with_short(reads: DataFrame, refs: DataFrame, k: int, metric: str, most: int, join) -> DataFrame:
+    """join's hits of the reads whose parts can be seeds, and those of shorter reads by scans, in groups that can be broadcast."""
+    short = F.length("seq") < SEED_LENGTHS[0] * (k + 1)
+    hits, few = join(reads.where(~short)), reads.where(short)
+    letters = few.agg(F.sum(F.length("seq"))).first()[0] or 0
+    groups = -(-letters // scan.MOST_LETTERS) if scan.MOST_LETTERS > 0 else int(letters > 0)
+    for group in range(groups):
+        part = few.where(F.pmod(F.xxhash64("read_id", "seq"), F.lit(groups)) == group)
+        hits = hits.unionByName(scan.scan(part, refs, k, metric, most))
+    return hits
+
+
 def _few(reads: DataFrame) -> tuple[bool, int]:
     """(whether the reads are few enough to be broadcast, their greatest length), counted first."""
     letters, most = reads.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first()
@@ -119,20 +133,28 @@ def hamming_match(reads: DataFrame, refs: DataFrame, k: int, *, distinct: bool =
     Few reads are broadcast and found in one pass over the references; many are joined by their seeds.
     """
     few, most = _few(reads)
-    hits = scan.scan(reads, refs, k, "hamming", most) if few else hamming_join(reads, refs, k, most)
-    return _one_strand(hits) if distinct else hits
+    hits = scan.scan(reads, refs, k, "hamming", most) if few else _with_short(reads, refs, k, "hamming", most, lambda own: hamming_join(own, refs, k, most))
+    return one_strand(hits) if distinct else hits
 
 
 def hamming_join(reads: DataFrame, refs: DataFrame, k: int, most: int) -> DataFrame:
     tiled = tiles(refs, most)
-    found = _at_tile(candidates(strands(reads), tiled, k), tiled).where(F.col("begin") + F.length("pattern") <= F.col("size"))
+    return verified(_at_tile(candidates(strands(reads), tiled, k), tiled), k, "hamming")
+
+
+def verified(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """Hits among candidates (read_id, strand, pattern, seq_idx, begin) that stand beside their tile (tile, size, body)."""
+    if metric == "edit" and k:
+        window = F.expr(f"substring(body, begin - tile * {TILE} + 1, length(pattern) + {k})")
+        return found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).where(F.length("window") > 0).mapInArrow(partial(_edit, k=k), _HIT)
+    found = found.where(F.col("begin") + F.length("pattern") <= F.col("size"))
     window = F.expr(f"substring(body, begin - tile * {TILE} + 1, length(pattern))")
     if k == 0:
         return found.where(window == F.col("pattern")).select("read_id", "strand", "seq_idx", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("distance"))
     return found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).mapInArrow(partial(_hamming, k=k), _HIT)
 
 
-def _one_strand(hits: DataFrame) -> DataFrame:
+def one_strand(hits: DataFrame) -> DataFrame:
     return hits.groupBy("read_id", "seq_idx", "begin", "end", "distance").agg(F.min("strand").alias("strand")).select("read_id", "strand", "seq_idx", "begin", "end", "distance")
 
 
@@ -162,15 +184,13 @@ def _hamming(batches, k: int):
 def edit_starts(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """For every start within one sequence: the least edit distance of the read to a string from there, if at most k, and the shortest such string."""
     few, most = _few(reads)
-    return scan.scan(reads, refs, k, "edit", most) if few else edit_join(reads, refs, k, most)
+    return scan.scan(reads, refs, k, "edit", most) if few else _with_short(reads, refs, k, "edit", most, lambda own: edit_join(own, refs, k, most))
 
 
 def edit_join(reads: DataFrame, refs: DataFrame, k: int, most: int) -> DataFrame:
     tiled = tiles(refs, most + k)
     near = candidates(strands(reads), tiled, k).withColumn("begin", F.explode(F.expr(f"sequence(begin - {k}, begin + {k})"))).distinct()
-    found = _at_tile(near, tiled)
-    window = F.expr(f"substring(body, begin - tile * {TILE} + 1, length(pattern) + {k})")
-    return found.select("read_id", "strand", "seq_idx", "begin", "pattern", window.alias("window")).where(F.length("window") > 0).mapInArrow(partial(_edit, k=k), _HIT)
+    return verified(_at_tile(near, tiled), k, "edit")
 
 
 def _edit(batches, k: int):
@@ -233,6 +253,40 @@ def edit_match(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     return exact_match(reads, refs) if k == 0 else nonredundant(edit_starts(reads, refs, k), k)
 
 
+def found(reads: DataFrame, refs: DataFrame, k: int, metric: str) -> DataFrame:
+    """Hits of both strands, or every start with edit distances, before strands or starts are thinned."""
+    return edit_starts(reads, refs, k) if metric == "edit" and k else hamming_match(reads, refs, k, distinct=False)
+
+
+def best_match(reads: DataFrame, k: int, beyond: int, metric: str, find) -> DataFrame:
+    """Hits within beyond errors of each read's best, at most k, by rounds of growing k: find(reads, k) gives a round's hits.
+
+    A round takes only the reads that are not settled: one is, once its best and beyond more errors are within the
+    round's k. So most reads are never searched with many errors. Rounds are written; they follow k alone. The result is
+    that of one search with k: hits with more errors never decide which of those with fewer are kept.
+    """
+    now, left, settled = 0, reads.select("read_id", "seq"), []
+    while True:
+        hits = written(find(left, now), "round")
+        best = hits.groupBy(F.col("read_id").alias("_of")).agg(F.min("distance").alias("_best"))
+        if now < k:
+            best = best.where(F.col("_best") + beyond <= now)
+        best = written(best, "best")
+        settled.append(hits.join(best, F.col("read_id") == F.col("_of")).where(F.col("distance") <= F.col("_best") + beyond).drop("_of", "_best"))
+        if now == k:
+            break
+        left = written(left.join(best, F.col("read_id") == F.col("_of"), "left_anti"), "unsettled")
+        if left.isEmpty():
+            break
+        now = min(k, max(beyond, 1) if now == 0 else now + beyond + (2 if now < 5 else 4))
+    hits = settled[0]
+    for more in settled[1:]:
+        hits = hits.unionByName(more)
+    if k == 0:
+        return hits
+    return nonredundant(hits, k) if metric == "edit" else one_strand(hits)
+
+
 def cluster_centres(starts: DataFrame) -> DataFrame:
     """Starts whose distance is no more than that at the starts next to them, of one read, strand and sequence."""
     line = Window.partitionBy("read_id", "strand", "seq_idx").orderBy("begin")

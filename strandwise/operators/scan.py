@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 PIECE, SEARCHED, GATHERED = 1 << 16, 1 << 18, 1 << 21
 #: Candidates at a time; those of one pattern stay together, at most (k + 1) ** 2 for a letter that is searched.
 CANDIDATES = 1 << 20
-#: Letters of all reads (both strands take twice as many bytes) up to which they are broadcast.
-MOST_LETTERS = 1 << 23
+#: Letters of all reads (both strands take twice as many bytes) up to which they are broadcast, and bytes of references for a task.
+MOST_LETTERS, TASK_BYTES = 1 << 23, 16 << 20
 #: The longest seed: a number of base 5 in 63 bits.
 LONGEST_SEED = 13
 
@@ -60,7 +60,8 @@ def pieces(refs: DataFrame, left: int, right: int) -> DataFrame:
     lead is how many stand before, own how many are the piece's. Dealt over all tasks by sequence and place.
     """
     _bound_batches(refs.sparkSession)
-    parts = 2 * refs.sparkSession.sparkContext.defaultParallelism
+    letters = refs.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
+    parts = max(2 * refs.sparkSession.sparkContext.defaultParallelism, -(-letters // TASK_BYTES))
     cut = refs.select("seq_idx", "seq").repartition(parts, "seq_idx").mapInArrow(partial(_cut, left=left, right=right), "seq_idx long, first long, lead int, own int, body binary")
     return cut.repartition(parts, "seq_idx", "first")
 
@@ -263,8 +264,14 @@ def scan(reads: DataFrame, refs: DataFrame, k: int, metric: str, longest: int) -
     """Hits of both strands of every read, at most MOST_LETTERS in all. Hamming: all with at most k substitutions. Edit: for
     every start the least distance, if at most k, and the shortest string that has it."""
     rows = [(r.read_id, r.seq) for r in reads.select("read_id", "seq").where(F.length("seq") > 0).collect()]
-    shared = refs.sparkSession.sparkContext.broadcast(Patterns(rows, k))
-    return pieces(refs, longest + k, longest + k).mapInArrow(partial(_match, shared=shared, k=k, metric=metric), _HIT)
+    return match_pieces(pieces(refs, longest + k, longest + k), rows, k, metric)
+
+
+def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str) -> DataFrame:
+    """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors."""
+    _bound_batches(cut.sparkSession)
+    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k))
+    return cut.select("seq_idx", "first", "lead", "own", "body").mapInArrow(partial(_match, shared=shared, k=k, metric=metric), _HIT)
 
 
 _COUNT = "kmer long, n long, seq_idx long, pos long"

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.operators import matching, reporting, schemes
-
-TAG = 1
+from strandwise.functions.sequence import distance_for_identity
+from strandwise.operators import matching, reporting, schemes, seed_index
+from strandwise.operators.seed_index import SeedIndex
 
 
 @dataclass(frozen=True)
@@ -55,31 +54,39 @@ class MapConfig:
         return None if self.mode == "all" else int(self.mode[5:] or 0)
 
 
-def write_index(refs: DataFrame, path: str) -> None:
-    """The references as a table, with a tag that readers check. Seeds are cut from it by each run, in the lengths that its reads need."""
-    refs.select("seq_idx", "name", "seq").write.mode("overwrite").parquet(f"{path}/refs")
-    refs.sparkSession.createDataFrame([(json.dumps({"tag": TAG}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+def write_index(refs: DataFrame, path: str, **options) -> SeedIndex:
+    """See seed_index.build."""
+    return seed_index.build(refs, path, **options)
+
 
+def read_index(spark: SparkSession, path: str) -> SeedIndex:
+    return seed_index.load(spark, path)
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
-    if meta.get("tag") != TAG:
-        raise ValueError(f"{path} was written by another version; build it again")
-    return spark.read.parquet(f"{path}/refs")
 
+def map_reads(reads: DataFrame, refs: DataFrame | SeedIndex, config: MapConfig | None = None) -> DataFrame:
+    """Hits (read_id, strand, seq_idx, begin, end, distance) of reads(read_id, seq) in refs(seq_idx, name, seq) or an index of them.
 
-def map_reads(reads: DataFrame, refs: DataFrame, config: MapConfig | None = None) -> DataFrame:
-    """Hits (read_id, strand, seq_idx, begin, end, distance) of reads(read_id, seq) in refs(seq_idx, name, seq)."""
+    With an index no reference is shuffled. In the best modes reads are searched in rounds of growing k, except
+    where identity bounds errors by length: then all are searched once.
+    """
     config = config or MapConfig()
-    k = config.k
-    if config.identity is not None:
-        bound = F.floor(F.length("seq") * (100 - config.identity) / 100)
-        k = int(reads.agg(F.max(F.least(F.lit(13), bound))).first()[0] or 0)
-    match = matching.hamming_match if config.metric == "hamming" else matching.edit_match
-    hits = matching.exact_match(reads, refs) if k == 0 else match(reads, refs, k)
+    k, bound = config.k, None
     if config.identity is not None:
-        own = reads.select("read_id", F.least(F.lit(13), F.floor(F.length("seq") * (100 - config.identity) / 100)).alias("_most"))
-        hits = hits.join(own, "read_id").where("distance <= _most").drop("_most")
+        bound = distance_for_identity(F.length("seq"), F.lit(config.identity))
+        k = int(reads.agg(F.max(bound)).first()[0] or 0)
+
+    def find(own: DataFrame, errors: int) -> DataFrame:
+        if isinstance(refs, SeedIndex):
+            return seed_index.found(own, refs, errors, config.metric)
+        return matching.found(own, refs, errors, config.metric)
+
+    if config.beyond is not None and bound is None:
+        return matching.best_match(reads, k, config.beyond, config.metric, find)
+    hits = find(reads, k)
+    if k:
+        hits = matching.nonredundant(hits, k) if config.metric == "edit" else matching.one_strand(hits)
+    if bound is not None:
+        hits = hits.join(reads.select("read_id", bound.alias("_most")), "read_id").where("distance <= _most").drop("_most")
     return hits if config.beyond is None else reporting.best_strata(hits, config.beyond)
 
 
