@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import sequence
 from strandwise.operators import bwt, intervals, long_text, matching, reporting, scan, schemes, seed_index
+from strandwise.sources import sequences
 from strandwise.sources.storage import new_path, written
 
 GRAM = 3
@@ -93,6 +94,23 @@ def _indexed(k, metric):
     return lambda spark, sf: seed_index.match(reads(spark, sf), _index(spark, sf), k, metric, most_letters=0)
 
 
+def _fasta_references(spark, sf):
+    """References as FASTA files and back, in small ranges of bytes."""
+    path = new_path(spark, "fasta")
+    sequences.write_fasta(ref_seqs(spark, sf), path)
+    return sequences.read_reference_fasta(spark, path, range_bytes=1 << 16, kind="fasta")
+
+
+def _fastq_reads(spark, sf):
+    """Reads as FASTQ files and back, each with the read before it in the input: order is kept."""
+    path = new_path(spark, "fastq")
+    own = reads(spark, sf)
+    sequences.write_fastq(own.withColumn("qual", F.translate("seq", "ACGT", "@+>I")), path)
+    back = sequences.read_fastq(spark, path, with_place=True, range_bytes=1 << 10, kind="fastq")
+    number = intervals.running_sum(back.withColumn("one", F.lit(1).cast("long")), "at", "one", "number")
+    return number.select("number", "read_id", "seq", "qual")
+
+
 def _trimmed(cost):
     return lambda spark, sf: intervals.trimmed_match(reads(spark, sf), ref_seqs(spark, sf), 1, trim_cost=cost)
 
@@ -292,6 +310,8 @@ QUERIES = {
     "indexed_exact": _indexed(0, "hamming"),
     "indexed_hamming_k1": _indexed(1, "hamming"),
     "indexed_edit_k1": _indexed(1, "edit"),
+    "fasta_references": _fasta_references,
+    "fastq_reads": _fastq_reads,
     "trimmed_hits": _trimmed(True),
     "trimmed_hits_free": _trimmed(False),
     "phi_intervals": _phi_intervals,
@@ -492,6 +512,8 @@ ORACLES = {
     "indexed_exact": f"WITH {_EXACT} SELECT {_HIT} FROM exact",
     "indexed_hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
     "indexed_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
+    "fasta_references": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY seq_idx) - 1 AS seq_idx, name, seq, length(seq)::BIGINT AS len FROM refs",
+    "fastq_reads": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS number, read_id, seq, translate(seq, 'ACGT', '@+>I') AS qual FROM reads",
     "trimmed_hits": _trimmed_sql(1, True),
     "trimmed_hits_free": _trimmed_sql(1, False),
     "phi_intervals": f"""WITH {_SUFFIXES}, r AS (SELECT text_id, run, arg_min(sa, i) AS f, arg_max(sa, i) AS l, any_value(n) AS n FROM runs GROUP BY text_id, run)

@@ -57,12 +57,13 @@ def _bound_batches(spark) -> None:
 def pieces(refs: DataFrame, left: int, right: int) -> DataFrame:
     """(seq_idx, first, lead, own, body): PIECE letters from first on, with up to left letters before and right after them.
 
-    lead is how many stand before, own how many are the piece's. Dealt over all tasks by sequence and place.
+    lead is how many stand before, own how many are the piece's. Cut where the references are read, then dealt over all tasks by
+    sequence and place: one shuffle.
     """
     _bound_batches(refs.sparkSession)
     letters = refs.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
     parts = max(2 * refs.sparkSession.sparkContext.defaultParallelism, -(-letters // TASK_BYTES))
-    cut = refs.select("seq_idx", "seq").repartition(parts, "seq_idx").mapInArrow(partial(_cut, left=left, right=right), "seq_idx long, first long, lead int, own int, body binary")
+    cut = refs.select("seq_idx", "seq").mapInArrow(partial(_cut, left=left, right=right), "seq_idx long, first long, lead int, own int, body binary")
     return cut.repartition(parts, "seq_idx", "first")
 
 

@@ -4,27 +4,20 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import ascii_upper, header_name, mask_ambiguous
+from strandwise.operators.intervals import running_sum
+from strandwise.sources import datasource
+from strandwise.sources.datasource import FASTA_ENDINGS, FASTQ_ENDINGS
 
-FASTA_ENDINGS, FASTQ_ENDINGS = ("fasta", "fa", "fna", "FASTA", "FA"), ("fq", "fastq")
 
-
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(at, header, body) of each FASTA record; at orders records within their file. A record may span many lines."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    raw = raw.where(F.length(F.trim("value")) > 0).withColumn("value", F.regexp_replace("value", "^[>@]|\r", ""))
-    header = F.substring_index("value", "\n", 1)
-    return raw.select(F.struct("file", "block", "row").alias("at"), header.alias("header"), F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), "\\s", "").alias("body"))
-
-
-def read_reference_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq_idx (from 0, in file order), name (header up to the first space), seq (upper case; empty records stay), len."""
-    records = _records(spark, path)
-    order = records.select("at", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("seq_idx"))
-    out = records.join(order, "at").select("seq_idx", header_name(F.col("header")).alias("name"), ascii_upper(F.col("body")).alias("seq"))
+def read_reference_fasta(spark: SparkSession, path: str, *, range_bytes: int = datasource.RANGE_BYTES, kind: str = "") -> DataFrame:
+    """seq_idx (from 0, in order of file and place), name (header up to the first space), seq (upper case; empty records stay), len."""
+    records = datasource.read(spark, path, range_bytes, kind).withColumn("one", F.lit(1).cast("long"))
+    order = running_sum(records.select("at", "one"), "at", "one", "seq_idx").select(F.col("at").alias("_at"), "seq_idx")
+    out = records.join(order, F.col("at") == F.col("_at")).select("seq_idx", header_name(F.col("header")).alias("name"), ascii_upper(F.col("seq")).alias("seq"))
     return out.withColumn("len", F.length("seq").cast("long"))
 
 
@@ -35,29 +28,27 @@ def read_text_reference(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("seq_idx"), F.lit(name).alias("name"), seq.alias("seq")).withColumn("len", F.length("seq").cast("long"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id (without its first character), seq (N for all but ACGT), qual, from groups of four lines.
+def read_fastq(spark: SparkSession, path: str, *, with_place: bool = False, range_bytes: int = datasource.RANGE_BYTES, kind: str = "") -> DataFrame:
+    """read_id (header without its first character), seq (N for all but ACGT), qual, from records of four lines.
 
-    Lines are numbered from counts of the lines of each block, so a file may be split anywhere.
+    Files are read in ranges of bytes, without a shuffle. With with_place also at, by which reads stand in input order.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.join(blocks.withColumn("before", before), ["file", "block"]).withColumn("line", F.col("before") + F.col("row") - F.col("first"))
-    four = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*(F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("header", "seq", "plus", "qual"))))
-    wrong = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("header", F.lit("no header"))))
-    header = F.when(F.col("header").startswith("@") & F.col("qual").isNotNull(), F.col("header")).otherwise(wrong)
-    return four.withColumn("header", header).select(F.expr("substring(header, 2)").alias("read_id"), mask_ambiguous(F.trim("seq")).alias("seq"), F.trim("qual").alias("qual"))
-
-
-def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Reads by file ending: FASTQ, or FASTA with an empty quality."""
-    ending = path.rsplit(".", 1)[-1]
+    return _reads(datasource.read(spark, path, range_bytes, kind), F.col("header"), with_place)
+
+
+def _reads(records: DataFrame, read_id: Column, with_place: bool = False) -> DataFrame:
+    place = [F.col("at")] if with_place else []
+    return records.select(*place, read_id.alias("read_id"), mask_ambiguous(F.col("seq")).alias("seq"), "qual")
+
+
+def read_reads(spark: SparkSession, path: str, *, with_place: bool = False) -> DataFrame:
+    """Reads by file ending (also before .gz): FASTQ, or FASTA with an empty quality."""
+    ending = datasource.ending(path)
     if ending in FASTQ_ENDINGS:
-        return read_fastq(spark, path)
+        return read_fastq(spark, path, with_place=with_place)
     if ending not in FASTA_ENDINGS:
         raise ValueError(f"{path}: reads must end in one of {', '.join(FASTA_ENDINGS + FASTQ_ENDINGS)}")
-    return _records(spark, path).select(header_name(F.col("header")).alias("read_id"), mask_ambiguous(F.col("body")).alias("seq"), F.lit("").alias("qual"))
+    return _reads(datasource.read(spark, path), header_name(F.col("header")), with_place)
 
 
 def reference_path(base: str) -> tuple[str, str]:
@@ -70,6 +61,17 @@ def reference_path(base: str) -> tuple[str, str]:
     raise FileNotFoundError(f"neither {base}.txt nor {base} with any of {', '.join(FASTA_ENDINGS)}")
 
 
+def write_fasta(refs: DataFrame, path: str, width: int = 60) -> None:
+    """refs(seq_idx, name, seq) in order of seq_idx, letters in lines of width; a range sort, no single task."""
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    refs.orderBy("seq_idx").select(F.concat(F.lit(">"), "name", F.lit("\n"), lines).alias("line")).write.mode("overwrite").text(path)
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """reads(read_id, seq, qual) in four lines each, in order of read_id."""
+    reads.orderBy("read_id").select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("line")).write.mode("overwrite").text(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """lines(kind, key, line) as text in order of kind (headers first) and key; a range sort, no single task."""
     lines.orderBy("kind", "key", "line").select("line").write.mode("overwrite").text(path)
