@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence
-from strandwise.operators import bwt, intervals, long_text, matching, reporting, scan, schemes, seed_index
+from strandwise.operators import bwt, growing, intervals, long_text, matching, reporting, scan, schemes, seed_index
 from strandwise.sources import sequences
 from strandwise.sources.storage import new_path, written
 
@@ -94,6 +94,17 @@ def _indexed(k, metric):
     return lambda spark, sf: seed_index.match(reads(spark, sf), _index(spark, sf), k, metric, most_letters=0)
 
 
+def _grown(k, metric):
+    """Parts that grow by the counts of the references' windows."""
+
+    def query(spark, sf):
+        own = reads(spark, sf)
+        most = matching.longest(own) + k
+        return growing.match(own, written(scan.pieces(ref_seqs(spark, sf), most, most), "pieces"), k, metric)
+
+    return query
+
+
 def _fasta_references(spark, sf):
     """References as FASTA files and back, in small ranges of bytes."""
     path = new_path(spark, "fasta")
@@ -310,6 +321,8 @@ QUERIES = {
     "indexed_exact": _indexed(0, "hamming"),
     "indexed_hamming_k1": _indexed(1, "hamming"),
     "indexed_edit_k1": _indexed(1, "edit"),
+    "grown_hamming_k2": _grown(2, "hamming"),
+    "grown_edit_k1": _grown(1, "edit"),
     "fasta_references": _fasta_references,
     "fastq_reads": _fastq_reads,
     "trimmed_hits": _trimmed(True),
@@ -512,6 +525,8 @@ ORACLES = {
     "indexed_exact": f"WITH {_EXACT} SELECT {_HIT} FROM exact",
     "indexed_hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
     "indexed_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
+    "grown_hamming_k2": f"WITH {_hits(2)} SELECT {_HIT} FROM hits",
+    "grown_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
     "fasta_references": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY seq_idx) - 1 AS seq_idx, name, seq, length(seq)::BIGINT AS len FROM refs",
     "fastq_reads": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS number, read_id, seq, translate(seq, 'ACGT', '@+>I') AS qual FROM reads",
     "trimmed_hits": _trimmed_sql(1, True),

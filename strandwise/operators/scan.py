@@ -84,10 +84,17 @@ def _cut(batches, left: int, right: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
+def uniform(text: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(begin, end, begin of the seed) of each of so many even parts."""
+    m = len(text)
+    return [(i * m // parts, (i + 1) * m // parts, i * m // parts) for i in range(parts)]
+
+
 class Patterns:
-    """All patterns of both strands, and the seeds of their parts by length."""
+    """All patterns of both strands, and the seeds of their parts by length. parts(text, n) cuts a text into n parts without gaps, in
+    order, and says where the seed of each begins."""
 
-    def __init__(self, reads: list[tuple[str, str]], k: int):
+    def __init__(self, reads: list[tuple[str, str]], k: int, parts=None):
         self.k, self.names, self.strand, texts = k, [], [], []
         for name, seq in reads:
             raw = seq.encode("ascii", "replace")
@@ -111,10 +118,9 @@ class Patterns:
             if m <= k:  # fewer letters than parts: every place is within k errors
                 self.short.append(i)
                 continue
-            for part in range(k + 1):
-                lo, hi = part * m // (k + 1), (part + 1) * m // (k + 1)
+            for part, (lo, hi, at) in enumerate((parts or uniform)(t, k + 1)):
                 n = min(LONGEST_SEED, hi - lo)
-                seeds.setdefault(n, []).append((int(packed(t[lo : lo + n], n)[0]), i, lo, part))
+                seeds.setdefault(n, []).append((int(packed(t[at : at + n], n)[0]), i, at, part))
         self.seeds = {}
         for n, found in seeds.items():
             key, pattern, begin, part = (np.array(c) for c in zip(*found))  # by pattern
@@ -268,10 +274,10 @@ def scan(reads: DataFrame, refs: DataFrame, k: int, metric: str, longest: int) -
     return match_pieces(pieces(refs, longest + k, longest + k), rows, k, metric)
 
 
-def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str) -> DataFrame:
-    """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors."""
+def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str, parts=None) -> DataFrame:
+    """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors. parts: see Patterns."""
     _bound_batches(cut.sparkSession)
-    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k))
+    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k, parts))
     return cut.select("seq_idx", "first", "lead", "own", "body").mapInArrow(partial(_match, shared=shared, k=k, metric=metric), _HIT)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import bwt, intervals, long_text, matching, seed_index
+from strandwise.operators import bwt, growing, intervals, long_text, matching, scan, seed_index
 from strandwise.plans.mapping import MapConfig, map_reads
 from strandwise.sources.storage import new_path
 from test_matching import HIT, edit_distance, frames, hamming_brute, rc, starts_brute, strands, thin_brute
@@ -246,3 +246,31 @@ def test_common_extensions():
 
     assert bwt.common_extensions(text.encode(), a, b).tolist() == [same(i, j) for i, j in zip(a.tolist(), b.tolist())]
     assert bwt.common_extensions(b"", np.array([0]), np.array([0])).tolist() == [0]
+
+
+def test_parts_grow_by_selectivity():
+    counts = np.zeros(5**3, np.int64)
+    number = lambda s: int(scan.packed(np.frombuffer(s, np.uint8), 3)[0])
+    counts[number(b"AAA")], counts[number(b"AAC")], counts[number(b"CCC")] = 100, 7, 1
+    text = np.frombuffer(b"AAAAAAAACCCGTGTGT", np.uint8)
+    parts = growing.grown_parts(text, 3, counts, 3)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and all(b - a >= 3 for a, b in parts)
+    assert parts[0][1] > 5  # the frequent letters are in as few parts as may be
+    assert growing.grown_parts(text[:8], 3, counts, 3) == [(0, 2), (2, 5), (5, 8)]
+    assert growing.rarest_seed(text, 0, 17, counts, 3) == 1 or counts[scan.packed(text, 3)][growing.rarest_seed(text, 0, 17, counts, 3) :].min() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_grown_parts_find_the_same_with_fewer_candidates(spark, k):
+    rng = random.Random(12)
+    refs = ["".join(rng.choice("AAAAAAAT") for _ in range(400)) + "".join(rng.choice("ACGT") for _ in range(150)) for _ in range(8)]
+    reads = [(f"r{i}", refs[i % 8][b : b + 33]) for i, b in enumerate(rng.randrange(360, 420) for _ in range(24))]
+    r, f = frames(spark, reads, refs)
+    pieces = scan.pieces(f, 40, 40).persist()
+    assert sorted(rows(growing.match(r, pieces, k, "hamming", length=4))) == sorted(hamming_brute(reads, refs, k))
+    full = matching.edit_match(r, f, k)
+    assert sorted(rows(growing.match(r, pieces, k, "edit", length=4))) == sorted(rows(full))
+    counts = growing.window_counts(pieces, 4)
+    even, grown = (growing.count_candidates(pieces, reads, k, p) for p in (None, growing.seeds_by_count(counts, 4)))
+    assert 0 < grown < even
+    pieces.unpersist()
