@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence
-from strandwise.operators import bwt, growing, intervals, long_text, matching, reporting, scan, schemes, seed_index
+from strandwise.operators import bwt, growing, intervals, long_text, matching, reporting, scan, schemes, searching, seed_index
 from strandwise.sources import sequences
 from strandwise.sources.storage import new_path, written
 
@@ -105,6 +105,25 @@ def _grown(k, metric):
     return query
 
 
+STRATEGIES = ("kuch1", "kuch2", "kianfar", "01*0", "pigeon", "minU")
+
+
+def _searched(k, strategy):
+    """By the seeds of a search scheme."""
+
+    def query(spark, sf):
+        own = reads(spark, sf)
+        most = matching.longest(own) + k
+        return searching.match(own, scan.pieces(ref_seqs(spark, sf), most, most), k, strategy)
+
+    return query
+
+
+def _strategy_costs(spark, sf):
+    pieces = written(scan.pieces(ref_seqs(spark, sf), 0, scan.LONGEST_SEED), "pieces")
+    return searching.strategy_costs(reads(spark, sf), pieces, 2, STRATEGIES)
+
+
 def _fasta_references(spark, sf):
     """References as FASTA files and back, in small ranges of bytes."""
     path = new_path(spark, "fasta")
@@ -323,6 +342,9 @@ QUERIES = {
     "indexed_edit_k1": _indexed(1, "edit"),
     "grown_hamming_k2": _grown(2, "hamming"),
     "grown_edit_k1": _grown(1, "edit"),
+    "scheme_hamming_k2": _searched(2, "kuch1"),
+    "scheme_hamming_k3": _searched(3, "minU"),
+    "strategy_costs": _strategy_costs,
     "fasta_references": _fasta_references,
     "fastq_reads": _fastq_reads,
     "trimmed_hits": _trimmed(True),
@@ -392,6 +414,18 @@ SELECT read_id, strand, seq_idx, begin, "end", distance, false AS trimmed FROM p
 UNION SELECT read_id, strand, CASE WHEN on_ THEN next_idx ELSE seq_idx END, CASE WHEN on_ THEN f - len ELSE f END, CASE WHEN on_ THEN t - len ELSE t END, {lost}, true FROM cut WHERE t > f AND {lost} <= {k}"""
 
 
+def _costs_sql(k: int) -> str:
+    """Windows of each seed's length that are within its errors of it; every window is met with every different seed of its length."""
+    wanted = [(s, len(schemes.build(s, k)[0].order), *x) for s in STRATEGIES for x in searching.stretches(schemes.build(s, k))]
+    values = ", ".join(f"('{s}', {p}, {a}, {b}, {e})" for s, p, a, b, e in wanted)
+    return f"""WITH {_SEQS}, st(strategy, parts, a, b, e) AS (VALUES {values}),
+s AS (SELECT strategy, e, substr(p, (a * length(p)) // parts + 1, least({scan.LONGEST_SEED}, ((b + 1) * length(p)) // parts - (a * length(p)) // parts)) AS seed FROM pats, st WHERE length(p) >= parts),
+u AS (SELECT DISTINCT seed, e, length(seed) AS n FROM s),
+w AS (SELECT n, substr(seq, pos + 1, n) AS kmer, count(*) AS c FROM (SELECT seq, n, unnest(range(length(seq) - n + 1)) AS pos FROM refs, (SELECT DISTINCT n FROM u) WHERE length(seq) >= n) GROUP BY ALL),
+c AS (SELECT seed, e, sum(c) AS c FROM u JOIN w USING (n) WHERE hamming(seed, kmer) <= e GROUP BY seed, e)
+SELECT strategy, count(*)::BIGINT AS seeds, coalesce(sum(c), 0)::BIGINT AS places FROM s LEFT JOIN c USING (seed, e) GROUP BY strategy"""
+
+
 def _thinned(k: int) -> str:
     """The greedy filter as a fold over each read's sorted list: the last kept hit and those before it."""
     return f"""{_edit_sql(k)},
@@ -527,6 +561,9 @@ ORACLES = {
     "indexed_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
     "grown_hamming_k2": f"WITH {_hits(2)} SELECT {_HIT} FROM hits",
     "grown_edit_k1": f"WITH {_thinned(1)} SELECT {_HIT} FROM hits",
+    "scheme_hamming_k2": f"WITH {_hits(2)} SELECT {_HIT} FROM hits",
+    "scheme_hamming_k3": f"WITH {_hits(3)} SELECT {_HIT} FROM hits",
+    "strategy_costs": _costs_sql(2),
     "fasta_references": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY seq_idx) - 1 AS seq_idx, name, seq, length(seq)::BIGINT AS len FROM refs",
     "fastq_reads": f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS number, read_id, seq, translate(seq, 'ACGT', '@+>I') AS qual FROM reads",
     "trimmed_hits": _trimmed_sql(1, True),

@@ -83,12 +83,18 @@ def rarest_seed(text: np.ndarray, begin: int, end: int, counts: np.ndarray, leng
 
 
 def seeds_by_count(counts: np.ndarray, length: int, weights: list[int] | None = None):
-    """A function for scan.Patterns: the parts of a text and where their seeds begin."""
+    """The seeds of grown parts, for scan.Patterns."""
+    return partial(_seeds, counts=counts, length=length, weights=weights)
 
-    def parts(text: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-        return [(lo, hi, rarest_seed(text, lo, hi, counts, length)) for lo, hi in grown_parts(text, n, counts, length, weights)]
 
-    return parts
+def _seeds(text: np.ndarray, k: int, counts: np.ndarray, length: int, weights: list[int] | None):
+    if len(text) <= k:
+        return None
+    out = []
+    for part, (lo, hi) in enumerate(grown_parts(text, k + 1, counts, length, weights)):
+        at = rarest_seed(text, lo, hi, counts, length)
+        out.append((text[at : min(hi, at + scan.LONGEST_SEED)], at, part))
+    return out
 
 
 def match(reads: DataFrame, pieces: DataFrame, k: int, metric: str = "edit", *, length: int = WINDOW, weights: list[int] | None = None) -> DataFrame:
@@ -101,16 +107,3 @@ def match(reads: DataFrame, pieces: DataFrame, k: int, metric: str = "edit", *,
     if metric == "edit" and k:
         return matching.nonredundant(hits, k)
     return hits if k == 0 else matching.one_strand(hits)
-
-
-def count_candidates(pieces: DataFrame, reads: list[tuple[str, str]], k: int, parts=None) -> int:
-    """How many places seeds put the reads at, before any is verified: what a choice of parts costs."""
-    shared = pieces.sparkSession.sparkContext.broadcast(scan.Patterns(reads, k, parts))
-
-    def count(batches):
-        for batch in batches:
-            letters = np.frombuffer(b"\0".join(batch.column("body").to_pylist()) + b"\0", np.uint8)
-            n = sum(len(which) for which, _ in scan.candidates(letters, shared.value, False))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return pieces.select("body").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0

@@ -84,17 +84,20 @@ def _cut(batches, left: int, right: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
-def uniform(text: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
-    """(begin, end, begin of the seed) of each of so many even parts."""
-    m = len(text)
-    return [(i * m // parts, (i + 1) * m // parts, i * m // parts) for i in range(parts)]
+def even_seeds(text: np.ndarray, k: int):
+    """(letters, begin, errors that may stand before it) of the seed of each of k + 1 even parts; None for a text of fewer letters."""
+    m, parts = len(text), k + 1
+    if m < parts:
+        return None
+    cuts = [i * m // parts for i in range(parts + 1)]
+    return [(text[lo : min(hi, lo + LONGEST_SEED)], lo, i) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
 
 
 class Patterns:
-    """All patterns of both strands, and the seeds of their parts by length. parts(text, n) cuts a text into n parts without gaps, in
-    order, and says where the seed of each begins."""
+    """All patterns of both strands, and their seeds by length. seeds(text, k) gives what even_seeds does: at least one of a text's
+    seeds stands in every string within k errors of it, behind at most so many errors."""
 
-    def __init__(self, reads: list[tuple[str, str]], k: int, parts=None):
+    def __init__(self, reads: list[tuple[str, str]], k: int, seeds=None):
         self.k, self.names, self.strand, texts = k, [], [], []
         for name, seq in reads:
             raw = seq.encode("ascii", "replace")
@@ -111,18 +114,17 @@ class Patterns:
         for m, own in self.by_size.items():
             self.row[own] = np.arange(len(own))
             self.table[m] = np.stack([texts[i] for i in own.tolist()])
-        seeds: dict[int, list[tuple[int, int, int, int]]] = {}
+        found_seeds: dict[int, list[tuple[int, int, int, int]]] = {}
         self.short = []
         for i, t in enumerate(texts):
-            m = len(t)
-            if m <= k:  # fewer letters than parts: every place is within k errors
+            own = (seeds or even_seeds)(t, k)
+            if own is None:  # every place is tried
                 self.short.append(i)
                 continue
-            for part, (lo, hi, at) in enumerate((parts or uniform)(t, k + 1)):
-                n = min(LONGEST_SEED, hi - lo)
-                seeds.setdefault(n, []).append((int(packed(t[at : at + n], n)[0]), i, at, part))
+            for letters, at, before in own:
+                found_seeds.setdefault(len(letters), []).append((int(packed(letters, len(letters))[0]), i, at, before))
         self.seeds = {}
-        for n, found in seeds.items():
+        for n, found in found_seeds.items():
             key, pattern, begin, part = (np.array(c) for c in zip(*found))  # by pattern
             keys, which = np.unique(key.astype(np.uint64), return_inverse=True)
             self.seeds[n] = keys, which, pattern.astype(np.int64), begin.astype(np.int64), part.astype(np.int64)
@@ -274,13 +276,37 @@ def scan(reads: DataFrame, refs: DataFrame, k: int, metric: str, longest: int) -
     return match_pieces(pieces(refs, longest + k, longest + k), rows, k, metric)
 
 
-def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str, parts=None) -> DataFrame:
-    """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors. parts: see Patterns."""
+def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str, seeds=None) -> DataFrame:
+    """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors. seeds: see Patterns."""
     _bound_batches(cut.sparkSession)
-    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k, parts))
+    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k, seeds))
     return cut.select("seq_idx", "first", "lead", "own", "body").mapInArrow(partial(_match, shared=shared, k=k, metric=metric), _HIT)
 
 
+def _places(batches, shared):
+    """The number of places within pieces' own letters where seeds stand, and where texts without seeds are tried."""
+    for batch in batches:
+        total = 0
+        for lead, own, body in zip(*(batch.column(c).to_pylist() for c in ("lead", "own", "body"))):
+            letters = np.frombuffer(body, np.uint8)
+            total += own * len(shared.value.short)
+            for n, (keys, which, *_) in shared.value.seeds.items():
+                if len(letters) < n:
+                    continue
+                kmers = packed(letters, n)[lead : lead + own]
+                at = np.minimum(np.searchsorted(keys, kmers), len(keys) - 1)
+                count = np.bincount(at[keys[at] == kmers], minlength=len(keys))
+                total += int(count[which].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+
+
+def count_places(cut: DataFrame, rows: list[tuple[str, str]], k: int, seeds=None) -> int:
+    """What a choice of seeds costs: at how many places they stand, before any is verified. Pieces have LONGEST_SEED letters or more behind them."""
+    _bound_batches(cut.sparkSession)
+    shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k, seeds))
+    return cut.select("lead", "own", "body").mapInArrow(partial(_places, shared=shared), "n long").agg(F.sum("n")).first()[0] or 0
+
+
 _COUNT = "kmer long, n long, seq_idx long, pos long"
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import bwt, growing, intervals, long_text, matching, scan, seed_index
+from strandwise.operators import bwt, growing, intervals, long_text, matching, scan, schemes, searching, seed_index
 from strandwise.plans.mapping import MapConfig, map_reads
 from strandwise.sources.storage import new_path
 from test_matching import HIT, edit_distance, frames, hamming_brute, rc, starts_brute, strands, thin_brute
@@ -271,6 +271,27 @@ def test_grown_parts_find_the_same_with_fewer_candidates(spark, k):
     full = matching.edit_match(r, f, k)
     assert sorted(rows(growing.match(r, pieces, k, "edit", length=4))) == sorted(rows(full))
     counts = growing.window_counts(pieces, 4)
-    even, grown = (growing.count_candidates(pieces, reads, k, p) for p in (None, growing.seeds_by_count(counts, 4)))
+    even, grown = (scan.count_places(pieces, reads, k, p) for p in (None, growing.seeds_by_count(counts, 4)))
     assert 0 < grown < even
     pieces.unpersist()
+
+
+@pytest.mark.parametrize("strategy, k", [("minU", 6), ("kuch1", 4), ("01*0", 2), ("kianfar", 4), ("pigeon", 1)])
+def test_schemes_that_run_are_brute_force(spark, strategy, k):
+    reads, refs = case(4, reads=10, refs=4)
+    reads += [("long", refs[0][3:60]), ("other", rc(refs[1][10:70]))]
+    r, f = frames(spark, reads, refs)
+    got = rows(searching.match(r, scan.pieces(f, 80, 80), k, strategy))
+    assert sorted(got) == sorted(hamming_brute(reads, refs, k))
+
+
+def test_stretches_and_neighbours():
+    for strategy in ("kuch1", "kuch2", "kianfar", "01*0", "pigeon", "minU"):
+        for k in range(1, 5):
+            for lo, hi, errors in searching.stretches(schemes.build(strategy, k)):
+                assert lo <= hi and errors <= searching.UTMOST_ERRORS
+    letters = np.frombuffer(b"ACGTA", np.uint8)
+    found = {bytes(x) for x in searching.neighbours(letters, 2)}
+    assert len(found) == 1 + 15 + 90 == len(searching.neighbours(letters, 2))
+    with pytest.raises(ValueError, match="first part"):
+        searching.stretches(schemes.build("naive", 3))
