@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from strandwise.functions.sequence import fill_ambiguous
 from strandwise.operators import reporting
+from strandwise.operators.scan import Counters
 from strandwise.plans import mapping
 from strandwise.sources import sequences
 
@@ -52,13 +53,14 @@ def main(argv: list[str] | None = None) -> None:
     config = mapping.MapConfig(metric=args.metric, k=args.max_distance, strategy=args.search_scheme, mode=args.mode, identity=args.identity, folder=args.custom or args.dynamic_selection)
     index, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file)
     refs = index.refs
-    hits = mapping.map_reads(reads, index, config).cache()
+    counters = Counters(spark)
+    hits = mapping.map_reads(reads, index, config, counters).cache()
     if args.output_file.endswith(".sam"):
         mapping.write_sam(hits, reads, refs, args.output_file, unmapped=not args.no_unmapped, xa=args.XA_tag)
     else:
         mapping.write_rhs(hits, reads, refs, args.output_file)
     stats = reporting.mapping_stats(hits, reads).first().asDict()
-    log.info(", ".join(f"{k}: {v}" for k, v in stats.items()))
+    log.info(", ".join(f"{k}: {v}" for k, v in {**stats, **counters.values()}.items()))
 
 
 if __name__ == "__main__":

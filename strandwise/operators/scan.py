@@ -93,6 +93,21 @@ def even_seeds(text: np.ndarray, k: int):
     return [(text[lo : min(hi, lo + LONGEST_SEED)], lo, i) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
 
 
+class Counters:
+    """What runs that were given it have met, once their results are written: places where seeds stand, shifts for errors and flanks included; different
+    candidates; and those of them that are hits. A task that runs twice counts twice."""
+
+    NAMES = ("places", "candidates", "verified")
+
+    def __init__(self, spark):
+        for name in self.NAMES:
+            setattr(self, name, spark.sparkContext.accumulator(0))
+
+    def values(self) -> dict[str, int]:
+        found = {name: getattr(self, name).value for name in self.NAMES}
+        return {**found, "dropped": found["candidates"] - found["verified"]}
+
+
 class Patterns:
     """All patterns of both strands, and their seeds by length. seeds(text, k) gives what even_seeds does: at least one of a text's
     seeds stands in every string within k errors of it, behind at most so many errors."""
@@ -225,7 +240,7 @@ def _some(batches):
             yield batch.slice(lo, hi - lo)
 
 
-def _match(batches, shared, k: int, metric: str):
+def _match(batches, shared, k: int, metric: str, counters=None):
     patterns = shared.value
     names = np.array(patterns.names, object)
     strand = np.array(patterns.strand, object)
@@ -237,6 +252,8 @@ def _match(batches, shared, k: int, metric: str):
         letters = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
         base = np.cumsum(sizes + 1) - sizes - 1
         for which, begin in candidates(letters, patterns, metric == "edit"):
+            if counters is not None:
+                counters.places.add(len(which))
             # begins before the array drop out here, and repeats
             keep = (begin >= 0) & (begin < len(letters))
             keys = np.sort(which[keep] * len(letters) + begin[keep])
@@ -248,6 +265,8 @@ def _match(batches, shared, k: int, metric: str):
             if metric != "edit" or not k:
                 inside &= begin + patterns.size[which] <= end
             which, begin, row, end = which[inside], begin[inside], row[inside], end[inside]
+            if counters is not None:
+                counters.candidates.add(len(which))
             for m in np.unique(patterns.size[which]).tolist():
                 some = np.flatnonzero(patterns.size[which] == m)
                 block = max(1, GATHERED // (m + 2 * k + 1))
@@ -261,6 +280,8 @@ def _match(batches, shared, k: int, metric: str):
                         width = np.full(len(part), m)
                     hit = d <= k
                     part, d, width = part[hit], d[hit], width[hit]
+                    if counters is not None:
+                        counters.verified.add(len(part))
                     if len(part):
                         start = first[row[part]] - lead[row[part]] + begin[part] - base[row[part]]
                         yield pa.RecordBatch.from_arrays(
@@ -276,11 +297,11 @@ def scan(reads: DataFrame, refs: DataFrame, k: int, metric: str, longest: int) -
     return match_pieces(pieces(refs, longest + k, longest + k), rows, k, metric)
 
 
-def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str, seeds=None) -> DataFrame:
+def match_pieces(cut: DataFrame, rows: list[tuple[str, str]], k: int, metric: str, seeds=None, counters: Counters | None = None) -> DataFrame:
     """scan's hits of (read_id, seq) rows in pieces whose flanks hold the longest read and its errors. seeds: see Patterns."""
     _bound_batches(cut.sparkSession)
     shared = cut.sparkSession.sparkContext.broadcast(Patterns(rows, k, seeds))
-    return cut.select("seq_idx", "first", "lead", "own", "body").mapInArrow(partial(_match, shared=shared, k=k, metric=metric), _HIT)
+    return cut.select("seq_idx", "first", "lead", "own", "body").mapInArrow(partial(_match, shared=shared, k=k, metric=metric, counters=counters), _HIT)
 
 
 def _places(batches, shared):

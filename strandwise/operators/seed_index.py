@@ -146,8 +146,8 @@ def match(reads: DataFrame, index: SeedIndex, k: int, metric: str = "edit", *, m
     return hits if k == 0 else matching.one_strand(hits)
 
 
-def found(reads: DataFrame, index: SeedIndex, k: int, metric: str, *, most_letters: int | None = None) -> DataFrame:
-    """match without its last step: hits of both strands, or every start with edit distances."""
+def found(reads: DataFrame, index: SeedIndex, k: int, metric: str, *, most_letters: int | None = None, counters: scan.Counters | None = None) -> DataFrame:
+    """match without its last step: hits of both strands, or every start with edit distances. counters count what scans meet."""
     if metric not in ("edit", "hamming"):
         raise ValueError("metric must be edit or hamming")
     size = F.length("seq")
@@ -157,7 +157,7 @@ def found(reads: DataFrame, index: SeedIndex, k: int, metric: str, *, most_lette
     if longest + k > index.flank:
         raise ValueError(f"reads of {longest} letters with {k} errors need an index with a flank of as many letters; build it anew")
     if letters <= most_letters:
-        hits = _scanned(reads, index, k, metric, longest)
+        hits = _scanned(reads, index, k, metric, counters)
     else:
         short = size < index.seed * (k + 1)
         hits = _joined(reads.where(~short), index, k, metric)
@@ -166,10 +166,10 @@ def found(reads: DataFrame, index: SeedIndex, k: int, metric: str, *, most_lette
         groups = -(-left // scan.MOST_LETTERS)
         for group in range(groups):  # as many as the short reads' letters need
             part = few.where(F.pmod(F.xxhash64("read_id", "seq"), F.lit(groups)) == group)
-            hits = hits.unionByName(_scanned(part, index, k, metric, longest))
+            hits = hits.unionByName(_scanned(part, index, k, metric, counters))
     return hits
 
 
-def _scanned(reads: DataFrame, index: SeedIndex, k: int, metric: str, longest: int) -> DataFrame:
+def _scanned(reads: DataFrame, index: SeedIndex, k: int, metric: str, counters: scan.Counters | None) -> DataFrame:
     rows = [(r.read_id, r.seq) for r in reads.select("read_id", "seq").where(F.length("seq") > 0).collect()]
-    return scan.match_pieces(index.pieces, rows, k, metric)
+    return scan.match_pieces(index.pieces, rows, k, metric, counters=counters)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import distance_for_identity
 from strandwise.operators import matching, reporting, schemes, seed_index
+from strandwise.operators.scan import Counters
 from strandwise.operators.seed_index import SeedIndex
 
 
@@ -63,11 +64,11 @@ def read_index(spark: SparkSession, path: str) -> SeedIndex:
     return seed_index.load(spark, path)
 
 
-def map_reads(reads: DataFrame, refs: DataFrame | SeedIndex, config: MapConfig | None = None) -> DataFrame:
+def map_reads(reads: DataFrame, refs: DataFrame | SeedIndex, config: MapConfig | None = None, counters: Counters | None = None) -> DataFrame:
     """Hits (read_id, strand, seq_idx, begin, end, distance) of reads(read_id, seq) in refs(seq_idx, name, seq) or an index of them.
 
     With an index no reference is shuffled. In the best modes reads are searched in rounds of growing k, except
-    where identity bounds errors by length: then all are searched once.
+    where identity bounds errors by length: then all are searched once. counters, with an index, count what scans meet.
     """
     config = config or MapConfig()
     k, bound = config.k, None
@@ -77,7 +78,7 @@ def map_reads(reads: DataFrame, refs: DataFrame | SeedIndex, config: MapConfig |
 
     def find(own: DataFrame, errors: int) -> DataFrame:
         if isinstance(refs, SeedIndex):
-            return seed_index.found(own, refs, errors, config.metric)
+            return seed_index.found(own, refs, errors, config.metric, counters=counters)
         return matching.found(own, refs, errors, config.metric)
 
     if config.beyond is not None and bound is None:

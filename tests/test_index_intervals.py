@@ -295,3 +295,14 @@ def test_stretches_and_neighbours():
     assert len(found) == 1 + 15 + 90 == len(searching.neighbours(letters, 2))
     with pytest.raises(ValueError, match="first part"):
         searching.stretches(schemes.build("naive", 3))
+
+
+def test_counters(indexed, spark):
+    reads, refs, r, index, _ = indexed
+    counters = scan.Counters(spark)
+    hits = map_reads(r, index, MapConfig(metric="hamming", k=1), counters)
+    assert counters.values() == {"places": 0, "candidates": 0, "verified": 0, "dropped": 0}
+    hits.write.format("noop").mode("overwrite").save()
+    found = counters.values()
+    both = sum(sum(x != y for x, y in zip(p, t[b:])) <= 1 for (_, _, p), t in itertools.product(strands(reads), refs) for b in range(len(t) - len(p) + 1))
+    assert found["verified"] == both and found["places"] >= found["candidates"] > both and found["dropped"] == found["candidates"] - both
