@@ -105,6 +105,51 @@ def _grown(k, metric):
     return query
 
 
+def _lengths(spark, sf):
+    """(m, reads): how many reads have each length."""
+    return reads(spark, sf).groupBy(F.length("seq").cast("long").alias("m")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+def _schemes(spark, sf):
+    """Every search, and how many reads have a letter for each of its parts."""
+    few = F.broadcast(schemes.scheme_table(spark))
+    counted = _lengths(spark, sf).crossJoin(few).groupBy("scheme", "k", "search_idx", "pi", "lower", "upper").agg(F.coalesce(F.sum(F.when(F.col("m") >= F.size("pi"), F.col("reads"))), F.lit(0)).alias("n_reads"))
+    return counted.select("scheme", "k", "search_idx", *(F.concat_ws(",", c).alias(c) for c in ("pi", "lower", "upper")), "n_reads")
+
+
+def _scheme_coverage(spark, sf):
+    """What each scheme covers, and how many reads it can search."""
+    table = schemes.scheme_table(spark)
+    parts = table.groupBy("scheme", "k").agg(F.max(F.size("pi")).alias("parts"))
+    can = _lengths(spark, sf).crossJoin(F.broadcast(parts)).groupBy("scheme", "k").agg(F.coalesce(F.sum(F.when(F.col("m") >= F.col("parts"), F.col("reads"))), F.lit(0)).alias("n_reads"))
+    return schemes.scheme_coverage(table).join(can, ["scheme", "k"])
+
+
+def _critical_parts(spark, sf):
+    """Where each scheme's critical part lies in each read."""
+    table = schemes.scheme_table(spark)
+    few = schemes.critical_parts(table).join(table.groupBy("scheme", "k").agg(F.max(F.size("pi")).alias("parts")), ["scheme", "k"])
+    size, at = F.length("seq"), F.col("critical_part")
+    each = reads(spark, sf).crossJoin(F.broadcast(few))
+    return each.select("read_id", "scheme", "k", "critical_part", *(F.floor(x * size / F.col("parts")).cast("long").alias(n) for n, x in (("begin", at), ("end", at + 1))))
+
+
+def _directions(spark, sf):
+    """Directions of every search, and how many letters of all reads it goes through to the right and to the left behind its first part."""
+    table = schemes.scheme_table(spark)
+    letters = lambda sign: F.expr(f"aggregate(filter(sequence(2, size(pi)), n -> n <= size(pi) AND n > 1 AND pi[n - 1] {sign} pi[n - 2]), 0L, (a, n) -> a + (pi[n - 1] + 1) * m div size(pi) - pi[n - 1] * m div size(pi))")
+    went = _lengths(spark, sf).crossJoin(F.broadcast(table)).groupBy("scheme", "k", "search_idx")
+    went = went.agg(F.sum(letters(">") * F.col("reads")).alias("forward"), F.sum(letters("<") * F.col("reads")).alias("backward"))
+    return schemes.directions(table).join(went, ["scheme", "k", "search_idx"])
+
+
+def _default_partitions(spark, sf):
+    """Where the parts of each read start to grow, for 2 to 14 parts, and their weights."""
+    few = F.broadcast(schemes.default_partitions(spark))
+    each = reads(spark, sf).crossJoin(few).where(F.length("seq") >= F.col("parts"))
+    return each.select("read_id", "parts", "part", "seed", "weight", F.floor(F.col("seed") * F.length("seq")).cast("long").alias("place"))
+
+
 STRATEGIES = ("kuch1", "kuch2", "kianfar", "01*0", "pigeon", "minU")
 
 
@@ -308,9 +353,9 @@ QUERIES = {
     "mapping_stats": lambda spark, sf: reporting.mapping_stats(_hamming(1)(spark, sf), reads(spark, sf)),
     "uniform_parts": _parts(2),
     "static_parts": _static_parts,
-    "schemes": lambda spark, sf: schemes.scheme_table(spark).select("scheme", "k", "search_idx", *(F.concat_ws(",", c).alias(c) for c in ("pi", "lower", "upper"))),
-    "scheme_coverage": lambda spark, sf: schemes.scheme_coverage(schemes.scheme_table(spark)),
-    "scheme_critical_part": lambda spark, sf: schemes.critical_parts(schemes.scheme_table(spark)),
+    "schemes": _schemes,
+    "scheme_coverage": _scheme_coverage,
+    "scheme_critical_part": _critical_parts,
     "suffix_array": _of_sa(lambda sa: sa),
     "bwt": _of_sa(lambda sa: bwt.bwt(sa).select("text_id", "i", "b")),
     "bwt_runs": _of_sa(lambda sa: bwt.runs(bwt.bwt(sa)).select("text_id", "run", "b", "begin", "length")),
@@ -334,8 +379,8 @@ QUERIES = {
     "seed_guard": _seed_guard,
     "part_to_grow": _part_to_grow,
     "planned_searches": _planned_searches,
-    "scheme_directions": lambda spark, sf: schemes.directions(schemes.scheme_table(spark)),
-    "default_partitions": lambda spark, sf: schemes.default_partitions(spark),
+    "scheme_directions": _directions,
+    "default_partitions": _default_partitions,
     "index_kmers": _index_kmers,
     "indexed_exact": _indexed(0, "hamming"),
     "indexed_hamming_k1": _indexed(1, "hamming"),
@@ -502,14 +547,16 @@ ORACLES = {
   SELECT count(*) AS n_reads, count(*) FILTER (n > 0) AS n_mapped, sum(n)::BIGINT AS n_hits, sum(n) / count(*) AS hits_per_read, (count(*) FILTER (n > 0)) * 100 / count(*) AS mapped_percent FROM n""",
     "uniform_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, (part * length(seq)) // 3 AS begin, ((part + 1) * length(seq)) // 3 AS \"end\" FROM reads, (VALUES (0), (1), (2)) AS v(part)",
     "static_parts": f"WITH {_SEQS} SELECT read_id, part::BIGINT AS part, floor(a * length(seq))::BIGINT AS begin, floor(b * length(seq))::BIGINT AS \"end\" FROM reads, (VALUES (0, 0::DOUBLE, 0.25::DOUBLE), (1, 0.25, 0.5), (2, 0.5, 0.8), (3, 0.8, 1)) AS v(part, a, b)",
-    "schemes": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(pi, ',') AS pi, array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM sch",
-    "scheme_coverage": f"""WITH RECURSIVE {_scheme_values()}, p AS (SELECT DISTINCT scheme, k::BIGINT AS k, len(pi) AS p FROM sch),
+    "schemes": f"WITH {_SEQS}, {_scheme_values()} SELECT (SELECT count(*) FROM reads WHERE length(seq) >= len(pi))::BIGINT AS n_reads, scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(pi, ',') AS pi, array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM sch",
+    "scheme_coverage": f"""WITH RECURSIVE {_SEQS}, {_scheme_values()}, p AS (SELECT DISTINCT scheme, k::BIGINT AS k, len(pi) AS p FROM sch),
   d AS (SELECT scheme, k, p, []::BIGINT[] AS d, 0::BIGINT AS total FROM p
     UNION ALL SELECT scheme, k, p, list_append(d, e), total + e FROM (SELECT *, unnest(range(0, k - total + 1)) AS e FROM d WHERE len(d) < p)),
   m AS (SELECT scheme, d.k AS k, d, list_bool_and(list_transform(range(1, len(pi) + 1), lambda n: list_sum(list_transform(pi[1:n], lambda x: d[x + 1])) BETWEEN lower[n] AND upper[n])) AS good
     FROM d JOIN sch USING (scheme, k) WHERE len(d) = p)
-  SELECT scheme, k, count(DISTINCT d) AS n_distributions, count(DISTINCT d) FILTER (good) AS n_covered FROM m GROUP BY scheme, k""",
-    "scheme_critical_part": f"WITH {_scheme_values()} SELECT scheme, k::BIGINT AS k, (arg_min(pi[1], struct_pack(u := list_transform(upper, lambda x: -x), l := lower, i := search_idx)))::BIGINT AS critical_part FROM sch GROUP BY scheme, k",
+  SELECT scheme, k, count(DISTINCT d) AS n_distributions, count(DISTINCT d) FILTER (good) AS n_covered,
+    (SELECT count(*) FROM reads WHERE length(seq) >= max(len(m.d)))::BIGINT AS n_reads FROM m GROUP BY scheme, k""",
+    "scheme_critical_part": f"""WITH {_SEQS}, {_scheme_values()}, c AS (SELECT scheme, k::BIGINT AS k, max(len(pi)) AS parts, (arg_min(pi[1], struct_pack(u := list_transform(upper, lambda x: -x), l := lower, i := search_idx)))::BIGINT AS critical_part FROM sch GROUP BY scheme, k)
+  SELECT read_id, scheme, k, critical_part, (critical_part * length(seq)) // parts AS begin, ((critical_part + 1) * length(seq)) // parts AS "end" FROM reads, c""",
     "suffix_array": f"WITH {_SUFFIXES} SELECT text_id, i, sa, c, n FROM sa",
     "bwt": f"WITH {_SUFFIXES} SELECT text_id, i, b FROM bwt",
     "bwt_runs": f"WITH {_SUFFIXES} SELECT text_id, run, any_value(b) AS b, min(i) AS begin, count(*) AS length FROM runs GROUP BY text_id, run",
@@ -551,10 +598,14 @@ ORACLES = {
   SELECT read_id, strand, m.part AS part, m.width AS width FROM m""",
     "planned_searches": f"""WITH {_SEQS}, {_scheme_values()}, f AS (SELECT search_idx::BIGINT AS search_idx, pi[1]::BIGINT AS part, len(pi) AS parts FROM sch WHERE scheme = 'kuch1' AND k = 2)
   SELECT read_id, strand, search_idx, part, (part * length(p)) // parts AS begin, ((part + 1) * length(p)) // parts AS "end" FROM pats, f""",
-    "scheme_directions": f"""WITH {_scheme_values()}, d AS (SELECT scheme, k, search_idx, list_transform(range(2, len(pi) + 1), lambda n: CASE WHEN pi[n] > pi[n - 1] THEN 'F' ELSE 'B' END) AS d FROM sch)
-  SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(d, '') AS directions, len(list_filter(range(2, len(d) + 1), lambda n: d[n] <> d[n - 1]))::BIGINT AS switches FROM d""",
-    "default_partitions": """WITH p AS (SELECT unnest(range(2, 15)) AS parts), e AS (SELECT parts, unnest(range(0, parts)) AS part FROM p)
-  SELECT parts, part, part::DOUBLE / (parts - 1)::DOUBLE AS seed, (CASE WHEN part IN (0, parts - 1) THEN 2 ELSE 1 END)::BIGINT AS weight FROM e""",
+    "scheme_directions": f"""WITH {_SEQS}, {_scheme_values()}, g AS (SELECT scheme, k, search_idx, pi, seq, unnest(range(2, len(pi) + 1)) AS n FROM sch, reads),
+  w AS (SELECT scheme, k, search_idx, pi[n] > pi[n - 1] AS f, ((pi[n] + 1) * length(seq)) // len(pi) - (pi[n] * length(seq)) // len(pi) AS x FROM g),
+  l AS (SELECT scheme, k, search_idx, coalesce(sum(x) FILTER (f), 0)::BIGINT AS forward, coalesce(sum(x) FILTER (NOT f), 0)::BIGINT AS backward FROM w GROUP BY ALL),
+  d AS (SELECT scheme, k, search_idx, list_transform(range(2, len(pi) + 1), lambda n: CASE WHEN pi[n] > pi[n - 1] THEN 'F' ELSE 'B' END) AS d FROM sch)
+  SELECT scheme, k::BIGINT AS k, search_idx::BIGINT AS search_idx, array_to_string(d, '') AS directions, len(list_filter(range(2, len(d) + 1), lambda n: d[n] <> d[n - 1]))::BIGINT AS switches, coalesce(forward, 0) AS forward, coalesce(backward, 0) AS backward FROM d LEFT JOIN l USING (scheme, k, search_idx)""",
+    "default_partitions": f"""WITH {_SEQS}, p AS (SELECT unnest(range(2, 15)) AS parts), e AS (SELECT parts, unnest(range(0, parts)) AS part FROM p)
+  SELECT read_id, parts, part, part::DOUBLE / (parts - 1)::DOUBLE AS seed, (CASE WHEN part IN (0, parts - 1) THEN 2 ELSE 1 END)::BIGINT AS weight,
+    floor(part::DOUBLE / (parts - 1)::DOUBLE * length(seq))::BIGINT AS place FROM e, reads WHERE length(seq) >= parts""",
     "index_kmers": f"WITH {_SEQS}, {_windows(6)} SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split(translate(reverse(kmer), 'ACGT', '0123'), ''), lambda x: x::BIGINT)), lambda a, x: 5 * a + x) AS kmer, count(*)::BIGINT AS n, min(struct_pack(s := seq_idx, p := pos)).s AS seq_idx, min(struct_pack(s := seq_idx, p := pos)).p AS pos FROM km GROUP BY km.kmer",
     "indexed_exact": f"WITH {_EXACT} SELECT {_HIT} FROM exact",
     "indexed_hamming_k1": f"WITH {_hits(1)} SELECT {_HIT} FROM hits",
