@@ -101,8 +101,8 @@ def rising_shares(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tupl
 def training_sample(docs: DataFrame, labels: DataFrame, *, folds: int = 5, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> list[tuple[int, str]]:
     """(label, text) of at most rows documents and about size bytes of each label, by the order of a hash of their ids.
 
-    Held-out ids aren't in it. Ids are chosen among the labels alone, so documents are scanned once
-    for at most 2 * rows ids and not shuffled; of rows that share an id the least text is read.
+    Held-out ids aren't in it. Ids are chosen among the labels alone, so documents are scanned
+    for at most 2 * rows ids (once for lengths, once for texts) and not shuffled; of rows that share an id the least text is read.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("of"))
     known = known.agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").where(~held_out(F.col("of"), folds)).drop("other")
