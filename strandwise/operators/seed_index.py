@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.operators import matching, scan
+from strandwise.sources.storage import qualified
 
 #: Written into each index; readers refuse any other.
 VERSION = 2
@@ -73,6 +74,7 @@ def build(refs: DataFrame, path: str, *, seed: int = SEED, flank: int = FLANK, b
     if not 1 <= seed <= scan.LONGEST_SEED:
         raise ValueError(f"seed must lie within 1 and {scan.LONGEST_SEED}")
     spark = refs.sparkSession
+    path = qualified(spark, path)
     refs.select("seq_idx", "name", "seq").write.mode("overwrite").parquet(f"{path}/refs")
     refs = spark.read.parquet(f"{path}/refs")
     if buckets is None:
@@ -97,6 +99,7 @@ def _write_buckets(df: DataFrame, path: str, what: str, buckets: int, by: list[s
 
 def load(spark: SparkSession, path: str) -> SeedIndex:
     """The index at path, in any session: its bucketed tables are declared over their files."""
+    path = qualified(spark, path)
     meta = json.loads(spark.read.text(f"{path}/meta").first().value)
     if meta.get("version") != VERSION:
         raise ValueError(f"{path} was written by another version; build it again")

@@ -1,6 +1,7 @@
 """The persisted index, interval joins, trimming, phi by intervals, the suffix array of one long text and rounds, against brute force."""
 
 import itertools
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwise.operators import bwt, growing, intervals, long_text, matching, scan, schemes, searching, seed_index
 from strandwise.plans.mapping import MapConfig, map_reads
-from strandwise.sources.storage import new_path
+from strandwise.sources.storage import new_path, qualified
 from test_matching import HIT, edit_distance, frames, hamming_brute, rc, starts_brute, strands, thin_brute
 
 
@@ -32,7 +33,7 @@ def rows(df):
 def indexed(spark):
     reads, refs = case(1)
     r, f = frames(spark, reads, refs)
-    path = new_path(spark, "test-index")
+    path = qualified(spark, new_path(spark, "test-index"))
     seed_index.build(f, path, seed=5, flank=64, buckets=4)
     return reads, refs, r, seed_index.load(spark.newSession(), path), path
 
@@ -88,6 +89,14 @@ def test_reads_beyond_the_flank_and_other_versions_are_refused(indexed, spark):
         seed_index.load(spark, other)
 
 
+def test_a_relative_path_is_the_same_place(spark, tmp_path):
+    r, f = frames(spark, [("a", "GATTACA")], ["TTGATTACATT"])
+    relative = os.path.relpath(tmp_path / "index")
+    seed_index.build(f, relative, seed=3, flank=16, buckets=2)
+    index = seed_index.load(spark.newSession(), str(tmp_path / "index"))
+    assert rows(seed_index.match(r, index, 0, "hamming", most_letters=0)) == [("a", "FW", 0, 2, 9, 0)]
+
+
 def test_empty_index_and_no_reads(spark):
     r, f = frames(spark, [], [])
     index = seed_index.build(f, new_path(spark, "test-index"), seed=5, flank=64, buckets=2)
