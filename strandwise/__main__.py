@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
         log.info("wrote %s", args.index)
         return
     config = mapping.MapConfig(metric=args.metric, k=args.max_distance, strategy=args.search_scheme, mode=args.mode, identity=args.identity, folder=args.custom or args.dynamic_selection)
-    index, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file)
+    index, reads = mapping.read_index(spark, args.reference), sequences.read_reads(spark, args.reads_file, with_place=True)
     refs = index.refs
     counters = Counters(spark)
     hits = mapping.map_reads(reads, index, config, counters).cache()

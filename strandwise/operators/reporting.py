@@ -59,16 +59,26 @@ def sam_records(hits: DataFrame, reads: DataFrame, refs: DataFrame, *, unmapped:
     return mapped.union(_unmapped(hits, reads).select("read_id", F.lit(FLAG_UNMAPPED).cast("long"), star, zero, zero, star, star, zero, zero, _or_star(F.col("seq")), _or_star(qual), none, none))
 
 
-def sam_lines(records: DataFrame, refs: DataFrame) -> DataFrame:
-    """(kind, key, line): header lines, then records by read; x0, x1 and xa are tags where records have them."""
+def _place(order: DataFrame | None, name: str) -> tuple[Column, DataFrame | None]:
+    """The key by which lines of the read in column name stand, and (_of, _at) to join for it: input order if order(read_id, at) is given, else names."""
+    if order is None:
+        return F.col(name), None
+    return F.lpad(F.col("_at").cast("string"), 20, "0"), order.groupBy(F.col("read_id").alias("_of")).agg(F.min("at").alias("_at"))
+
+
+def sam_lines(records: DataFrame, refs: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(kind, key, line): header lines, then records by read, see _place; x0, x1 and xa are tags where records have them."""
+    place, places = _place(order, "qname")
+    if places is not None:
+        records = records.join(places, F.col("qname") == F.col("_of"), "left")
     tags = F.when(F.col("as_i").isNotNull(), F.concat(F.lit("AS:i:"), "as_i", F.lit("\tNM:i:"), "nm_i", F.lit("\t"))).otherwise("")
     more = F.lit("")
     if "xa" in records.columns:
         more = F.when(F.col("xa").isNotNull(), F.concat(F.lit("\tX0:i:"), "x0", F.lit("\tX1:i:"), "x1", F.lit("\tXA:Z:"), "xa")).otherwise("")
     columns = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    body = records.select(F.lit(3).alias("kind"), F.concat_ws("\t", "qname", F.lpad("flag", 5, "0")).alias("key"), F.concat(F.concat_ws("\t", *columns), F.lit("\t"), tags, F.lit(f"PG:Z:{PROGRAM}"), more).alias("line"))
+    body = records.select(F.lit(3).alias("kind"), F.concat_ws("\t", place, F.lpad("flag", 5, "0")).alias("key"), F.concat(F.concat_ws("\t", *columns), F.lit("\t"), tags, F.lit(f"PG:Z:{PROGRAM}"), more).alias("line"))
     spark = refs.sparkSession
-    head = spark.createDataFrame([(0, "", "@HD\tVN:1.6\tSO:queryname"), (1, "", f"@PG\tID:{PROGRAM}\tPN:{PROGRAM}")], body.schema)
+    head = spark.createDataFrame([(0, "", f"@HD\tVN:1.6\tSO:{'queryname' if order is None else 'unsorted'}"), (1, "", f"@PG\tID:{PROGRAM}\tPN:{PROGRAM}")], body.schema)
     names = refs.select(F.lit(2).alias("kind"), F.lpad(F.col("seq_idx").cast("string"), 20, "0").alias("key"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.length("seq").cast("string")).alias("line"))
     return head.union(names).union(body)
 
@@ -92,6 +102,14 @@ def xa_records(hits: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
     return out.select(F.col("read_id").alias("qname"), F.col("p.name").alias("rname"), (F.col("p.begin") + 1).alias("pos"), F.col("p.strand").alias("strand"), F.col("p.distance").alias("nm_i"), F.col("p.mapq").alias("mapq"), (F.col("n_best") - 1).alias("x0"), (F.col("n") - F.col("n_best")).alias("x1"), "xa")
 
 
+def rhs_lines(records: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(kind, key, line) of rhs_records, by read, see _place."""
+    place, places = _place(order, "read_id")
+    if places is not None:
+        records = records.join(places, F.col("read_id") == F.col("_of"), "left")
+    return records.select(F.lit(0).alias("kind"), place.alias("key"), "line")
+
+
 def rhs_records(hits: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
     """(read_id, line): 'id<TAB>(name,d);(name,d)' by distance and sequence, each pair once; 'id<TAB>*' for unmapped reads."""
     pairs = hits.groupBy("read_id", "seq_idx", "distance").agg(F.lit(1)).join(refs.select("seq_idx", "name"), "seq_idx")

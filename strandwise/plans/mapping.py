@@ -91,15 +91,20 @@ def map_reads(reads: DataFrame, refs: DataFrame | SeedIndex, config: MapConfig |
     return hits if config.beyond is None else reporting.best_strata(hits, config.beyond)
 
 
+def _order(reads: DataFrame) -> DataFrame | None:
+    return reads.select("read_id", "at") if "at" in reads.columns else None
+
+
 def write_sam(hits: DataFrame, reads: DataFrame, refs: DataFrame, path: str, *, unmapped: bool = True, xa: bool = False) -> None:
-    """SAM lines; with xa, a read's other hits are listed in tags of its primary row in place of rows of their own."""
+    """SAM lines; with xa, a read's other hits are listed in tags of its primary row in place of rows of their own. Reads with their
+    place (at) are written in input order, others by name."""
     from strandwise.sources.sequences import write_lines
 
     records = reporting.sam_records(hits, reads, refs, unmapped=unmapped)
-    write_lines(reporting.sam_lines(reporting.with_xa(records, hits, reads, refs) if xa else records, refs), path)
+    write_lines(reporting.sam_lines(reporting.with_xa(records, hits, reads, refs) if xa else records, refs, _order(reads)), path)
 
 
 def write_rhs(hits: DataFrame, reads: DataFrame, refs: DataFrame, path: str) -> None:
     from strandwise.sources.sequences import write_lines
 
-    write_lines(reporting.rhs_records(hits, reads, refs).select(F.lit(0).alias("kind"), F.col("read_id").alias("key"), "line"), path)
+    write_lines(reporting.rhs_lines(reporting.rhs_records(hits, reads, refs), _order(reads)), path)

@@ -59,6 +59,11 @@ def test_command_line(spark, tmp_path):
     assert "z\t4\t*\t0\t0\t*\t*\t0\t0\tGATTACAGATTACA\t##############\tPG:Z:strandwise" in lines
     main(["map", "-r", str(tmp_path / "index"), "-f", str(tmp_path / "reads.fq"), "-o", str(tmp_path / "out.rhs")])
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out.rhs")).collect()) == ["x\t(a,0)", "y\t(b,0)", "z\t*"]
+    (tmp_path / "turned.fq").write_text("@z\nGATTACAGATTACA\n+\n##############\n@x\nACGTTT\n+\nABCDEF\n@y\nTTTTCCCC\n+\n12345678\n")
+    for name in ("turned.sam", "turned.rhs"):
+        main(["map", "-r", str(tmp_path / "index"), "-f", str(tmp_path / "turned.fq"), "-o", str(tmp_path / name)])
+        lines = [r.value for r in sorted(spark.read.text(str(tmp_path / name)).withColumn("n", F.monotonically_increasing_id()).collect(), key=lambda r: r.n)]
+        assert [x.split("\t")[0] for x in lines if x[0] != "@"] == ["z", "x", "y"]  # in input order
     (tmp_path / "own" / "1").mkdir(parents=True)
     (tmp_path / "own" / "name.txt").write_text("own")
     (tmp_path / "own" / "1" / "searches.txt").write_text(schemes.KIANFAR[1])
