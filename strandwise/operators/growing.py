@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +19,12 @@ from strandwise.operators import matching, scan, seed_index
 WINDOW, MOST_WINDOW = 6, 8
 
 
-def _count(batches, length: int):
-    for batch in seed_index._kmers(batches, length):
-        kmers, n = np.unique(batch.column("kmer").to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kmers), pa.array(n.astype(np.int64))], names=["kmer", "n"])
-
-
 def window_counts(pieces: DataFrame, length: int = WINDOW) -> np.ndarray:
     """How often each window of so many letters, by its packed number, stands in the references; summed by batch before the shuffle."""
     if not 1 <= length <= MOST_WINDOW:
         raise ValueError(f"length must lie within 1 and {MOST_WINDOW}")
     out = np.zeros(5**length, np.int64)
-    counted = pieces.mapInArrow(partial(_count, length=length), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+    counted = pieces.mapInArrow(partial(seed_index._window_counts, length=length), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # at most 5 ** MOST_WINDOW rows
         out[r.kmer] = r.n
     return out

@@ -89,6 +89,27 @@ def test_reads_beyond_the_flank_and_other_versions_are_refused(indexed, spark):
         seed_index.load(spark, other)
 
 
+def test_candidates_stand_where_whole_parts_do(indexed):
+    """Not wherever a part's first letters stand: those are most of the references' places."""
+    reads, refs, r, index, _ = indexed
+    own = r.where(F.length("seq").between(index.seed, index.seed + seed_index.AHEAD))
+    found = {tuple(c) for c in seed_index.candidates(own, index, 0).select("read_id", "strand", "seq_idx", "begin").collect()}
+    want = {(i, s, j, b) for (i, s, p), (j, t) in itertools.product(strands(reads), enumerate(refs)) for b in range(len(t)) if index.seed <= len(p) <= index.seed + seed_index.AHEAD and t[b : b + len(p)] == p}
+    assert found == want
+
+
+def test_a_frequent_kmer_is_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(seed_index, "PART_PLACES", 2000)
+    monkeypatch.setattr(seed_index, "BUCKET_LETTERS", 4000)
+    r, f = frames(spark, [("a", "A" * 20), ("c", "AAAAAC"), ("t", "TTTTTT")], ["A" * 9000 + "C", "A" * 9000])
+    index = seed_index.build(f, new_path(spark, "test-index"), seed=5, flank=64)
+    assert index.parts == 9 and index.buckets >= 5
+    most = index.kmers.groupBy("kmer", "part").count().agg(F.max("count")).first()[0]
+    assert most < 18000 / 2
+    got = seed_index.match(r, index, 0, "hamming", most_letters=0).groupBy("read_id", "strand").count().collect()
+    assert {tuple(x) for x in got} == {("a", "FW", 2 * 8981), ("c", "FW", 1), ("t", "RC", 2 * 8995)}
+
+
 def test_a_relative_path_is_the_same_place(spark, tmp_path):
     r, f = frames(spark, [("a", "GATTACA")], ["TTGATTACATT"])
     relative = os.path.relpath(tmp_path / "index")
