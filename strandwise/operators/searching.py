@@ -85,9 +85,10 @@ def strategy_costs(reads: DataFrame, pieces: DataFrame, k: int, strategies: tupl
     spark = reads.sparkSession
     rows = [(r.read_id, r.seq) for r in reads.select("read_id", "seq").where(F.length("seq") > 0).collect()]
     found = []
-    for strategy in strategies:  # a few
+    places = scan.count_places_of_each(pieces, rows, k, [scheme_seeds(strategy, k) for strategy in strategies])
+    for strategy, met in zip(strategies, places):  # a few
         wanted = stretches(schemes.build(strategy, k))
         parts = len(schemes.build(strategy, k)[0].order)
         n = 2 * len(wanted) * sum(len(seq) >= parts for _, seq in rows)
-        found.append((strategy, n, scan.count_places(pieces, rows, k, scheme_seeds(strategy, k))))
+        found.append((strategy, n, met))
     return spark.createDataFrame(found, "strategy string, seeds long, places long")
