@@ -11,11 +11,15 @@ from strandwise.functions.sequence import ascii_upper, header_name, mask_ambiguo
 from strandwise.operators.intervals import running_sum
 from strandwise.sources import datasource
 from strandwise.sources.datasource import FASTA_ENDINGS, FASTQ_ENDINGS
+from strandwise.sources.storage import written
 
 
 def read_reference_fasta(spark: SparkSession, path: str, *, range_bytes: int = datasource.RANGE_BYTES, kind: str = "") -> DataFrame:
     """seq_idx (from 0, in order of file and place), name (header up to the first space), seq (upper case; empty records stay), len."""
-    records = datasource.read(spark, path, range_bytes, kind).withColumn("one", F.lit(1).cast("long"))
+    records = datasource.read(spark, path, range_bytes, kind)
+    # numbers take three passes and a join: files are parsed once, with small ranges side by side in a task
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-records.rdd.getNumPartitions() * range_bytes // datasource.RANGE_BYTES))
+    records = written(records.select("at", "header", "seq").coalesce(tasks), "records").withColumn("one", F.lit(1).cast("long"))
     order = running_sum(records.select("at", "one"), "at", "one", "seq_idx").select(F.col("at").alias("_at"), "seq_idx")
     out = records.join(order, F.col("at") == F.col("_at")).select("seq_idx", header_name(F.col("header")).alias("name"), ascii_upper(F.col("seq")).alias("seq"))
     return out.withColumn("len", F.length("seq").cast("long"))

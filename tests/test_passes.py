@@ -40,3 +40,10 @@ def test_places_of_all_strategies_are_counted_in_one_pass(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"costs-{len(names)}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_fasta_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">x y\nACG\nT\n>e\n>z\nGG\n")
+    found = sequences.read_reference_fasta(spark, str(tmp_path / "a.fasta"), range_bytes=4)
+    assert "BatchScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, "x", "ACGT", 4), (1, "e", "", 0), (2, "z", "GG", 2)]
