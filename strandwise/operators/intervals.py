@@ -35,7 +35,7 @@ def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame
 def sequence_offsets(refs: DataFrame) -> DataFrame:
     """(seq_idx, len, start_pos): where each sequence starts in the text of all, in order of seq_idx."""
     sizes = refs.select("seq_idx", F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("len"))
-    return running_sum(sizes, "seq_idx", "len", "start_pos")
+    return running_sum(written(sizes, "lengths"), "seq_idx", "len", "start_pos")  # which reads them three times
 
 
 def within(points: DataFrame, point: Column, intervals: DataFrame, start: str, end: str, *, how: str = "inner", by: tuple[str, ...] = ()) -> DataFrame:

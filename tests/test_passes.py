@@ -47,3 +47,8 @@ def test_fasta_is_parsed_once(spark, tmp_path):
     found = sequences.read_reference_fasta(spark, str(tmp_path / "a.fasta"), range_bytes=4)
     assert "BatchScan" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(0, "x", "ACGT", 4), (1, "e", "", 0), (2, "z", "GG", 2)]
+
+
+def test_lengths_are_taken_once_for_offsets(spark):
+    offsets = intervals.sequence_offsets(catalog.ref_seqs(spark, SF))
+    assert "MapInArrow" not in offsets._jdf.queryExecution().executedPlan().toString()
