@@ -52,3 +52,10 @@ def test_fasta_is_parsed_once(spark, tmp_path):
 def test_lengths_are_taken_once_for_offsets(spark):
     offsets = intervals.sequence_offsets(catalog.ref_seqs(spark, SF))
     assert "MapInArrow" not in offsets._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_are_cut_once_for_all_rounds(spark, monkeypatch):
+    cuts, pieces = [], scan.pieces
+    monkeypatch.setattr(scan, "pieces", lambda *a: cuts.append(a) or pieces(*a))
+    catalog.QUERIES["best_plus_x"](spark, SF)
+    assert len(cuts) == 1
