@@ -71,12 +71,15 @@ def _seeds(text: np.ndarray, k: int, parts: int, wanted: list[tuple[int, int, in
     return out
 
 
-def match(reads: DataFrame, pieces: DataFrame, k: int, strategy: str = "columba") -> DataFrame:
+def match(reads: DataFrame, pieces: DataFrame, k: int, strategy: str = "columba", *, alone: bool = False) -> DataFrame:
     """The hits of matching.hamming_match for reads of at most scan.MOST_LETTERS letters in all, by the seeds of a strategy. pieces are those
-    of an index or of scan.pieces, with flanks that hold the longest read and its errors."""
+    of an index or of scan.pieces, with flanks that hold the longest read and its errors. alone: whether each sequence is known to have a number of
+    its own; then tasks leave out second strands, and no hit is shuffled."""
     if (reads.agg(F.sum(F.length("seq"))).first()[0] or 0) > scan.MOST_LETTERS:
         raise ValueError(f"reads have more than {scan.MOST_LETTERS} letters: map them in groups")
     rows = [(r.read_id, r.seq) for r in reads.select("read_id", "seq").where(F.length("seq") > 0).collect()]
+    if alone and matching.named_apart(rows):
+        return scan.match_pieces(pieces, rows, k, "hamming", scheme_seeds(strategy, k), of="strands")
     return matching.one_strand(scan.match_pieces(pieces, rows, k, "hamming", scheme_seeds(strategy, k)))
 
 

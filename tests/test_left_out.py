@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from strandwise import catalog
-from strandwise.operators import matching, scan
+from strandwise.operators import matching, scan, searching
 from test_matching import HIT, frames, rc, starts_brute, thin_brute
 
 SF = "/root/testdata/sf0.001"
@@ -47,7 +47,10 @@ def test_second_strands_are_left_out_where_they_are_found(spark, case):
     for k in (0, 1, 3):
         want = rows(matching.one_strand(scan.scan(r, f, k, "hamming", 30)))
         assert rows(matching.hamming_match(r, f, k)) == want
-    assert "Aggregate" not in plan(catalog.QUERIES["hamming_k2"](spark, SF))
+        if k:
+            assert rows(searching.match(r, scan.pieces(f, 40, 40), k, "minU", alone=True)) == want == rows(searching.match(r, scan.pieces(f, 40, 40), k, "minU"))
+    for name in ("hamming_k2", "scheme_hamming_k3"):
+        assert "Aggregate" not in plan(catalog.QUERIES[name](spark, SF))
 
 
 @pytest.mark.parametrize("which", ["reads", "sequences"])
