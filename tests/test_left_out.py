@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandwise import catalog
 from strandwise.operators import matching, scan, searching
-from test_matching import HIT, frames, rc, starts_brute, thin_brute
+from test_matching import HIT, edit_distance, frames, rc, starts_brute, thin_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +66,55 @@ def test_shared_names_are_one_group(spark, case, which):
         f = f.unionByName(spark.createDataFrame([(0, "again", "TACGT" * 30 + "A" * 14)], f.schema))
     assert rows(matching.edit_match(r, f, 2)) == rows(matching.nonredundant(matching.edit_starts(r, f, 2), 2))
     assert rows(matching.hamming_match(r, f, 1)) == rows(matching.one_strand(matching.hamming_match(r, f, 1, distinct=False)))
+
+
+def test_words_bound_distances():
+    """Of texts of ACGT they give them; other letters only lower them."""
+    rng = random.Random(2)
+    for letters in ("AC", "ACGT", "ACGTN"):
+        texts = [np.frombuffer("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))).encode(), np.uint8) for _ in range(300)]
+        patterns = []
+        for t in texts:  # near to their text, or not
+            p = list(t.tobytes().decode())
+            for _ in range(rng.randrange(6)):
+                x = rng.randrange(len(p) + 1)
+                p[x : x + rng.randrange(2)] = rng.choice([[], [rng.choice(letters)]])
+            patterns.append(np.frombuffer("".join(p).encode() or b"A", np.uint8))
+        word = lambda some: np.array([scan.words(x)[0][0] for x in some])
+        for k in (1, 2, 3):
+            size = np.array([min(len(p), len(t), 32 - k) for p, t in zip(patterns, texts)])
+            got = scan.word_errors(word(texts), word(patterns), size, k)
+            for p, t, n, e in zip(patterns, texts, size.tolist(), got.tolist()):
+                want = min(edit_distance(p[:n].tolist(), t[:j].tolist()) for j in range(min(len(t), n + k) + 1))
+                # behind a text come As in its word
+                assert e <= want if "N" in letters or len(t) < n + k else e == min(want, k + 1)
+        n = np.minimum([len(p) for p in patterns], [len(t) for t in texts]).clip(max=32)
+        got = scan.word_distance(word(texts), word(patterns), np.uint64(0x5555555555555555) >> (64 - 2 * n).astype(np.uint64))
+        want = [int((t[:i] != p[:i]).sum()) for t, p, i in zip(texts, patterns, n.tolist())]
+        assert (got <= want).all() and ("N" in letters or got.tolist() == want)
+    text = np.frombuffer(b"".join(t.tobytes() for t in texts), np.uint8)
+    ahead, behind = scan.words(text)
+    at = np.arange(len(text) + 1)
+    assert (scan.words_at(text, at) == ahead).all() and (scan.words_at(text, at - 1, -1) == behind).all()
+
+
+@pytest.mark.parametrize("metric", ["edit", "hamming"])
+def test_most_candidates_are_ruled_out_by_words(metric):
+    """Reads of 12 letters have seeds of 4, which stand at every 256th letter; hits are far fewer."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("ACGT") for _ in range(20000))
+    reads = [(f"r{n}", "".join(rng.choice("ACGT") for _ in range(12 + n % 30))) for n in range(40)] + [("own", text[700:740])]
+
+    class Count(list):
+        add = list.append
+
+    class shared:
+        value = scan.Patterns(reads, 2)
+
+    class counters:
+        places, candidates, verified = Count(), Count(), Count()
+
+    cut = scan._cut([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], names=["seq_idx", "seq"])], 50, 50)
+    found = [r for b in scan._match(cut, shared, 2, metric, counters) for r in b.to_pylist()]
+    assert {"read_id": "own", "strand": "FW", "seq_idx": 0, "begin": 700, "end": 740, "distance": 0} in found
+    assert sum(counters.places) > 10 * sum(counters.candidates) and sum(counters.candidates) <= 4 * len(found) == 4 * sum(counters.verified)
